@@ -241,7 +241,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     rows = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if not _plain_scan(rows):
         rows = saved(rows)
-    n_ranges = max(1, -(-input_bytes(docs) // RANGE_BYTES))
+    n_ranges = max(1, -(-input_bytes(rows) // RANGE_BYTES))
     counted = rows.mapInArrow(_count(order, n_ranges), "range int, task int, part int, grams binary, counts binary")
     folder = shared_folder(spark)
     (
