@@ -19,11 +19,11 @@ def rr(c: Column, *pairs: tuple[str, str]) -> Column:
 
 
 def trim_blanks(c: Column) -> Column:
-    return rr(c, (" +", " "), ("(?m) $", ""), ("(?m)^ ", ""))
+    return rr(c, (" +", " "), ("(?dm) $", ""), ("(?dm)^ ", ""))
 
 
 def _drop(c: Column, marks: str) -> Column:
-    return trim_blanks(rr(c, (rf" {marks}(?= )", " "), (rf"(?m)^{marks}(?= )", ""), (rf"(?m) {marks}$", "")))
+    return trim_blanks(rr(c, (rf" {marks}(?= )", " "), (rf"(?dm)^{marks}(?= )", ""), (rf"(?dm) {marks}$", "")))
 
 
 def punctuation_off(c: Column) -> Column:
@@ -36,7 +36,7 @@ def weak_punctuation_off(c: Column) -> Column:
 
 def break_lines(c: Column) -> Column:
     """A line feed after each strong mark; runs of marks stay together."""
-    return trim_blanks(rr(c, (rf"(?<= )({STRONG}) ", "$1\n"), ("(?m)^ +", ""), (rf"({STRONG})\n(?={STRONG})", "$1 ")))
+    return trim_blanks(rr(c, (rf"(?<= )({STRONG}) ", "$1\n"), ("(?dm)^ +", ""), (rf"({STRONG})\n(?={STRONG})", "$1 ")))
 
 
 def sentences(c: Column) -> Column:
@@ -49,12 +49,12 @@ def hyphens_off(c: Column) -> Column:
 
 
 def hyphens_internal(c: Column) -> Column:
-    return rr(c, ("(?m)(^| )-", "$1"), ("(?m)-( |\n|$)", "$1"))
+    return rr(c, ("(?dm)(^| )-", "$1"), ("(?dm)-( |\n|$)", "$1"))
 
 
 def saxon_exploded(c: Column, upper: bool = False) -> Column:
     s = "'S" if upper else "'s"
-    return rr(c, ("(?mi)'s( |\n|$)", f" {s}$1"), ("(?mi)(s)'( |\n|$)", f"$1 {s}$2"))
+    return rr(c, ("(?dmi)'s( |\n|$)", f" {s}$1"), ("(?dmi)(s)'( |\n|$)", f"$1 {s}$2"))
 
 
 def saxon_joint(c: Column) -> Column:
@@ -86,7 +86,7 @@ def tag_bodies(c: Column) -> Column:
 
 
 def letter_dots_off(c: Column) -> Column:
-    return rr(c, (r"(?m)(^| )([^. \n])\.(?= |$)", "$1$2"))
+    return rr(c, (r"(?dm)(^| )([^. \n])\.(?= |$)", "$1$2"))
 
 
 def acronyms_joint(c: Column) -> Column:
@@ -130,7 +130,7 @@ def triple_letters(c: Column) -> Column:
 
 
 def clean_pdf(c: Column) -> Column:
-    once = ((r"(?m)^(?:\d\.)+(?: |\n|$)", ""), (r"(?m)^\w\.(?: |\n|$)", ""), (r"(?m)^\(?[0-9i]+\)?(?: |\n|$)", ""), ("(?m)^ +o +", ""))
+    once = ((r"(?dm)^(?:\d\.)+(?: |\n|$)", ""), (r"(?dm)^\w\.(?: |\n|$)", ""), (r"(?dm)^\(?[0-9i]+\)?(?: |\n|$)", ""), ("(?dm)^ +o +", ""))
     return rr(c, *once, *once)
 
 

@@ -145,12 +145,12 @@ def read_config(text: str) -> list[str]:
 
 def protect(c: Column, words: list[str], upper: bool) -> Column:
     """Listed words between underscores, out of reach of the options."""
-    flag = "(?mi)" if upper else "(?m)"
+    flag = "(?dmi)" if upper else "(?dm)"
     return F.regexp_replace(c, rf"{flag}(?<=^|[ \n])({_java(words)})(?= |\n|$)", "_$1_") if words else c
 
 
 def unprotect(c: Column, words: list[str], upper: bool) -> Column:
-    flag = "(?mi)" if upper else "(?m)"
+    flag = "(?dmi)" if upper else "(?dm)"
     return F.regexp_replace(c, rf"{flag}(?<=^|[ \n])_({_java(words)})_(?= |\n|$)", "$1") if words else c
 
 

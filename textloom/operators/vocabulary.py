@@ -466,7 +466,8 @@ def recased_bigrams(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 
     forms_a = F.when(F.col("ka").isNull(), F.array("a", swapped(F.col("a")))).otherwise(F.array("a"))
     forms_b = F.when(F.col("kb").isNull(), F.array("b", swapped(F.col("b")))).otherwise(F.array("b"))
-    every = pairs.select("ngram", "c", F.explode(forms_a).alias("x"), forms_b.alias("ys")).select("ngram", "c", F.concat_ws(" ", "x", F.explode("ys").alias("y")).alias("dst"))
+    every = pairs.select("ngram", "c", F.explode(forms_a).alias("x"), forms_b.alias("ys"))
+    every = every.select("ngram", "c", "x", F.explode("ys").alias("y")).select("ngram", "c", F.concat_ws(" ", "x", "y").alias("dst"))
     scored = every.join(counts.select(F.col("ngram").alias("dst"), F.col("c").alias("n")), "dst")
     best = scored.groupBy("ngram", "c").agg(F.max(F.struct("n", "dst")).alias("top"))
     return best.where("top.n > 5 * c AND top.dst <> ngram").select(F.col("ngram").alias("src"), F.col("top.dst").alias("dst"))

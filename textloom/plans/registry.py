@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.plans import chains, numbers, texts, vocabularies
+from textloom.plans.catalog import Query
+
+CATALOG: dict[str, Query] = {**texts.QUERIES, **vocabularies.QUERIES, **numbers.QUERIES, **chains.QUERIES}
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Coverage of the documents' words by the vocabulary."""
+    return CATALOG["oov_coverage"].run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q.run for name, q in CATALOG.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q.sql for name, q in CATALOG.items() if q.sql}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,13 +18,26 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written once to the folder that spark.checkpoint.dir names.
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.
 
     Where that is unset, as in tests in one process, a temporary folder is set.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="textloom-"))
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="textloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{_checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"

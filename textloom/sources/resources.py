@@ -75,7 +75,7 @@ def read_units(spark: SparkSession, path: str) -> tuple[Unit, ...]:
 
 def read_counts(spark: SparkSession, path: str, min_count: int = 1, order: int = 2) -> DataFrame:
     """ngram, c from tab-separated files."""
-    raw = spark.read.option("sep", "\t").schema("ngram string, c long").csv(path)
+    raw = spark.read.option("sep", "\t").option("quote", "").schema("ngram string, c long").csv(path)
     return load_counts(raw.where("ngram IS NOT NULL AND c IS NOT NULL"), min_count, order)
 
 
