@@ -14,10 +14,10 @@ from textloom.operators.vocabulary import load_counts
 
 def read_documents(spark: SparkSession, path: str, extension: str | None = None) -> DataFrame:
     """path, text: a whole file a row, of a file or a folder, by extension."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if extension:
         reader = reader.option("pathGlobFilter", f"*.{extension.lstrip('.')}")
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -27,7 +27,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _text(spark: SparkSession, path: str) -> list[str]:
     """Lines of one resource file, in order."""
-    rows = spark.read.option("wholetext", True).text(path).collect()
+    rows = spark.read.text(path, wholetext=True).collect()
     return [line for r in rows for line in r[0].split("\n")]
 
 
