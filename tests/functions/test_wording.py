@@ -187,3 +187,17 @@ def test_accents_of_a_lexicon_word():
     assert cleaning.restore_accents("ete", by_plain, words) == "été"
     assert cleaning.restore_accents("cote", by_plain, words) == "cote"
     assert cleaning.restore_accents("absent", by_plain, words) == "absent"
+
+
+PATTERNS = [(r"\d+ (km|m)", 0), (r"(?<=\d),(?=\d{3})", 0), ("(?:a|b)c?", 0), ("K+x*", 2), (r"[\d.]+%?", 0), (r"\b(in|on) (\d{4})", 2), ("(?!z)", 0), ("(?:x|)y*", 0), (r"[^ab]", 0), (r"(?:1|two) ?[-/]", 0)]
+SAMPLES = ["", "5 km, 1,234", "abc", "kkK", "٣ km", "on 1999", "In 2011", "1/2 two-", "none here.", "ſtraße ² ³"]
+
+
+@pytest.mark.parametrize("pattern,flags", PATTERNS)
+def test_required_characters_never_change_a_result(pattern, flags):
+    import re
+
+    from textloom.functions.patterns import sub
+
+    for text in SAMPLES:
+        assert sub(pattern, "#", text, flags) == re.sub(pattern, "#", text, flags=flags | re.M)

@@ -305,7 +305,8 @@ def currencies(text: str, units: tuple[Unit, ...] = ENGLISH_CURRENCIES, spelled:
     names = alternation(n for u in units for n in (u.singular, u.plural))
     scale = "|".join(w.strip() for w in many.values() if w.strip())
     text = sub(rf"{BEGIN}{NUMBER} (?:(?:{scale})s? )?(?:{names}){END}", lambda m: tag("CURRENCY", m[0]), text)
-    text = sub(rf"{BEGIN}(?<!> )(?:{spelled}) (?:{names}){END}", lambda m: tag("CURRENCY", m[0]), text)
+    if any(n in text for u in units for n in (u.singular, u.plural)):
+        text = sub(rf"{BEGIN}(?<!> )(?:{spelled}) (?:{names}){END}", lambda m: tag("CURRENCY", m[0]), text)
     return trim_blanks(text)
 
 
@@ -369,7 +370,8 @@ def units(
     amount = rf"{one}(?: {per} {one})?"
     text = sub(rf"{BEGIN}(?:{NUMBER} [xX] )?{NUMBER} {amount}{END}", lambda m: tag("QUANTITY", m[0]), text)
     text = sub(rf"{BEGIN}({NUMBER})-((?:{words})){END}", lambda m: tag("QUANTITY", f"{m[1]} {m[2]}"), text)
-    text = sub(rf"{BEGIN}(?<!> )(?:{spelled}) {amount}{END}", lambda m: tag("QUANTITY", m[0]), text)
+    if any(n in text for u in table for n in (u.singular, u.plural)) or "fluid ounce" in text:
+        text = sub(rf"{BEGIN}(?<!> )(?:{spelled}) {amount}{END}", lambda m: tag("QUANTITY", m[0]), text)
     text = sub(r" </QUANTITY> +<QUANTITY> ", " ", text)
     return trim_blanks(text)
 

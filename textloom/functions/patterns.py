@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import re
+import re._constants as sre
 from collections.abc import Callable
 
 UP = "A-ZÀ-ÖØ-Þ"
@@ -29,7 +30,75 @@ def compiled(pattern: str, flags: int = 0) -> re.Pattern:
     return re.compile(pattern, flags | re.M)
 
 
+_DIGITS = frozenset("0123456789")
+
+
+def _choices(items) -> frozenset[str] | None:
+    """Characters that a class may match, or None where they are too many to list."""
+    out: set[str] = set()
+    for op, value in items:
+        if op is sre.LITERAL:
+            out.add(chr(value))
+        elif op is sre.RANGE and value[1] - value[0] < 64:
+            out.update(map(chr, range(value[0], value[1] + 1)))
+        elif op is sre.CATEGORY and value is sre.CATEGORY_DIGIT:
+            out |= _DIGITS
+        else:
+            return None
+    return frozenset(out)
+
+
+def _required(tree) -> set[frozenset[str]]:
+    """Sets of characters, each of which gives one to every match or its surroundings."""
+    out: set[frozenset[str]] = set()
+    for op, value in tree:
+        if op is sre.LITERAL:
+            out.add(frozenset(chr(value)))
+        elif op is sre.IN:
+            found = _choices(value)
+            if found:
+                out.add(found)
+        elif op is sre.SUBPATTERN:
+            out |= _required(value[-1])
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[0] > 0:
+            out |= _required(value[2])
+        elif op is sre.ASSERT:
+            out |= _required(value[1])
+        elif op is sre.BRANCH:
+            parts = [_required(b) for b in value[1]]
+            if all(parts):
+                out.add(frozenset().union(*(min(p, key=len) for p in parts)))
+    return out
+
+
+@functools.lru_cache(4096)
+def required(pattern: str, flags: int = 0) -> tuple[frozenset[str], ...]:
+    """What a text must hold for the pattern to match; letters count in one case only where the case matters."""
+    found = _required(re._parser.parse(pattern, flags | re.M))
+    if flags & re.I or "(?i" in pattern:
+        found = {s for s in found if not any(c.isalpha() for c in s)}
+    return tuple(sorted((s for s in found if " " not in s and len(s) <= 80), key=len))[:4]
+
+
+_last: list = ["", frozenset()]
+
+
+def characters(text: str) -> frozenset[str]:
+    """The characters of a text, with 0 for any digit; the last text's are kept."""
+    if _last[0] is not text:
+        found = frozenset(text)
+        if not text.isascii() and any(c.isdigit() for c in found):
+            found |= _DIGITS
+        _last[:] = text, found
+    return _last[1]
+
+
 def sub(pattern: str, new: Rewrite, text: str, flags: int = 0) -> str:
+    """All matches replaced; texts without a character that the pattern requires aren't searched."""
+    have = characters(text)
+    for need in required(pattern, flags):
+        if have.isdisjoint(need):
+            return text
     return compiled(pattern, flags).sub(new, text)
 
 
@@ -44,7 +113,7 @@ def fixpoint(pattern: str, new: Rewrite, text: str) -> str:
 
 def trim_blanks(text: str) -> str:
     """Runs of blanks become one; lines neither begin nor end with one."""
-    return sub(r" $", "", sub(r"^ ", "", sub(r" +", " ", text)))
+    return sub(r" $", "", sub(r"^ ", "", sub(r"  +", " ", text) if "  " in text else text))
 
 
 def tag(name: str, body: str) -> str:

@@ -32,6 +32,8 @@ def _year_pair(m: re.Match) -> str:
 
 def split_dots(word: str, abbreviations: frozenset[str] = ABBREVIATIONS) -> str:
     """Where the dots of a word part from it: not in numbers, domains, abbreviations or initials."""
+    if "." not in word:
+        return word
     word = sub(r"\.{3,}", " ... ", word) if "..." in word else word
     if "..." in word:
         return word.strip()

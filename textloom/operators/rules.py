@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.arrow import text_function
-from textloom.functions.patterns import BEGIN, END, compiled
+from textloom.functions.patterns import BEGIN, END, sub
 
 _MARKS = re.compile(r"[\\^$.|?*+()\[\]{}]")
 _POSIX = {"[[:alpha:]]": r"[^\W\d_]", "[[:alnum:]]": r"[^\W_]", "[[:digit:]]": r"\d", "[[:space:]]": r"\s"}
@@ -78,16 +78,19 @@ class RuleSet:
         self.rules = rules
         self.by_token: dict[str, list[int]] = {}
         self.always: list[int] = []
+        self.patterns: dict[int, str] = {}
         for k, rule in enumerate(rules):
             if rule.literal:
                 self.by_token.setdefault(rule.pattern.split(" ")[0], []).append(k)
             else:
                 self.always.append(k)
 
-    def _pattern(self, k: int) -> re.Pattern:
-        rule = self.rules[k]
-        body = re.escape(rule.pattern) if rule.literal else translate(rule.pattern)
-        return compiled(f"{BEGIN}(?:{body}){END}")
+    def _pattern(self, k: int) -> str:
+        if k not in self.patterns:
+            rule = self.rules[k]
+            body = re.escape(rule.pattern) if rule.literal else translate(rule.pattern)
+            self.patterns[k] = f"{BEGIN}(?:{body}){END}"
+        return self.patterns[k]
 
     def _found(self, text: str) -> set[int]:
         out: set[int] = set()
@@ -108,7 +111,7 @@ class RuleSet:
                 continue
             tried.add(k)
             rewrite = self.rules[k].rewrite
-            after = self._pattern(k).sub(lambda m, r=rewrite: r, text)
+            after = sub(self._pattern(k), lambda m, r=rewrite: r, text)
             if after != text:
                 text = after
                 for new in self._found(text) - tried:
