@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 from textloom.functions.lexicon import Lexicon
-from textloom.functions.patterns import BEGIN, END, LO, TAGS, UP, compiled, fixpoint, sub, trim_blanks
+from textloom.functions.patterns import AFTER, BEGIN, CAPITAL, CAPITAL_OR_DIGIT, END, LETTER, LO, TAGS, UP, compiled, fixpoint, sub, trim_blanks
 
 _GERMAN = {"ä": "ae", "ñ": "ny", "ö": "oe", "ü": "ue", "ÿ": "yu"}
 _LIGATURES = {"ß": "ss", "Æ": "AE", "æ": "ae", "Ĳ": "IJ", "ĳ": "ij", "Œ": "Oe", "œ": "oe", "ə": "e", "Ə": "e", "’": "'"}
@@ -54,10 +54,11 @@ def space_punctuation(text: str) -> str:
 
 def clean_pdf(text: str) -> str:
     """Section numbers, list letters, page numbers and bullets at line starts, twice."""
+    gap = r"(?:[ \n]|\Z)"
     for _ in range(2):
-        text = sub(r"^(?:\d\.)+(?: |\n|\Z)", "", text)
-        text = sub(r"^\w\.(?: |\n|\Z)", "", text)
-        text = sub(r"^\(?[0-9i]+\)?(?: |\n|\Z)", "", text)
+        text = sub(rf"^(?:\d\.)+{gap}", "", text)
+        text = sub(rf"^\w\.{gap}", "", text)
+        text = sub(rf"^\(?[i\d]+\)?{gap}", "", text)
         text = sub(r"^ +o +", "", text)
     return text
 
@@ -112,7 +113,7 @@ def split_entities(text: str, places) -> str:
 
 def entity_fixes(text: str) -> str:
     """Roman numerals and ``Saint`` move into the tag they belong to."""
-    text = sub(rf" (</[A-Z]+>) +((?:XV|XI|XX|X)+V*(?:II|IV|IX|I)*){END}", r" \2 \1 ", text)
+    text = sub(rf" (</[A-Z]+>) +((?:X[VIX]?)+V*(?:I[IVX]?)*){END}", r" \2 \1 ", text)
     text = sub(r"(?:(?<= )|^)Saint +<PERSON> +(?=[A-Z])", "<PERSON> Saint ", text)
     return trim_blanks(text)
 
@@ -215,29 +216,29 @@ def acronyms(text: str, lexicon: Lexicon, chemicals: bool = False) -> str:
     def partial(word: str) -> str:
         if len(word) >= 3 and (word.lower() in lexicon or word.capitalize() in lexicon):
             return word
-        m = re.match(r"([A-Z])([A-Z]+[a-z].*)$", word)
+        m = re.match(f"({CAPITAL})({CAPITAL}+{LETTER}.*)$", word)
         return f"{m[1]}.{partial(m[2])}" if m else word
 
     plural_end = rf"(?:{END}|(?=s ))"
     text = sub(r"(?:(?<= )|^)\.(?=[a-z])", "", text)
     text = sub(rf"(?:(?<= )|^)(?:[a-z]\d)+{plural_end}", lambda m: m[0].upper(), text)
-    text = sub(r"\b([a-z])(?=[A-Z0-9])", lambda m: m[1].upper() + ".", text)
+    text = sub(rf"\b({LETTER})(?={CAPITAL_OR_DIGIT})", lambda m: m[1].upper() + ".", text)
     text = sub(rf"\b[A-Z]{{2,}}(?:-[A-Z]{{2,}})+{plural_end}", lambda m: m[0].replace("-", " "), text)
-    text = sub(rf"\b[A-Z0-9]\. ?[A-Z0-9](?:\. ?[A-Z0-9])+\.?{plural_end}", dotted, text)
-    text = sub(rf"\b[A-Z0-9]-[A-Z0-9](?:-[A-Z0-9])+{plural_end}", dotted, text)
+    text = sub(rf"\b{CAPITAL_OR_DIGIT}(?:\. ?{CAPITAL_OR_DIGIT}){{2,}}\.?{plural_end}", dotted, text)
+    text = sub(rf"\b{CAPITAL_OR_DIGIT}(?:-{CAPITAL_OR_DIGIT}){{2,}}{plural_end}", dotted, text)
     noises = compiled(r"hm+|br{2,}|gr{2,}|sh{2,}")
     text = sub(rf"(?:(?<=[ -])|^)[{_CONSONANTS}]{{2,}}{plural_end}", lambda m: m[0] if noises.fullmatch(m[0]) else m[0].upper(), text)
     text = sub(rf"(?:(?<= )|^|\b)(?<![.\w])[A-Z0-9&]{{2}}(?:[-&]?[A-Z0-9]+)*(?:{END}|(?=-|s'?(?: |\n|\Z)))", explode, text)
-    text = sub(rf"(?:(?<=[ -])|^)([a-z])&([a-z]){plural_end}", lambda m: f"{m[1].upper()}.&{m[2].upper()}.", text)
+    text = sub(rf"(?:(?<=[ -])|^)({LETTER})&({LETTER}){plural_end}", lambda m: f"{m[1].upper()}.&{m[2].upper()}.", text)
     if chemicals:
         text = formulas(text)
     text = sub(rf"(?:(?<=[ -])|^)[A-Z]{{2,}}[a-z]+(?:{END}|(?=-))", lambda m: partial(m[0]), text)
     text = sub(r"(?:(?<= )|^)([A-Z])-", r"\1.-", text)
     text = sub(rf"(?:(?<= )|^)([B-HJ-Z]){END}", r"\1.", text)
-    text = sub(r"(?:(?<= )|^)([B-HJ-Z])'S(?= |\n|\Z)", r"\1.'s", text)
+    text = sub(rf"(?:(?<= )|^)([B-HJ-Z])'S{AFTER}", r"\1.'s", text)
     text = sub(r"(?:(?<= )|^)([AI])'[sS]", r"\1.'s", text)
     text = sub(rf"([A-Z]\.[A-Z]){END}", r"\1.", text)
-    text = sub(rf"(?:(?<= )|^)([a-z]+) ([A-Z]\.)'s{END}", r"\1 \2s", text)
+    text = sub(rf"(?:(?<= )|^)({LETTER}+) ({CAPITAL}\.)'s{END}", r"\1 \2s", text)
     text = sub(rf"(?:(?<= )|^)([B-DF-HJ-NP-TVZ])s{END}", r"\1.s", text)
     text = sub(r"([A-Z0-9])\. '", r"\1.'", text)
     return trim_blanks(text)
@@ -278,8 +279,8 @@ def name_case(text: str) -> str:
     """Personal names: capitals after every boundary, Mc and Mac forms, small particles."""
     text = sub(r"\b\w", lambda m: m[0].upper(), text.lower())
     text = sub(r"'\w\b", lambda m: m[0].lower(), text)
-    if compiled(r"\bMac[A-Za-z]{2,}[^aciozj]\b|\bMc").search(text):
-        text = sub(r"\b(Ma?c)([A-Za-z]+)", lambda m: m[1] + m[2].capitalize(), text)
+    if compiled(r"\bM(?:ac[a-zA-Z]{2,}[^acijoz]\b|c)").search(text):
+        text = sub(r"\b(Ma?c)([a-zA-Z]+)", lambda m: m[1] + m[2].capitalize(), text)
         text = sub(r"\bMac(Evicius|Hado|Hin|Hlin|Kle|Klin|Quarie)", lambda m: "Mac" + m[1].lower(), text)
     for particle in ("al", "ap", "dell", "de", "der", "di", "la", "lo", "van", "von"):
         text = sub(rf"(?<=\w )\b{particle.capitalize()}\b(?= \w)", particle, text)

@@ -14,11 +14,21 @@ from textloom.functions import roman
 from textloom.functions.cleaning import first_letters
 from textloom.functions.lexicon import ENGLISH_CURRENCIES, ENGLISH_UNITS, Lexicon, Unit
 from textloom.functions.patterns import (
+    AFTER,
     BEGIN,
+    CAPITAL,
+    CAPITAL_OR_DIGIT,
+    COLON,
     END,
+    HALVES,
     HOUR,
+    LETTER,
     LO,
+    MINUTE,
+    MODERN,
+    NAME,
     NUMBER,
+    NUMERAL,
     ROMAN_MARK,
     UP,
     YEAR_MARK,
@@ -30,12 +40,15 @@ from textloom.functions.patterns import (
     trim_blanks,
 )
 
+ERA = "(?:A[.]?D|B[.]?C)[.]?"
+CLOSED = f"</{CAPITAL}+>"
 MONTHS = list(calendar.month_name)[1:]
 _SHORT = {m[:3]: m for m in MONTHS if m != "May"} | {"Sept": "September"}
 _MONTH = "(?:" + "|".join(MONTHS) + "|(?:" + "|".join(_SHORT) + r")\.)"
 _DAY_NAME = "(?:" + "|".join(calendar.day_name) + ")"
 _DAY = r"(?:0?[1-9]|[12]\d|3[01])"
 _MONTH_NUMBER = r"(?:0?[1-9]|1[0-2])"
+_WHEN = "after|at|before|from|since|to|until"
 _SINCE = "in|on|since|before|after|until|from|to"
 _DIGIT = "(?:" + "|".join(num.cardinal(str(n)) for n in range(1, 10)) + ")"
 _SMALL = "(?:" + "|".join(num.cardinal(str(n)) for n in sorted(range(10, 100), key=lambda n: -len(num.cardinal(str(n))))) + f"|{_DIGIT})"
@@ -46,11 +59,11 @@ def remove_bugs(text: str) -> str:
     """Slips common to all sources: signs, spacing, small roman numerals, ``Co`` and the like."""
     text = sub(r" ß-", " beta-", text)
     text = sub(r"(?<=\w)ß(?=\w)", "ss", text)
-    text = sub(rf"\b(?:xl|lx|xv|xi|xx|x)+v*(?:ii|iv|ix|i)*{END}", lambda m: m[0].upper(), text)
+    text = sub(rf"\b(?:x[livx]?|lx)+v*(?:i[ivx]?)*{END}", lambda m: m[0].upper(), text)
     text = text.replace("€", " EUR ").replace(" & ", " and ")
     text = sub(r"^\d{8,}(?=[A-Z])", "", text)
     text = sub(r"'+", "'", text).replace("'sa ", "'s a ").replace("%", " % ")
-    text = fixpoint(r"(?:(?<= )|^)(\d+)[xX](?=\d+(?:[×xX/ ]|$))", r"\1 x ", text)
+    text = fixpoint(r"(?:(?<= )|^)(\d+)[Xx](?=\d+(?:$|[ /Xx×]))", r"\1 x ", text)
     text = sub(r"(?<=\d)(century|army)(?= |$)", r"th \1", text)
     text = sub(r"(?<=\w)\(", " (", text)
     text = sub(r"\)(?=\w)", ") ", text)
@@ -122,8 +135,8 @@ def repair_url(line: str) -> str:
 
 
 def spell_url(token: str, lexicon: Lexicon | None = None, signs: dict[str, str] = _SIGNS) -> str:
-    token = sub(r"([a-z])(?=[A-Z0-9][a-z0-9])", r"\1 ", token)
-    token = sub(r"([A-Z])(?=[A-Z][a-z])", r"\1 ", token)
+    token = sub(f"({LETTER})(?={CAPITAL_OR_DIGIT}[a-z0-9])", r"\1 ", token)
+    token = sub(f"({CAPITAL})(?={CAPITAL}{LETTER})", r"\1 ", token)
     token = sub(r"([A-Za-z])(?=\d)", r"\1 ", token)
     token = token.replace("//", f" double {signs['/']} ")
     for sign, word in signs.items():
@@ -213,6 +226,8 @@ def decade(text: str) -> str:
 
 _D, _H, _M = r"(?:days?|d \.|d\.?)", r"(?:hours?|h \.|h\.?)", r"(?:minutes?|min ?\.?|mn ?\.?|')"
 _S, _MS = r"(?:seconds?|sec ?\.?|s \.|s\.?|'')", r"(?:milliseconds?|ms ?\.?)"
+_FREE = r"(?<![\w.])"
+_PLURAL = rf" ?'?s(?:{END}|(?=-))"
 _STOP = r"(?= |/|\n|\Z)"
 
 
@@ -238,7 +253,7 @@ def date_and_time(text: str) -> str:
         text,
         i,
     )
-    text = sub(rf"{BEGIN}({_MONTH}) (?:, )?((?:19|20)\d\d){END}", lambda m: tag("DATE", f"{month_name(m[1])} {num.year(m[2])}"), text, i)
+    text = sub(rf"{BEGIN}({_MONTH}) (?:, )?(19\d\d|20\d\d){END}", lambda m: tag("DATE", f"{month_name(m[1])} {num.year(m[2])}"), text, i)
     text = sub(
         rf"{BEGIN}({_SINCE}) ({_MONTH}) (?:, )?(\d{{3,4}}){END}",
         lambda m: f"{m[1]} {tag('DATE', f'{month_name(m[2])} {num.year(m[3])}')}",
@@ -247,9 +262,9 @@ def date_and_time(text: str) -> str:
     )
     text = sub(rf"{BEGIN}({_MONTH}) ?({_DAY})(?:st|nd|rd|th)? ?(?:, ?)?(\d{{3,4}}){END}", lambda m: date(m[1], m[2], m[3]), text, i)
     text = sub(rf"{BEGIN}({_SINCE}) +([12][0-7]\d\d|20\d\d){END}", lambda m: f"{m[1]} {tag('DATE', num.year(m[2]))}", text, i)
-    text = sub(rf"{BEGIN}(at|since|before|after|until|from|to) (midnight|noon){END}", lambda m: f"{m[1]} {tag('TIME', m[2])}", text, i)
+    text = sub(rf"{BEGIN}({_WHEN}) (midnight|noon){END}", lambda m: f"{m[1]} {tag('TIME', m[2])}", text, i)
     text = sub(
-        rf"{BEGIN}(at|since|before|after|until|from|to) ({_SMALL} (?:o'clock|in the (?:morning|afternoon|evening|night)|[AP]M|[AP]\.M\.)){END}",
+        rf"{BEGIN}({_WHEN}) ({_SMALL} (?:o'clock|in the (?:morning|afternoon|evening|night)|[AP]M|[AP]\.M\.)){END}",
         lambda m: f"{m[1]} {tag('TIME', m[2])}",
         text,
         i,
@@ -262,23 +277,23 @@ def date_and_time(text: str) -> str:
     text = sub(rf"{BEGIN}({_DAY}) +({_MONTH_NUMBER}) +(20\d\d|1[6-9]\d\d){END}", lambda m: date(m[2], m[1], m[3]), text)
     century = r"(?:18|19|20)\d\d"
     text = sub(rf"{BEGIN}({century}) ?- ?({century}){END}", lambda m: f"{tag('DATE', num.year(m[1])).strip()} - {tag('DATE', num.year(m[2])).strip()}", text)
-    text = sub(rf"{BEGIN}([1-9]\d{{1,3}}) ?(A\.?D\.?|B\.?C\.?)(?=\W|\Z)", lambda m: date("", "", m[1], m[2]), text)
-    text = sub(rf"(?<![\w.])(?:19)?([2-9]0) ?'?s(?:{END}|(?=-))", lambda m: tag("DATE", decade(num.year(m[1]))), text)
-    text = sub(rf"(?<![\w.])(1[6-8][2-9]0) ?'?s(?:{END}|(?=-))", lambda m: tag("DATE", decade(num.year(m[1]))), text)
+    text = sub(rf"{BEGIN}([1-9]\d{{1,3}}) ?({ERA})(?=\W|\Z)", lambda m: date("", "", m[1], m[2]), text)
+    text = sub(rf"{_FREE}(?:19)?([2-9]0){_PLURAL}", lambda m: tag("DATE", decade(num.year(m[1]))), text)
+    text = sub(rf"{_FREE}(1[678][2-9]0){_PLURAL}", lambda m: tag("DATE", decade(num.year(m[1]))), text)
     text = sub(rf"{BEGIN}(\d{{3,4}})-(\d{{3,4}}){END}", lambda m: f"{tag('DATE', num.year(m[1])).strip()} - {tag('DATE', num.year(m[2])).strip()}", text)
-    text = sub(rf"(?:(?<=[ \n-])|(?<![\s\S]))((?:16|17|18|19|20)\d\d)(?:{END}|(?=-))", rf" {YEAR_MARK} \1 ", text)
+    text = sub(rf"(?:(?<=[ \n-])|(?<![\s\S]))({MODERN})(?:{END}|(?=-))", rf" {YEAR_MARK} \1 ", text)
     text = sub(rf"</DATE> -present{END}", "</DATE> until present", text)
     text = text.replace("</DATE> - <DATE>", "</DATE> to <DATE>")
     half = r"([AP])\.?M\.?"
     text = sub(rf"{BEGIN}({HOUR}(?:(?:\.| *: *)?[0-5]\d)?) ?({half})-({HOUR}(?:(?:\.| *: *)?[0-5]\d)?) ?({half}){END}", r"\1 \2 to \4 \5", text, i)
     text = sub(
-        rf"{BEGIN}({HOUR})(?:\.| *: *)([0-5]\d)(?:(?:\.| *: *)([0-5]\d))?\s?{half}{END}",
+        rf"{BEGIN}({HOUR}){COLON}({MINUTE})(?:{COLON}({MINUTE}))?\s?{half}{END}",
         lambda m: time(m[1], m[2], m[3] or "", m[4]),
         text,
         i,
     )
     text = sub(rf"{BEGIN}({HOUR})([0-5]\d)? ?{half}{END}", lambda m: time(m[1], m[2] or "", "", m[3]), text, i)
-    text = sub(rf"{BEGIN}([01]\d|2[0-4])(?:\.| *: *)([0-5][05]){END}", lambda m: time(m[1], m[2]), text)
+    text = sub(rf"{BEGIN}([01]\d|2[0-4]){COLON}([0-5][05]){END}", lambda m: time(m[1], m[2]), text)
     text = durations(text)
     text = sub(rf"{BEGIN}({HOUR}) *[hH] *([0-5]\d)?(?: ?{half})?{END}", lambda m: time(m[1], m[2] or "", "", m[3] or ""), text)
     return trim_blanks(text)
@@ -294,7 +309,7 @@ def currencies(text: str, units: tuple[Unit, ...] = ENGLISH_CURRENCIES, spelled:
     sure = alternation(u.symbol for u in units if u.reliable)
     i = re.I
     text = sub(rf"{YEAR_MARK} (\d+) ({symbols})(?=\.?(?:'s| |/|\n|\Z))", r"\1 \2", text, i)
-    text = sub(rf"(?<![\w.])({symbols}) ?(\d+(?:[.,/][\d-]+)*) *([bmM]?)(?:(?:illio)?n)?\.?(?= |\n|\Z)", r"\2 \3 \1", text)
+    text = sub(rf"(?<![\w.])({symbols}) ?(\d+(?:[.,/][\d-]+)*) *([Mbm]?)(?:illion|n)?\.?{AFTER}", r"\2 \3 \1", text)
     text = sub(rf"{BEGIN}(\d+)\.?- *({symbols}){END}", r"\1 \2", text, i)
 
     def say(m: re.Match) -> str:
@@ -333,7 +348,7 @@ def units(
     text = sub(rf"\b({NUMBER})in\.?{END}", r"\1 in.", text)
     text = sub(r"\b3\" *1/2 ", "3.5 inches ", text)
     text = sub(r"\b5\" *1/4 ", "5 inches and a quarter ", text)
-    text = sub(rf"\b(\d+)\.(\d0) ?m\.?{END}", r"\1 m \2", text)
+    text = sub(rf"\b(\d+)[.](\d0) ?m[.]?{END}", r"\1 m \2", text)
     text = sub(rf"\b(\d+)m(\d+){END}", r"\1 m \2", text)
     text = sub(rf"\b({NUMBER}) ?[xX] ?({NUMBER}) ?({sure})(?=[^\w]|\Z)", r"\1 x \2 \3", text)
 
@@ -385,7 +400,7 @@ def hyphenate(text: str, lexicon: Lexicon) -> str:
             return w
         if compiled(rf"[{UP}]\.?.*-[A-Z0-9]").match(w) or w in lexicon:
             return w.replace("-", keep)
-        m = compiled(r"((?:.+-)*)(.+?)-(.+?)(?:'s?)?").fullmatch(w)
+        m = compiled(HALVES + "?)(?:'s?)?").fullmatch(w)
         if m and (m[2] + m[3] in lexicon or (m[2] + m[3]).lower() in lexicon):
             return m[1] + m[2] + m[3]
         return w
@@ -404,7 +419,7 @@ def apostrophes(text: str, lexicon: Lexicon) -> str:
     keep = ""
     text = sub(r"([A-Za-z0-9])(?:' s| 's)\b", r"\1's", text)
     text = sub(rf"{BEGIN}' <([A-Z]+)> (.+) (</\1>) '{END}", r"<\1> \2 \3", text)
-    text = sub(rf" (</[A-Z]+>) +'([a-z]{{1,2}}){END}", r"'\2 \1", text)
+    text = sub(rf" ({CLOSED}) +'({LETTER}{{1,2}}){END}", r"'\2 \1", text)
     text = sub(r" (</[A-Z]+>) +'(?= |\n|\Z)", r"' \1", text)
     text = sub(r" 's\b", f" {keep}s", text)
     for _ in range(2):
@@ -434,13 +449,13 @@ def roman_numbers(text: str, lexicon: Lexicon) -> str:
         return numeral if value is None else f"the {value}{'th'}"
 
     text = sub(rf"{ROMAN_MARK} ([IVXLCDM]+)", lambda m: f" {roman.decimal(m[1])} ", text)
-    text = sub(r"([A-Z][a-z]{2,}) </PERSON> ([IV]+(?:'s)?)(?= |\n|\Z)", r"\1 \2 </PERSON>", text)
+    text = sub(rf"({NAME}) </PERSON> ([IV]+(?:'s|)){AFTER}", r"\1 \2 </PERSON>", text)
     text = sub(
-        r"<PERSON> ([A-Z][a-z]{2,}(?: [A-Z][a-z]{2,})?) ([IV]+)(?='s|\. <| <)",
+        rf"<PERSON> ({NAME}(?: {NAME})?) ([IV]+)(?='s|\.? <)",
         lambda m: f"<PERSON> {m[1]} {nth(m[2], True)}",
         text,
     )
-    text = sub(r"\b([A-Z][a-z]{2,}) ([IVXLCDM]+)(?='s| |$)", lambda m: f"{m[1]} {nth(m[2])}", text)
+    text = sub(rf"\b({NAME}) ({NUMERAL}+)(?='s| |$)", lambda m: f"{m[1]} {nth(m[2])}", text)
 
     def alone(m: re.Match) -> str:
         name, rest = m[1], m[2]
@@ -453,8 +468,8 @@ def roman_numbers(text: str, lexicon: Lexicon) -> str:
             said = "1" if known and not lexicon.tags(name) & {"NP", "SYM"} else "I"
         return f"{name} {said}" + (f" {rest}" if rest[:1].isalpha() else rest)
 
-    text = sub(r"\b([A-Z][a-z]{2,}) I (?=([A-Za-z][a-z]*)(?='s| |$))", lambda m: alone(m)[: -len(m[2])] if m[2] else m[0], text)
-    text = sub(r"\b([A-Z][a-z]{2,}) I( ?\.(?= |\n|\Z)|(?=\n|\Z))", alone, text)
+    text = sub(rf"\b({NAME}) I (?=([A-Za-z]{LETTER}*)(?='s| |$))", lambda m: alone(m)[: -len(m[2])] if m[2] else m[0], text)
+    text = sub(rf"\b({NAME}) I( ?\.{AFTER}|(?=\n|\Z))", alone, text)
     text = sub(r"(?<!<ORGANIZATION> )(?:(?<= )|^)([IVXLCDM]{3,})(?=\.| |$)", lambda m: roman.decimal(m[1]), text)
     text = sub(r"(?<=\d)(st|th)\.", r"\1 .", text)
     return trim_blanks(text)
@@ -464,14 +479,14 @@ def numbers(text: str, lexicon: Lexicon) -> str:
     """All remaining digits in words."""
     say, nth = num.cardinal, num.ordinal
     i = re.I
-    text = sub(rf"{YEAR_MARK} ((?:16|17|18|19|20)\d\d)(?:{END}|(?=-))", lambda m: tag("DATE", num.year(m[1])), text)
+    text = sub(rf"{YEAR_MARK} ({MODERN})(?:{END}|(?=-))", lambda m: tag("DATE", num.year(m[1])), text)
     text = sub(
-        rf"\b(in|before|after|year|until|from|to) (20\d\d|1[3-9]\d\d){END}",
+        rf"\b(after|before|from|in|to|until|year) (20\d\d|1[3-9]\d\d){END}",
         lambda m: f"{m[1]} {tag('DATE', num.year(m[2]))}",
         text,
         i,
     )
-    text = sub(r"(\d),(\d{3})(?= |$)", r"\1\2", text)
+    text = sub(r"(?<=\d),(?=\d{3}(?: |$))", "", text)
     text = sub(rf"(\d+(?:st|nd|rd|th)?)(?={_MONTH})", r"\1 ", text)
     text = sub(r"(?:(?<= )|^)-(?=\d)", "minus ", text)
     text = sub(r"\+ ?(?=\d)", " plus ", text)
@@ -523,10 +538,10 @@ def end(text: str, spell=num.cardinal, and_word: str = "and", plus: str = "plus"
     text = sub(r"(?<![<\w/])(\w+)>(?= |\n|\Z)", r"\1", text)
     text = sub(r"(?:(?<= )|^)- ", "", text)
     text = sub(r" -$", "", text)
-    text = sub(r"\b([A-Z0-9]\.?(?:[a-zA-Z0-9-]\.?)+)-(?= |\n|\Z)", r"\1", text)
+    text = sub(rf"\b({CAPITAL_OR_DIGIT}[.]?(?:[\da-zA-Z-][.]?)+)-{AFTER}", r"\1", text)
     text = sub(r"(?:(?<= )|^)-(?=[A-Z0-9])", "", text)
     text = sub(rf" ([!?.]) '([a-z]{{1,2}}){END}", r"'\2 \1", text)
-    text = sub(rf" (</[A-Z]+>) *'([a-z]{{1,2}}){END}", r"'\2 \1", text)
+    text = sub(rf" ({CLOSED}) *'({LETTER}{{1,2}}){END}", r"'\2 \1", text)
     text = sub(rf" '([st]){END}", r"'\1", text)
     text = sub(r"(?:(?<= )|^)/", f"{slash} ", text)
     text = sub(rf"{BEGIN}([^\W_]+)[Tt][Vv]{END}", r"\1T.V.", text) if compiled(rf"{BEGIN}[^\W_]+TV{END}").search(text) else text

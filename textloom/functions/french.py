@@ -10,14 +10,14 @@ from textloom.functions import roman
 from textloom.functions.cleaning import first_letters
 from textloom.functions.lexicon import FRENCH_CURRENCIES, FRENCH_UNITS, Lexicon
 from textloom.functions.numbers_en import plural
-from textloom.functions.patterns import BEGIN, END, HOUR, LO, NUMBER, ROMAN_MARK, UP, YEAR_MARK, compiled, fixpoint, sub, tag, trim_blanks
+from textloom.functions.patterns import BEGIN, COLON, END, HALVES, HOUR, LO, MINUTE, MODERN, NAME, NUMBER, NUMERAL, ROMAN_MARK, UP, YEAR_MARK, compiled, fixpoint, sub, tag, trim_blanks
 
 MONTHS = "janvier février mars avril mai juin".split() + "juillet août septembre octobre novembre décembre".split()
 _SHORT = {"jan": 0, "janv": 0, "fév": 1, "févr": 1, "avr": 3, "juil": 6, "sept": 8, "sep": 8, "oct": 9, "nov": 10, "déc": 11}
 _MONTH = "(?:" + "|".join(MONTHS) + "|(?:" + "|".join(sorted(_SHORT, key=len, reverse=True)) + r")\.)"
 _DAY_NAME = "(?:" + "|".join(d + "di" for d in ("lun", "mar", "mercre", "jeu", "vendre", "same")) + "|dimanche)"
 _DAY, _MONTH_NUMBER = english._DAY, english._MONTH_NUMBER
-_SINCE = "en|durant|pendant|depuis|avant|après|jusqu'à|vers|de|à"
+_SINCE = "après|avant|de|depuis|durant|en|jusqu'à|pendant|vers|à"
 _DIGIT = "(?:" + "|".join(num.cardinal(str(n)) for n in range(1, 10)) + ")"
 _SMALL = "(?:" + "|".join(sorted((num.cardinal(str(n)) for n in range(10, 100)), key=lambda w: -len(w))) + f"|{_DIGIT})"
 _SPELLED = rf"(?:{_SMALL} (?:milliards?|millions?|mille) )*(?:(?:{_DIGIT} )?cents? )?{_SMALL}(?: (?:point|virgule) {_SMALL})?"
@@ -35,7 +35,7 @@ def complex_abbreviations(text: str) -> str:
     ordinal = r"(?:i?[eè]me|[eè])"
     text = sub(rf"{BEGIN}([XVI]+)\.?{ordinal}{END}", lambda m: roman.decimal(m[1], True) + "e", text)
     text = sub(
-        rf"{BEGIN}([XVI]+) ([Ss]iècle|[Aa]rmée|[Rr]épublique){END}", lambda m: f"{roman.decimal(m[1], True)}e {m[2]}", text
+        rf"{BEGIN}([IVX]+) ([Aa]rmée|[Rr]épublique|[Ss]iècle){END}", lambda m: f"{roman.decimal(m[1], True)}e {m[2]}", text
     )
     text = sub(rf"\b([{UP}][{LO}]+)-([IVXLCDM]+){END}", lambda m: f"{m[1]} {roman.decimal(m[2], True)}", text)
     text = sub(r"([A-Za-z0-9]) ?\+", r"\1 plus ", text)
@@ -116,10 +116,10 @@ def date_and_time(text: str) -> str:
         i,
     )
     text = sub(rf"{BEGIN}({_DAY}|1er) ({_MONTH}) (\d{{3,4}}){END}", lambda m: date(m[2], "1" if m[1] == "1er" else m[1], m[3]), text, i)
-    text = sub(rf"{BEGIN}({_MONTH}) (?:, )?((?:19|20)\d\d){END}", lambda m: date(m[1], "", m[2]), text, i)
+    text = sub(rf"{BEGIN}({_MONTH}) (?:, )?(19\d\d|20\d\d){END}", lambda m: date(m[1], "", m[2]), text, i)
     text = sub(rf"{BEGIN}({_SINCE}) ({_MONTH}) (?:, )?(\d{{3,4}}){END}", lambda m: f"{m[1]} {date(m[2], '', m[3])}", text, i)
     text = sub(rf"{BEGIN}({_SINCE}) +([12][0-7]\d\d|20\d\d){END}", lambda m: f"{m[1]} {tag('DATE', num.year(m[2]))}", text, i)
-    text = sub(rf"{BEGIN}(depuis|avant|après|jusqu'à|vers|de|à) (minuit|midi){END}", lambda m: f"{m[1]} {tag('TIME', m[2])}", text, i)
+    text = sub(rf"{BEGIN}(après|avant|de|depuis|jusqu'à|vers|à) (minuit|midi){END}", lambda m: f"{m[1]} {tag('TIME', m[2])}", text, i)
     text = sub(rf"{BEGIN}({_MONTH_NUMBER})( ?[-./] ?)({_DAY})\2([12]?\d?\d\d){END}", lambda m: date(m[1], m[3], m[4]), text)
     text = sub(rf"{BEGIN}({_DAY})( ?[-./] ?)({_MONTH_NUMBER})\2([12]?\d?\d\d){END}", lambda m: date(m[3], m[1], m[4]), text)
     text = sub(rf"{BEGIN}({_DAY}) +({_MONTH_NUMBER}) +(20\d\d|1[6-9]\d\d){END}", lambda m: date(m[2], m[1], m[3]), text)
@@ -128,18 +128,18 @@ def date_and_time(text: str) -> str:
         lambda m: f"{tag('DATE', num.year(m[1])).strip()} - {tag('DATE', num.year(m[2])).strip()}",
         text,
     )
-    text = sub(rf"{BEGIN}([1-9]\d{{1,3}}) ?(A\.?D\.?|B\.?C\.?)(?=\W|\Z)", lambda m: date("", "", m[1], m[2]), text)
-    text = sub(rf"(?:(?<=[ \n-])|(?<![\s\S]))((?:16|17|18|19|20)\d\d)(?:{END}|(?=-))", rf" {YEAR_MARK} \1 ", text)
+    text = sub(rf"{BEGIN}([1-9]\d{{1,3}}) ?({english.ERA})(?=\W|\Z)", lambda m: date("", "", m[1], m[2]), text)
+    text = sub(rf"(?:(?<=[ \n-])|(?<![\s\S]))({MODERN})(?:{END}|(?=-))", rf" {YEAR_MARK} \1 ", text)
     text = text.replace("</DATE> - <DATE>", "</DATE> à <DATE>")
     half = r"([AP])\.?M\.?"
     text = sub(
-        rf"{BEGIN}({HOUR})(?:\.| *: *)([0-5]\d)(?:(?:\.| *: *)([0-5]\d))?\s?{half}{END}",
+        rf"{BEGIN}({HOUR}){COLON}({MINUTE})(?:{COLON}({MINUTE}))?\s?{half}{END}",
         lambda m: time(m[1], m[2], m[3] or "", m[4]),
         text,
         i,
     )
     text = sub(rf"{BEGIN}({HOUR})([0-5]\d)? ?{half}{END}", lambda m: time(m[1], m[2] or "", "", m[3]), text, i)
-    text = sub(rf"{BEGIN}([01]\d|2[0-4])(?:\.| *: *)([0-5][05]){END}", lambda m: time(m[1], m[2]), text)
+    text = sub(rf"{BEGIN}([01]\d|2[0-4]){COLON}([0-5][05]){END}", lambda m: time(m[1], m[2]), text)
     text = english.durations(text, ("jour", "heure", "minute", "seconde", "milliseconde"), _MARKS)
     text = sub(rf"{BEGIN}({HOUR}) *[hH] *([0-5]\d)?{END}", lambda m: time(m[1], m[2] or ""), text)
     return trim_blanks(text)
@@ -168,7 +168,7 @@ def roman_numbers(text: str, lexicon: Lexicon) -> str:
         value = roman.to_int(m[2])
         return m[0] if value is None else f"{m[1]} {value}e"
 
-    text = sub(r"\b([A-Z][a-z]{2,}) ([IVXLCDM]+)(?= |$)", nth, text)
+    text = sub(rf"\b({NAME}) ({NUMERAL}+)(?= |$)", nth, text)
     text = sub(r"^([IVXLCDM]+)(?=\.| |$)", lambda m: roman.decimal(m[1]), text)
     text = sub(r"(?<!<ORGANIZATION> )(?<= )([IVXLCDM]{3,})(?=\.| |$)", lambda m: roman.decimal(m[1]), text)
     return trim_blanks(text)
@@ -177,7 +177,7 @@ def roman_numbers(text: str, lexicon: Lexicon) -> str:
 _CLITICS = sorted({"ce", "elle", "elles", "il", "ils", "je", "la", "le", "les", "leur", "lui", "moi", "nous", "on", "toi", "tu", "vous", "en", "y", "ci", "là", "même", "mêmes"}, key=lambda w: (-len(w), w))
 _WITH_T = r"-t-(?:elles?|ils?|on|en)"
 _CLITIC = rf"(?:{_WITH_T}|-(?:{'|'.join(_CLITICS)}))"
-_WHOLE = compiled(r"[rR]endez-vous|[eE]ntre-lui|[cC]hez-(?:[mt]oi|nous)")
+_WHOLE = compiled(r"[Cc]hez-(?:[mt]oi|nous)|[Ee]ntre-lui|[Rr]endez-vous")
 
 
 def hyphenate(text: str, lexicon: Lexicon) -> str:
@@ -197,7 +197,7 @@ def hyphenate(text: str, lexicon: Lexicon) -> str:
         w = m[0]
         if compiled(rf"[{UP}]\.?.*-[A-Z0-9]").match(w) or w in lexicon or _WHOLE.fullmatch(w):
             return w.replace("-", keep)
-        both = compiled(r"((?:.+-)*)(.+?)-(.+)").fullmatch(w)
+        both = compiled(HALVES + ")").fullmatch(w)
         if both and (both[2] + both[3]).lower() in lexicon:
             return both[1] + both[2] + both[3]
         return w.replace("-", " -")
@@ -209,7 +209,7 @@ def hyphenate(text: str, lexicon: Lexicon) -> str:
     return trim_blanks(text.replace(keep, "-"))
 
 
-_ELIDED = r"(?:[cdjlmnstCDJLMNST]|[Qq]u|[Jj]usqu|[Ll]orsqu|[Pp]uisqu|[Pp]resqu|[Qq]uelqu|[Qq]uoiqu)"
+_ELIDED = r"(?:[CDJLMNSTcdjlmnst]|(?:[Jj]us|[Ll]ors|[Pp](?:res|uis)|[Qq]u(?:el|oi))?(?:(?<=[\w])q|(?<![\w])[Qq])u)"
 
 
 def apostrophes(text: str, lexicon: Lexicon) -> str:
@@ -231,9 +231,9 @@ def numbers(text: str, lexicon: Lexicon) -> str:
     """All remaining digits in words."""
     say, nth = num.cardinal, num.ordinal
     i = re.I
-    text = sub(rf"{YEAR_MARK} ((?:16|17|18|19|20)\d\d)(?:{END}|(?=-))", lambda m: tag("DATE", num.year(m[1])), text)
+    text = sub(rf"{YEAR_MARK} ({MODERN})(?:{END}|(?=-))", lambda m: tag("DATE", num.year(m[1])), text)
     text = sub(rf"\b({_SINCE}) (20\d\d|1[3-9]\d\d){END}", lambda m: f"{m[1]} {tag('DATE', num.year(m[2]))}", text, i)
-    text = sub(r"(\d),(\d{3})(?= |$)", r"\1\2", text)
+    text = sub(r"(?<=\d),(?=\d{3}(?: |$))", "", text)
     text = sub(r"(?:(?<= )|^)-(?=\d)", "moins ", text)
     text = sub(r"\+ ?(?=\d)", " plus ", text)
     text = fixpoint(rf"{BEGIN}({NUMBER}) *[xX] *(?={NUMBER}(?:/| |\n|\Z))", r"\1 par ", text)

@@ -11,7 +11,7 @@ _GROUPS = ["", *(p + "illion" for p in "m b tr quadr quint sext sept oct non dec
 _GROUPS.insert(1, "thousand")
 _IRREGULAR = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
 _INFINITY = re.compile(r"([+-]?)inf(?:inity)?", re.I)
-_SCIENCE = re.compile(r"([-+]?(?:[\d,]+|[\d,]*\.\d+))[eE](-?\d+)")
+_SCIENCE = re.compile(r"([+-]?(?:[,\d]*\.\d+|[,\d]+))[Ee](-?\d+)")
 _PLAIN = re.compile(r"([-+]?)(\d*)(?:\.(\d+))?")
 
 

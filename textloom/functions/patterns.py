@@ -21,6 +21,14 @@ YEAR_MARK = "\ue000"
 ROMAN_MARK = "ROMAN_CARDINAL"
 TAGS = ("CURRENCY", "DATE", "LOCATION", "ORGANIZATION", "PERSON", "PHONE", "QUANTITY", "TIME", "URL")
 HOUR = r"(?:[01]?\d|2[0-4])"
+MINUTE = r"[0-5]\d"
+COLON = r"(?:\.| *: *)"
+CAPITAL, LETTER, CAPITAL_OR_DIGIT = "[A-Z]", "[a-z]", "[A-Z0-9]"
+NAME = f"{CAPITAL}{LETTER}{{2,}}"
+NUMERAL = "[IVXLCDM]"
+MODERN = r"(?:1[6-9]|20)\d\d"
+AFTER = r"(?= |\n|\Z)"
+HALVES = "(.+-|)(.+?)-(.+"
 
 Rewrite = str | Callable[[re.Match], str]
 

@@ -6,11 +6,11 @@ import re
 
 from textloom.functions.cleaning import fold_greek, fold_latin
 from textloom.functions.lexicon import ABBREVIATIONS
-from textloom.functions.patterns import compiled, fixpoint, sub
+from textloom.functions.patterns import CAPITAL, CAPITAL_OR_DIGIT, compiled, fixpoint, sub
 
 _OPERATORS = "+=÷×/"
 _SPACED = compiled(r"([±(){}\[\]\"«»+=÷×/,;:?!¡¿])")
-_DOMAIN = compiled(r"\.(?:com|net|org|co\.uk|fr|gov|de|ch|es|it|info)", re.I)
+_DOMAIN = compiled(r"\.(?:ch|co\.uk|com|de|es|fr|gov|info|it|net|org)", re.I)
 _WEB = compiled(r"(?:http://|www\.)\S+|\S+@\S+\.\S+")
 _CENTURY = compiled(r"(?:17|18|19|20)\d\d")
 _LETTER = r"[^\W\d_]"
@@ -77,7 +77,8 @@ def calm(text: str) -> str:
         first, _, rest = m[0].partition(" ")
         return f"{first.capitalize()} {rest.lower()}"
 
-    return sub(r"(?:(?<= )|^)[A-Z][A-Z0-9'-]*(?: [A-Z0-9][A-Z0-9'-]*(?: ,)?)+ [A-Z][A-Z0-9'-]+", down, text)
+    shouted = "['A-Z0-9-]"
+    return sub(rf"(?:(?<= )|^){CAPITAL}{shouted}*(?: {CAPITAL_OR_DIGIT}{shouted}*(?: ,)?)+ {CAPITAL}{shouted}+", down, text)
 
 
 def tokenize(text: str, lang: str = "en", abbreviations: frozenset[str] = ABBREVIATIONS) -> str:
@@ -96,7 +97,7 @@ def tokenize(text: str, lang: str = "en", abbreviations: frozenset[str] = ABBREV
         line = line.replace("(at)", " @ ")
         line = sub(r"\(([^)]+)\)", _parenthesis if lang == "en" else _parenthesis_fr, line)
         line = sub(r" ?[■•] ?", "\n- ", line)
-        line = sub(r" (?:(?:[a-zA-Z]|-?\d[\d.]*) ){5,}", "\n", line)
+        line = sub(r" (?:(?:-?\d[.\d]*|[A-Za-z]) ){5,}", "\n", line)
         line = sub(r"((?:http://|www\.)\S+?)/(?=[\s,;:?!.\"«»]|$)", r"\1", line)
         line = _SPACED.sub(r" \1 ", line)
         line = sub(r"--+", " -- ", line)

@@ -71,7 +71,7 @@ def tag_off(c: Column, name: str) -> Column:
 
 def tags_on(c: Column) -> Column:
     """Each tagged body gives way to its opening tag."""
-    return rr(c, (r"<([A-Z]+)> (.*?) </\1>", "<$1>"))
+    return rr(c, ("<([A-Z]+)> .*? </\\1>", "<$1>"))
 
 
 def tag_bodies(c: Column) -> Column:
@@ -130,7 +130,8 @@ def triple_letters(c: Column) -> Column:
 
 
 def clean_pdf(c: Column) -> Column:
-    once = ((r"(?dm)^(?:\d\.)+(?: |\n|$)", ""), (r"(?dm)^\w\.(?: |\n|$)", ""), (r"(?dm)^\(?[0-9i]+\)?(?: |\n|$)", ""), ("(?dm)^ +o +", ""))
+    gap = "(?:[ \n]|$)"
+    once = ((rf"(?dm)^(?:\d\.)+{gap}", ""), (rf"(?dm)^\w\.{gap}", ""), (rf"(?dm)^\(?[i\d]+\)?{gap}", ""), ("(?dm)^ +o +", ""))
     return rr(c, *once, *once)
 
 
@@ -151,10 +152,14 @@ def space_punctuation(c: Column) -> Column:
     )
 
 
+#: Consonants that may begin and end a syllable.
+ONSETS = ("S?CH", "S[HLMN]", "SK[RW]?", "SP[LR]?", "D[RW]", "T[RW]", "[CKG][LRW]", "[BFP][LR]", "SW", "[B-DF-HJ-NP-TV-XZ]")
+CODAS = ("LCH", "L[BDJKMPT]", "[CFKP]T", "PS", "S[KPT]", "M[FP]", "N[DT]", "[B-DF-HJ-NP-TV-XZ]")
+
+
 def pronounceable(c: Column) -> Column:
     """Can an acronym of three to six letters be read as a word?"""
     w = F.replace(c, F.lit("."), F.lit(""))
     vowel = "[AEIOUY]"
-    onset = "(?:[BCFGKP][LR]|[DT][RW]|SK[RW]?|S[LMN]|SP[LR]?|[CDGKST]W|S?CH|SH|[B-DF-HJ-NP-TV-XZ])"
-    coda = "(?:[CFKLP]T|L[BDJKMP]|LCH|M[FP]|N[DT]|P[ST]|S[KPT]|[B-DF-HJ-NP-TV-XZ])"
+    onset, coda = f"(?:{'|'.join(ONSETS)})", f"(?:{'|'.join(CODAS)})"
     return F.coalesce(F.length(w).between(3, 6) & w.rlike(vowel) & w.rlike(f"^(?:{onset}?{vowel}{vowel}?)+{coda}?$"), F.lit(False))

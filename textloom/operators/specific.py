@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import numbers_en
 from textloom.functions.arrow import text_function
-from textloom.functions.patterns import TAGS, alternation, compiled, fixpoint, sub, trim_blanks
+from textloom.functions.patterns import CAPITAL_OR_DIGIT, TAGS, alternation, compiled, fixpoint, sub, trim_blanks
 from textloom.operators import columns, rules
 
 _NOTHING = {
@@ -57,10 +57,7 @@ PRESETS = {
 PRESETS = {k: v.split() for k, v in PRESETS.items()}
 
 _VOWEL = "[AEIOUY]"
-_READABLE = re.compile(
-    r"(?:(?:[BCFGKP][LR]|[DT][RW]|SK[RW]?|S[LMN]|SP[LR]?|[CDGKST]W|S?CH|SH|[B-DF-HJ-NP-TV-XZ])?[AEIOUY][AEIOUY]?)+"
-    r"(?:[CFKLP]T|L[BDJKMP]|LCH|M[FP]|N[DT]|P[ST]|S[KPT]|[B-DF-HJ-NP-TV-XZ])?"
-)
+_READABLE = re.compile(f"(?:(?:{'|'.join(columns.ONSETS)})?{_VOWEL}{_VOWEL}?)+(?:{'|'.join(columns.CODAS)})?")
 
 
 def pronounceable(word: str) -> bool:
@@ -88,7 +85,7 @@ def explode_acronym(word: str) -> str:
     return sub(r" s$", "s", x)
 
 
-_ACRONYM = r"(?:(?<= )|^)[A-Z0-9]\.?(?:[-&]?[A-Z0-9]+\.?)+(?='s|s|'| |\n|\Z)"
+_ACRONYM = rf"(?:(?<= )|^){CAPITAL_OR_DIGIT}[.]?(?:[&-]?{CAPITAL_OR_DIGIT}+[.]?)+(?='s|s|'| |\n|\Z)"
 _MIXED = r"(?:(?<= )|^)[a-z]+(?:[-&]?\d[A-Za-z0-9-]*\.?)+(?='s|s|'| |\n|\Z)"
 
 

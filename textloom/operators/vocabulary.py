@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import numbers_en
-from textloom.functions.patterns import fixpoint, sub
+from textloom.functions.patterns import CAPITAL, CAPITAL_OR_DIGIT, LETTER, fixpoint, sub
 from textloom.operators.columns import rr
 from textloom.session import checkpointed
 
@@ -91,7 +91,7 @@ def best_members(counts: DataFrame, kind: str) -> DataFrame:
         F.max(F.when(F.col("r") == 1, F.struct("ngram", "c"))).alias("a"), F.max(F.when(F.col("r") == 2, F.struct("ngram", "c"))).alias("b")
     )
     draw = F.coalesce((F.col("a.c") == F.col("b.c")) & (F.lower("a.ngram") == F.lower("b.ngram")), F.lit(False))
-    stays = F.col("ngram").rlike("'(?:s|t|d|ve|ll|m)$")
+    stays = F.col("ngram").rlike("'(?:[dmst]|ll|ve)$")
     return one.join(pick, "p").select("ngram", F.when(stays | draw, F.col("ngram")).otherwise(F.col("a.ngram")).alias("best"))
 
 
@@ -126,7 +126,7 @@ def flagged(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 CATEGORIES = {
     "Acronyms": r"^[A-Z0-9][.\-]?[A-Z0-9.\-&]+(?:s'?|'s)?$",
-    "1-char words": r"^(?:\d+|\w\.?)(?:s'?|'s)?$",
+    "1-char words": r"^(?:\w\.?|\d+)(?:'s|s'?)?$",
     "Hyphenated words": "(?i)[a-z0-9]-[a-z0-9]",
     "Suffixes": "(?i)^-[a-z0-9]",
     "Prefixes": "(?i)^[a-z0-9]-",
@@ -230,7 +230,7 @@ class Protection:
     uppercase: bool = False
 
 
-_CONTRACTION = re.compile(r".*'(?:t|d|re|ll|m|ve)", re.I)
+_CONTRACTION = re.compile(r".*'(?:[dmt]|ll|re|ve)", re.I)
 
 
 def explode_acronym(w: str, upper: bool = False) -> str:
@@ -267,7 +267,7 @@ def try_apostrophe(w: str, p: Protection, known: dict[str, bool], count: dict[st
         return w if short.fullmatch(w[1:]) else w[1:]
     if w.endswith("'"):
         return w[:-1]
-    m = re.fullmatch(r"([A-Z][a-z]+)'([a-rtz]+)", w)
+    m = re.fullmatch(f"({CAPITAL}{LETTER}+)'([a-rtz]+)", w)
     if m and not p.uppercase:
         return w if short.fullmatch(m[2]) else m[1] + m[2]
     a, _, b = w.rpartition("'")
@@ -293,7 +293,7 @@ def transform_oov(w: str, x: dict, p: Protection = Protection()) -> str:
     """
     free, old = not p.uppercase, w
     say, nth = numbers_en.cardinal, numbers_en.ordinal
-    m = re.fullmatch(r"([A-Z].+?)-([a-z].+)", w)
+    m = re.fullmatch(f"({CAPITAL}.+?)-({LETTER}.+)", w)
     if free and m and x.get("head_in_lexicon"):
         return m[1].lower() + "-" + m[2]
     if "-" in w and re.match("[a-z]", w):
@@ -324,22 +324,22 @@ def transform_oov(w: str, x: dict, p: Protection = Protection()) -> str:
         if re.fullmatch("[A-Z]+s'?s?", w) and re.search(f"[{_CONSONANTS.upper()}]{{2}}", w):
             return re.sub("([A-Z])", r"\1.", w)
     if re.search(r"[A-Z0-9]\.", w) and re.search("[a-z]", w):
-        parted = " ".join(sub(r"((?:[A-Z0-9]\.)+)", r" \1 ", w).split())
+        parted = " ".join(sub(rf"((?:{CAPITAL_OR_DIGIT}\.)+)", r" \1 ", w).split())
         if parted != w:
             return parted
-    if free and re.fullmatch(r"[A-Z0-9]\.?(?:[-&]?[A-Z0-9-]+\.?)+s?'?s?", w):
+    if free and re.fullmatch(rf"{CAPITAL_OR_DIGIT}[.]?(?:&?[A-Z\d-]+[.]?)+s?'?s?", w):
         new = explode_acronym(w)
-    elif p.uppercase and re.fullmatch(r"(?:[A-Z]\.|\d)(?:[-&]?(?:[A-Z]\.|\d)+\.?)+S?'?S?", w):
+    elif p.uppercase and re.fullmatch(rf"(?:\d|{CAPITAL}[.])(?:[&-]?(?:\d|{CAPITAL}[.])+[.]?)+S?'?S?", w):
         new = explode_acronym(w, True)
     else:
         new = w
     if new != w:
         return new
     cased = str.upper if p.uppercase else str
-    m = re.fullmatch(r"([^\W\d_]+)(\d+(?:\.\d+)?)(st|nd|rd|th)?", w, re.I)
+    m = re.fullmatch(r"([^\W\d_]+)(\d+(?:[.]\d+)?)(nd|rd|st|th)?", w, re.I)
     if m:
         return cased(f"{m[1]} {nth(m[2]) if m[3] else say(m[2])}")
-    m = re.fullmatch(r"([A-Z][a-z]+)([A-Z][^\W\d_]+)", w)
+    m = re.fullmatch(rf"({CAPITAL}{LETTER}+)({CAPITAL}[^\W\d_]+)", w)
     if m:
         return f"{m[1]} {m[2]}"
     if re.fullmatch(r"\d*(?:1st|2nd|3rd|\dth)", w):

@@ -73,17 +73,18 @@ def pronounceable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _READABLE = (
-    "(?:(?:[BCFGKP][LR]|[DT][RW]|SK[RW]?|S[LMN]|SP[LR]?|[CDGKST]W|S?CH|SH|[B-DF-HJ-NP-TV-XZ])?[AEIOUY][AEIOUY]?)+"
-    "(?:[CFKLP]T|L[BDJKMP]|LCH|M[FP]|N[DT]|P[ST]|S[KPT]|[B-DF-HJ-NP-TV-XZ])?"
+    "(?:(?:[BFP][LR]|[CGK][LRW]|[DT][RW]|S(?:CH|H|K[RW]?|L|M|N|P[LR]?|W)|CH|[B-DF-HJ-NP-TV-XZ])?[AEIOUY]{1,2})+"
+    "(?:[CFKP]T|L(?:CH|[BDJKMPT])|M[FP]|N[DT]|PS|S[KPT]|[B-DF-HJ-NP-TV-XZ])?"
 )
 _GERMAN = (("ä", "ae"), ("ñ", "ny"), ("ö", "oe"), ("ü", "ue"), ("ÿ", "yu"))
 _LIGATURES = (("ß", "ss"), ("Æ", "AE"), ("æ", "ae"), ("Œ", "Oe"), ("œ", "oe"), ("Ĳ", "IJ"), ("ĳ", "ij"), ("…", "..."))
 _GREEK = (("α", "alpha"), ("β", "beta"), ("γ", "gamma"), ("δ", "delta"), ("Δ", "delta"), ("μ", "micro"), ("ρ", "rho"), ("λ", "lambda"), ("Λ", "lambda"))
-_PDF = ((r"(?m)^(?:\d\.)+(?: |\n|$)", ""), (r"(?m)^\w\.(?: |\n|$)", ""), (r"(?m)^\(?[0-9i]+\)?(?: |\n|$)", ""), ("(?m)^ +o +", ""))
+_GAP = r"(?:[ \n]|$)"
+_PDF = ((rf"(?m)^(?:\d\.)+{_GAP}", ""), (rf"(?m)^\w\.{_GAP}", ""), (rf"(?m)^\(?[i\d]+\)?{_GAP}", ""), ("(?m)^ +o +", ""))
 _LETTER = r"[\p{L}\p{N}_]"
 _SPACE = (
     ("([,;:¡¿()]) ", r" \1 "),
-    *[("([a-z]) - ([A-Za-z])", "\\1\n\\2")] * 2,
+    *[("([a-z]) - ([a-zA-Z])", "\\1\n\\2")] * 2,
     (r" \(", " ( "),
     (rf'({_LETTER})([«»"])', r"\1 \2 "),
     (rf'([«»"])(\n|{_LETTER})', r" \1 \2"),

@@ -166,7 +166,7 @@ QUERIES = {
 r AS (SELECT *, row_number() OVER (PARTITION BY kind, projection ORDER BY c DESC, ngram) AS r FROM p),
 a AS (SELECT kind, projection, max(CASE WHEN r = 1 THEN ngram END) AS w1, max(CASE WHEN r = 1 THEN c END) AS c1,
   max(CASE WHEN r = 2 THEN ngram END) AS w2, max(CASE WHEN r = 2 THEN c END) AS c2 FROM r WHERE r <= 2 GROUP BY 1, 2)
-SELECT ngram, CASE WHEN regexp_matches(ngram, '''(?:s|t|d|ve|ll|m)$') OR coalesce(c1 = c2 AND lower(w1) = lower(w2), false) THEN ngram ELSE w1 END AS best, p.kind
+SELECT ngram, CASE WHEN regexp_matches(ngram, '''(?:[dmst]|ll|ve)$') OR coalesce(c1 = c2 AND lower(w1) = lower(w2), false) THEN ngram ELSE w1 END AS best, p.kind
 FROM p JOIN a ON a.kind = p.kind AND a.projection = p.projection""",
     ),
     "vocab_potentials": Query(

@@ -21,7 +21,7 @@ _BOUNDS = {"speak", "p", "s"}
 
 def seconds(time: str) -> float:
     """``250ms`` or ``1.5s`` in seconds; nothing else is a time."""
-    m = re.fullmatch(r"(\d+(?:\.\d+)?)(ms|s)", time or "0s")
+    m = re.fullmatch(r"(\d+(?:[.]\d+)?)(m?s)", time or "0s")
     if not m:
         raise ValueError(f"a break's time is in s or ms, not {time}")
     return float(m[1]) / (1000 if m[2] == "ms" else 1)
