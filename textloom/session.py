@@ -33,9 +33,10 @@ def _checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The rows, written once to the shared folder and read from there."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_path(spark: SparkSession) -> str:
