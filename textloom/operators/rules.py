@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.arrow import text_function
-from textloom.functions.patterns import BEGIN, END, sub
+from textloom.functions.patterns import BEGIN, END, compiled, sub
 
 _MARKS = re.compile(r"[\\^$.|?*+()\[\]{}]")
 _POSIX = {"[[:alpha:]]": r"[^\W\d_]", "[[:alnum:]]": r"[^\W_]", "[[:digit:]]": r"\d", "[[:space:]]": r"\s"}
@@ -119,6 +119,13 @@ class RuleSet:
                         heapq.heappush(queue, new)
         return text
 
+    def apply_whole(self, text: str) -> str:
+        """Rules in order, each on the whole text or not at all."""
+        for k, rule in enumerate(self.rules):
+            if text == rule.pattern if rule.literal else compiled(translate(rule.pattern)).fullmatch(text):
+                text = rule.rewrite
+        return text
+
 
 def apply_rules(df: DataFrame, column: str, *sets: RuleSet) -> DataFrame:
     """The column rewritten by each rule set in turn."""
@@ -171,6 +178,11 @@ def rewrite_counts(counts: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+def map_counts(counts: DataFrame, rules: RuleSet) -> DataFrame:
+    """N-gram counts under rules of any kind, each of which must match a whole n-gram."""
+    return counts.select(text_function(rules.apply_whole)("ngram").alias("ngram"), "c").groupBy("ngram").agg(F.sum("c").alias("c"))
+
+
 #: Small hand-written sets; larger ones load from files of the same form.
 UK_TO_US = """
 colour => color
@@ -230,4 +242,4 @@ def swapped(text: str) -> RuleSet:
     return RuleSet(parse(lines))
 
 
-__all__ = ["Rule", "RuleSet", "apply_rules", "parse", "rewrite_counts", "rewrite_tokens", "translate"]
+__all__ = ["Rule", "RuleSet", "apply_rules", "map_counts", "parse", "rewrite_counts", "rewrite_tokens", "translate"]

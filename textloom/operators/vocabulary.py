@@ -54,6 +54,21 @@ def in_bigrams(counts: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.split("ngram", " ")).alias("ngram"), "c").groupBy("ngram").agg(F.sum("c").alias("c"))
 
 
+def letter_ngrams(words: DataFrame, order: int) -> DataFrame:
+    """letters, n: runs of letters within words, between the marks ^ and $, by the words that hold them."""
+    framed = words.select(F.concat(F.lit("^"), "word", F.lit("$")).alias("w")).where(F.length("w") >= order)
+    starts = F.sequence(F.lit(1), F.length("w") - (order - 1))
+    runs = framed.select(F.explode(F.array_distinct(F.transform(starts, lambda i: F.col("w").substr(i, F.lit(order))))).alias("letters"))
+    return runs.groupBy("letters").agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_unknown_word(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """N-grams with a word out of the vocabulary."""
+    words = counts.select("ngram", "c", F.explode(F.array_distinct(F.split("ngram", " "))).alias("w"))
+    unknown = words.join(vocab.select(F.col("ngram").alias("w")), "w", "left_anti")
+    return unknown.select("ngram", "c").distinct()
+
+
 def project_dash(w: Column) -> Column:
     return rr(w, ("-( |$)", "$1"), ("(^| )-", "$1"), ("-", " "))
 

@@ -19,7 +19,10 @@ from textloom.operators.specific import PRESETS, specific
 
 @dataclasses.dataclass(frozen=True)
 class Resources:
-    """What a chain looks up; every part can be replaced by loaded data."""
+    """What a chain looks up; every part can be replaced by loaded data.
+
+    ``tagger`` puts tags around named entities; by default it adds none.
+    """
 
     lexicon: Lexicon
     places: tuple[str, ...] = PLACES
@@ -34,6 +37,7 @@ class Resources:
     roman: rules.RuleSet = rules.RuleSet([])
     acronyms: rules.RuleSet = rules.RuleSet([])
     final: rules.RuleSet = rules.RuleSet([])
+    tagger: Callable[[str], str] = str
 
 
 RESOURCES = {
@@ -106,6 +110,7 @@ def finish(lang: str, r: Resources, keep_punctuation: bool = False) -> list[Step
     lex, step = r.lexicon, french if lang == "fr" else english
     weak: list[Step] = [english.drop_weak_punctuation] if lang == "en" and not keep_punctuation else []
     return [
+        r.tagger,
         cleaning.entity_fixes,
         r.case.apply,
         r.hyphens.apply,

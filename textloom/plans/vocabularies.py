@@ -120,6 +120,11 @@ def minimised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules_
 
 
+def with_unknown(c: DataFrame) -> DataFrame:
+    pairs = c.where(F.contains("ngram", F.lit(" ")))
+    return vocabulary.with_unknown_word(pairs, vocabulary.vocabulary(c, SIZE))
+
+
 def printable(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut, shout = word_rules(words(spark, sf_dir))
     return vocabulary.printable(cut.unionByName(shout))
@@ -259,6 +264,19 @@ g AS (SELECT ngram, c, x || ' ' || y AS dst FROM (SELECT ngram, c, x, unnest(CAS
 s AS (SELECT g.ngram, g.c, g.dst, counts.c AS n, row_number() OVER (PARTITION BY g.ngram ORDER BY counts.c DESC, g.dst DESC) AS r FROM g JOIN counts ON counts.ngram = g.dst)
 SELECT ngram AS src, dst FROM s WHERE r = 1 AND n > 5 * c AND dst <> ngram""",
     ),
+    "letter_ngrams": Query(
+        lambda spark, sf_dir: vocabulary.letter_ngrams(lexicon(spark, sf_dir), 3),
+        f"""WITH {_LEXICON} SELECT letters, count(*) AS n FROM (SELECT DISTINCT word, f[i:i + 2] AS letters FROM
+(SELECT word, '^' || word || '$' AS f, unnest(range(1, length(word) + 1)) AS i FROM lex)) GROUP BY letters""",
+    ),
+    "bigrams_with_unknown_word": Query(
+        lambda spark, sf_dir: with_unknown(counts(spark, sf_dir)),
+        _VOCAB + "SELECT ngram, c FROM bi WHERE split_part(ngram, ' ', 1) NOT IN (SELECT ngram FROM v) OR split_part(ngram, ' ', 2) NOT IN (SELECT ngram FROM v)",
+    ),
+    "rules_whole_ngrams": Query(
+        _of(lambda c: rules.map_counts(c, rules.RuleSet(rules.parse(["[0-9]+ => NUMBER", "NUMBER => N", "the => THE", "The => THE"])))),
+        _UNI + "SELECT CASE WHEN regexp_full_match(ngram, '[0-9]+') OR ngram = 'NUMBER' THEN 'N' WHEN ngram IN ('the', 'The') THEN 'THE' ELSE ngram END AS ngram, CAST(sum(c) AS BIGINT) AS c FROM uni GROUP BY 1",
+    ),
     "oov_new_rules": Query(new_rules),
     "oov_minimisation": Query(minimised),
 }
