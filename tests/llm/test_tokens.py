@@ -115,3 +115,12 @@ def test_section_counts_of_odd_rows(spark, odd, empty):
     assert token_counts.count_sections(empty).count() == 0
     with pytest.raises(ValueError):
         token_counts.count_sections(odd, "other")
+
+
+def test_memory_of_words_is_bounded():
+    small = Tokenizer(DEFAULT_TOKENIZER, memory=50)
+    for k in range(20):
+        texts = [f"word{k} and number {k * 7}", f"two  blanks {k} at the end  " * 20, None, ""]
+        ids, bounds = small.encode_rows(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [small.encode(t) if t else [] for t in texts]
+        assert small.words.held <= 5 * 50 + len(ids)

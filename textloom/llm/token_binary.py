@@ -68,8 +68,8 @@ def _writer(folder: str, path: str):
 
 
 def write_tokens(docs: DataFrame, folder: str | None = None, path: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """Write the files and return the index: doc_id, part, doc (its number in the
-    part), start (its first token's place in the whole corpus) and n_tokens.
+    """Write the files and return the index: doc_id, part, start (the document's
+    first token's place in the whole corpus) and n_tokens.
 
     The texts are encoded once: the narrow index is saved to the shared folder,
     and bases are added to it there.

@@ -27,15 +27,23 @@ class Words(dict):
         super().__init__()
         self.encode = encode
         self.ids: list[list[int]] = []
+        self.held = 0
+
+    def add(self, text: str) -> int:
+        """Number of a text that is not looked up again."""
+        ids = self.encode(text)
+        self.ids.append(ids)
+        self.held += len(ids)
+        return len(self.ids) - 1
 
     def __missing__(self, word: str) -> int:
-        k = len(self.ids)
-        self.ids.append(self.encode(word))
-        self[word] = k
+        k = self[word] = self.add(word)
         return k
 
 
 class Tokenizer:
+    """Words are remembered until there are ``memory`` of them, or five times as many ids."""
+
     def __init__(self, path: str, memory: int = 400_000):
         import tiktoken
 
@@ -57,7 +65,7 @@ class Tokenizer:
 
     def encode_rows(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows and the rows' bounds among them; a null row has none."""
-        if len(self.words.ids) > self.memory:
+        if len(self.words.ids) > self.memory or self.words.held > 5 * self.memory:
             self.words = Words(self.encode)
         number = self.words.__getitem__
         at: list[int] = []
@@ -67,8 +75,7 @@ class Tokenizer:
                 count.append(0)
                 continue
             if _UNSAFE.search(text):
-                found = [len(self.words.ids)]
-                self.words.ids.append(self.encode(text))
+                found = [self.words.add(text)]
             else:
                 first, *rest = text.split(" ")
                 found = [number(first)] if first else []
