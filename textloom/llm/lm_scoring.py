@@ -77,14 +77,15 @@ def exploded(arr: pa.Array, order: int) -> tuple[list[np.ndarray], list[np.ndarr
     for lo, _, part in pieces_of(lower(arr)):
         h, row = words(part)
         hs.append(h)
-        rows.append(row + lo)
+        rows.append((row + lo).astype(np.int32))
     h = np.concatenate(hs) if hs else np.zeros(0, U64)
-    row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    grams, last = [h >> _DROP], [np.arange(len(h))]
+    row = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    del hs, rows
+    grams, last = [h >> _DROP], [np.arange(len(h), dtype=np.int32)]
     for n in range(2, order + 1):
         g, at = ngrams(h, row, n)
         grams.append(g >> _DROP)
-        last.append(at + n - 1)
+        last.append((at + (n - 1)).astype(np.int32))
     return grams, last, row
 
 
@@ -166,15 +167,15 @@ def _total(n_ranges: int):
     return run
 
 
-def score_rows(grams: list[np.ndarray], last: list[np.ndarray], counts: list[np.ndarray], row: np.ndarray, n_rows: int, n_words: int) -> np.ndarray:
-    """Sums of log scores by row; counts are aligned with grams."""
+def score_rows(last: list[np.ndarray], counts: list[np.ndarray], row: np.ndarray, n_rows: int, n_words: int) -> np.ndarray:
+    """Sums of log scores by row; counts of n-grams are aligned with the positions of their last words."""
     m = len(row)
     first = np.searchsorted(row, row)  # each word's row's first word
     place = np.arange(m) - first
     level = np.zeros(m, np.int64)
     log = np.log(counts[0] / max(1, n_words)) if m else np.zeros(0)
     context = counts[0].astype(float)
-    for n in range(2, len(grams) + 1):
+    for n in range(2, len(counts) + 1):
         at, c = last[n - 1], counts[n - 1]
         held = c >= MIN_COUNT
         spot = at[held]
@@ -183,7 +184,7 @@ def score_rows(grams: list[np.ndarray], last: list[np.ndarray], counts: list[np.
         level[spot] = n - 1
         context = np.zeros(m)
         context[at] = c
-    available = np.minimum(place, len(grams) - 1)
+    available = np.minimum(place, len(counts) - 1)
     return np.bincount(row, log + (available - level) * np.log(ALPHA), n_rows) if m else np.zeros(n_rows)
 
 
@@ -207,17 +208,21 @@ def _score(order: int, folder: str, n_words: int):
                         t = pq.read_table(fs.open_input_file(f.path), columns=["range", "counts"])
                         found.update(zip(t["range"].to_pylist(), t["counts"].to_pylist()))
                 held = np.concatenate([unpack(found[k]) for k in sorted(found)]).astype(np.int64)
+                cuts = np.cumsum([len(g) for g in grams])
                 every = np.concatenate(grams)
+                grams.clear()  # large arrays go as soon as the next one is made
                 order_ = np.argsort(every)
-                v = every[order_]
-                new = np.concatenate(([True], v[1:] != v[:-1]))
-                number = np.cumsum(new) - 1
+                every = every[order_]
+                number = np.cumsum(np.concatenate(([False], every[1:] != every[:-1])), dtype=np.int32)
+                del every
                 if number[-1] + 1 != len(held):
                     raise RuntimeError("the input's partitions changed between two readings")
-                counts = np.empty(len(every), np.int64)
+                counts = np.empty(len(order_), np.int64)
                 counts[order_] = held[number]
-                split = np.split(counts, np.cumsum([len(g) for g in grams])[:-1])
-                total = score_rows(grams, last, split, row, n, n_words)
+                del order_, number, held
+                split = np.split(counts, cuts[:-1])
+                total = score_rows(last, split, row, n, n_words)
+                del counts, split
             else:
                 total = np.zeros(n)
             size = np.bincount(row, minlength=n)
