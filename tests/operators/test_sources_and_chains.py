@@ -101,3 +101,16 @@ def test_chains_do_not_depend_on_partitions(spark):
 def test_speech_has_a_sentence_a_line(spark):
     df = spark.createDataFrame([(1, "We came . They left ?")], "doc_id long, text string")
     assert normalise.speech_text(df).first()["text"].count("\n") == 2
+
+
+def test_spread_only_where_files_are_few(spark, tmp_path, monkeypatch):
+    from textloom import session
+
+    spark.range(1000).selectExpr("id", "repeat('x', 100) AS text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    assert session.spread(scan) is scan  # too small
+    monkeypatch.setattr(session, "SPREAD_BYTES", 100)
+    assert session.spread(scan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert session.spread(scan).count() == 1000
+    monkeypatch.setattr(session, "ROW_GROUP_BYTES", 1)
+    assert session.spread(scan) is scan  # large

@@ -14,7 +14,7 @@ from textloom.operators import rules
 from textloom.operators.specific import acronyms_exploded, acronyms_exploded_unless_readable, specific
 from textloom.plans import normalise, sql
 from textloom.plans.catalog import Query, table
-from textloom.session import shared_path
+from textloom.session import shared_path, spread
 from textloom.sources import resources, ssml
 from textloom.streaming import normalise as streams
 
@@ -23,7 +23,7 @@ def _step(step: Callable[[str], str], lang: str | None = None) -> Callable[[Spar
     """A text step over the documents, of one language or of all."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = table(spark, sf_dir, "documents")
+        docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
         docs = docs if lang is None else docs.where(F.col("lang") == lang)
         return docs.select("doc_id", text_function(step)("text").alias("text"))
 
@@ -31,7 +31,7 @@ def _step(step: Callable[[str], str], lang: str | None = None) -> Callable[[Spar
 
 
 def _chain(step: Callable[[DataFrame], DataFrame], lang: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: step(table(spark, sf_dir, "documents").where(F.col("lang") == lang)).select("doc_id", "text")
+    return lambda spark, sf_dir: step(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).where(F.col("lang") == lang)).select("doc_id", "text")
 
 
 def _preset(name: str, lang: str = "en") -> Query:
@@ -173,7 +173,7 @@ FROM (SELECT o_orderkey, {_PLACES}[(o_custkey + o_orderkey) % 11 + 1] AS a, {_PL
     ),
     "name_case": Query(names),
     "accent_restoration": Query(accents, _ACCENT_SQL),
-    "rules_spelling": Query(lambda spark, sf_dir: rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", rules.built_in(rules.UK_TO_US), rules.built_in(rules.HESITATIONS))),
+    "rules_spelling": Query(lambda spark, sf_dir: rules.apply_rules(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", rules.built_in(rules.UK_TO_US), rules.built_in(rules.HESITATIONS))),
     "generic_en": Query(_chain(normalise.generic, "en")),
     "generic_fr": Query(_chain(lambda d: normalise.generic(d, lang="fr"), "fr")),
     "preset_asr": _preset("asr"),

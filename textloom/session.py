@@ -42,3 +42,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def shared_path(spark: SparkSession) -> str:
     """A new path in the shared folder."""
     return f"{_checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+#: Least bytes of a partition that ``spread`` makes, and bytes of a usual row group.
+SPREAD_BYTES, ROW_GROUP_BYTES = 256 << 10, 128 << 20
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table's rows over as many partitions as there are cores, if its files give fewer.
+
+    A row group is read by one task, so a small file would keep one core busy with a
+    step in Python.  Larger tables come back as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= cores * ROW_GROUP_BYTES:
+        return scan
+    wanted = min(cores, size // SPREAD_BYTES)
+    return scan.repartition(wanted) if len(scan.inputFiles()) < wanted else scan
