@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import decontamination, mixing, near_dedup, quality_classifier, token_binary
 from textloom.llm.common import DOCUMENT_COLUMNS, need, saved, table
+from textloom.session import spread
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for _, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir))
     return docs

@@ -20,18 +20,23 @@ from textloom.llm import (
     token_counts,
 )
 from textloom.llm.common import table
+from textloom.session import spread
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_classifier.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.groups(table(spark, sf_dir, "documents"))
+    return near_dedup.groups(documents(spark, sf_dir))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(table(spark, sf_dir, "documents"))
+    return language_id.identify(documents(spark, sf_dir))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,24 +44,24 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_binary.write_tokens(table(spark, sf_dir, "documents"))
+    return token_binary.write_tokens(documents(spark, sf_dir))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_sections(table(spark, sf_dir, "documents"))
+    return token_counts.count_sections(documents(spark, sf_dir))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm_scoring.score(table(spark, sf_dir, "documents"))
+    scored = lm_scoring.score(documents(spark, sf_dir))
     return scored.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 5).alias("mean_log_score"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules.apply_rules(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
