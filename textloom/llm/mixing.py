@@ -28,6 +28,8 @@ from textloom.llm.common import fresh
 
 SEED = "mix-2024"
 _BITS = 1 << 52
+#: The sources' distributions are broadcast up to this size.
+BROADCAST_BYTES = 4 << 20
 
 
 def uniform(*parts) -> F.Column:
@@ -68,11 +70,14 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: s
     """All columns of ``docs``, a row a copy, in a global shuffle; with the copy's number."""
     spark = docs.sparkSession
     per_source = [(s, distribution(r)) for s, r in rates(docs, weights).items()]
-    name, cdf, copy, mark = (fresh(docs, n) for n in ("mix_source", "mix_cdf", "copy", "mix_order"))
+    name, cdf, copy, mark, u = (fresh(docs, n) for n in ("mix_source", "mix_cdf", "copy", "mix_order", "mix_uniform"))
     table = spark.createDataFrame(per_source, f"`{name}` string, `{cdf}` array<double>")
-    n = F.size(F.filter(F.col(cdf), lambda p: p <= uniform(F.lit(seed), "doc_id")))
+    if sum(len(s or "") + 8 * len(c) + 64 for s, c in per_source) <= BROADCAST_BYTES:
+        table = F.broadcast(table)  # else the join shuffles by source
+    n = F.size(F.filter(F.col(cdf), lambda p: p <= F.col(u)))
     copies = (
-        docs.join(table, F.col("source").eqNullSafe(F.col(name)))
+        docs.withColumn(u, uniform(F.lit(seed), "doc_id"))
+        .join(table, F.col("source").eqNullSafe(F.col(name)))
         .withColumn(copy, F.explode(F.sequence(F.lit(0), n)))
         .where(F.col(copy) > 0)
         .withColumn(mark, uniform(F.lit(seed), F.lit("order"), "doc_id", copy))
