@@ -94,6 +94,18 @@ s AS (SELECT plain, word, {_DIFFERENT} AS d FROM f), b AS (SELECT plain, min(d)
 SELECT s.plain AS word, CASE WHEN count(*) > 1 THEN s.plain ELSE min(s.word) END AS restored FROM s JOIN b ON b.plain = s.plain AND b.d = s.d GROUP BY s.plain"""
 
 
+_GERMAN = (("ä", "ae"), ("ñ", "ny"), ("ö", "oe"), ("ü", "ue"), ("ÿ", "yu"))
+_LIGATURES = (("ß", "ss"), ("Æ", "AE"), ("æ", "ae"), ("Œ", "Oe"), ("œ", "oe"), ("Ĳ", "IJ"), ("ĳ", "ij"), ("’", "'"))
+_ING = (
+    r"array_to_string(list_transform(string_split(l, ' '), lambda w: CASE WHEN regexp_full_match(w, '(?i)\p{L}+in''') THEN w[:-2] || 'g' "
+    r"WHEN regexp_full_match(w, '(?i)\p{L}+''ing') THEN replace(w, '''', '') ELSE w END), ' ')"
+)
+
+
+def _folded(x: str) -> str:
+    return f"translate({sql.swap(x, *_LIGATURES)}, 'ÐĐðđĦħıĸĿŁŀłŊŉŋØøſÞŦþŧəƏ', 'DDddHhikLLllNnnOosTTttee')"
+
+
 def ssml_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Utterance items of SSML made from customers."""
     xml = F.concat(F.lit("<speak><s>Dear <sub alias='"), F.lower("c_mktsegment"), F.lit("'>seg</sub> friend</s><s>pay <break time='250ms'/> "), F.col("c_nationkey").cast("string"), F.lit("</s></speak>"))
@@ -139,12 +151,12 @@ QUERIES = {
     "tokenise_fr": Query(_chain(lambda d: normalise.tokenised(d, lang="fr"), "fr")),
     "remove_bugs_en": Query(_step(english.remove_bugs, "en")),
     "remove_bugs_fr": Query(_step(french.remove_bugs, "fr")),
-    "process_ing": Query(_step(english.process_ing, "en")),
+    "process_ing": Query(_step(english.process_ing, "en"), sql.documents(sql.by_line("text", _ING)) + " WHERE lang = 'en'"),
     "process_d": Query(_step(english.process_d, "en")),
     "compact_initials": Query(_step(lambda t: cleaning.initials(t, ENGLISH), "en")),
     "compact_acronyms": Query(_step(cleaning.compact_acronyms)),
-    "diacritics_en": Query(_step(cleaning.strip_diacritics)),
-    "diacritics_fr": Query(_step(cleaning.fold_letters, "fr")),
+    "diacritics_en": Query(_step(cleaning.strip_diacritics), sql.documents(_folded(f"strip_accents({sql.swap('text', *_GERMAN)})"))),
+    "diacritics_fr": Query(_step(cleaning.fold_letters, "fr"), sql.documents(_folded("text")) + " WHERE lang = 'fr'"),
     "first_letter_en": Query(_step(lambda t: cleaning.first_letters(t, ENGLISH), "en")),
     "first_letter_fr": Query(_step(lambda t: cleaning.first_letters(t, FRENCH, elision=True), "fr")),
     "complex_abbreviations_en": Query(_step(english.complex_abbreviations, "en")),
@@ -171,7 +183,10 @@ FROM (SELECT o_orderkey, {_PLACES}[(o_custkey + o_orderkey) % 11 + 1] AS a, {_PL
     "weak_punctuation_drop": Query(
         _step(english.drop_weak_punctuation), sql.documents(sql.trim(sql.rr("text", ("[,;:()¡¿]", " "))))
     ),
-    "name_case": Query(names),
+    "name_case": Query(
+        names,
+        "SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[:1]) || w[2:]), ' ') || ' MacDonald' AS text FROM part",
+    ),
     "accent_restoration": Query(accents, _ACCENT_SQL),
     "rules_spelling": Query(lambda spark, sf_dir: rules.apply_rules(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", rules.built_in(rules.UK_TO_US), rules.built_in(rules.HESITATIONS))),
     "generic_en": Query(_chain(normalise.generic, "en")),
