@@ -159,3 +159,9 @@ def test_odd_rows(spark, odd, empty):
     assert len(rows) == odd.count() - 1  # texts without words stay
     assert near_dedup.keep_one(empty).count() == 0
     assert near_dedup.groups(empty).count() == 0
+
+
+def test_dropped_ids_join_alike_with_and_without_broadcast(spark, documents, monkeypatch):
+    small = sorted(r["doc_id"] for r in near_dedup.keep_one(documents).collect())
+    monkeypatch.setattr(near_dedup, "BROADCAST_BYTES", 0)
+    assert sorted(r["doc_id"] for r in near_dedup.keep_one(documents).collect()) == small

@@ -36,6 +36,8 @@ BANDS, ROWS = 40, 4
 K = BANDS * ROWS
 BITS = 512
 THRESHOLD = 0.5
+#: Ids of dropped rows are broadcast up to this size.
+BROADCAST_BYTES = 32 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _A = _RNG.integers(0, 1 << 32, K, dtype=np.uint32) | np.uint32(1)
@@ -285,4 +287,6 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows, node = with_node(docs)
     labels = group_labels(rows, node, threshold)
     gone = labels.where(F.col("node") != F.col("root")).select(F.col("node").alias(node))
+    if 8 * gone.count() <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)  # else the texts are shuffled to meet the ids
     return rows.join(gone, node, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
