@@ -21,18 +21,19 @@ _UNSAFE = re.compile(r" (?=\s|$)")
 
 
 class Words(dict):
-    """Number of each word seen; a new word is encoded and numbered."""
+    """Number of each word seen; a new word is encoded and numbered.  Ids are held as bytes."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, dtype):
         super().__init__()
         self.encode = encode
-        self.ids: list[list[int]] = []
+        self.dtype = dtype
+        self.ids: list[bytes] = []
         self.held = 0
 
     def add(self, text: str) -> int:
         """Number of a text that is not looked up again."""
         ids = self.encode(text)
-        self.ids.append(ids)
+        self.ids.append(np.array(ids, self.dtype).tobytes())
         self.held += len(ids)
         return len(self.ids) - 1
 
@@ -57,7 +58,7 @@ class Tokenizer:
         for token, i in ranks.items():
             self.bytes_of[i] = len(token)
         self.memory = memory
-        self.words = Words(self.encode)
+        self.words = Words(self.encode, self.dtype)
         self.tokens = {i: t for t, i in ranks.items()}
 
     def decode(self, ids) -> str:
@@ -66,7 +67,7 @@ class Tokenizer:
     def encode_rows(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows and the rows' bounds among them; a null row has none."""
         if len(self.words.ids) > self.memory or self.words.held > 5 * self.memory:
-            self.words = Words(self.encode)
+            self.words = Words(self.encode, self.dtype)
         number = self.words.__getitem__
         at: list[int] = []
         count: list[int] = []
@@ -85,8 +86,8 @@ class Tokenizer:
         used, where = np.unique(np.array(at, np.int32), return_inverse=True)
         lists = self.words.ids
         chosen = [lists[k] for k in used.tolist()]
-        size = np.fromiter(map(len, chosen), np.int64, len(chosen))
-        flat = np.fromiter((i for x in chosen for i in x), self.dtype, int(size.sum()))
+        size = np.fromiter(map(len, chosen), np.int64, len(chosen)) // np.dtype(self.dtype).itemsize
+        flat = np.frombuffer(b"".join(chosen), self.dtype)
         begin = np.cumsum(size) - size
         length = size[where]
         ends = np.cumsum(length)
