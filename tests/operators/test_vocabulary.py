@@ -1,5 +1,9 @@
 """The rule loop, its cascade, and edge cases of vocabulary analytics."""
 
+import random
+import re
+from collections import Counter
+
 import pytest
 from textloom.operators import vocabulary as v
 
@@ -72,3 +76,43 @@ def test_empty_counts(spark):
 def test_vocabulary_breaks_draws_by_the_alphabet(spark):
     counts = spark.createDataFrame([("b", 1), ("a", 1), ("c", 2), ("d", 0), ("a b", 9)], COUNTS)
     assert [(r["ngram"], r["rank"]) for r in v.ranked_vocabulary(counts, 2).orderBy("rank").collect()] == [("c", 1), ("a", 2)]
+
+
+def brute_ways(words):
+    """The reference's recursion over words by length, draws by the alphabet."""
+    def plain(w):
+        w = re.sub("[-'_]", "", re.sub("^([EIei])-", r"\1.", w))
+        return re.sub(r"([AOU])\.", r"\1", w).lower()
+
+    h = Counter(map(plain, words))
+    real = sorted(h, key=lambda w: (len(w), w))
+    letters = {w[i : i + n] for w in real for n in range(2, 10) for i in range(len(w) - n + 1)}
+    for w in real:
+        if not re.search("[aeiouy.]", w):
+            continue
+        for i in range(1, len(w)):
+            u, v = w[:i], w[i:]
+            if u in h and v in real and re.search("[aeiou.]", u) and re.search("[aeiou.]", v):
+                h[w] += h[u] * h[v]
+        for v in real:
+            if re.search("[aeiouy.]", v):
+                for glued in (v + w, w + v):
+                    if glued not in h and glued in letters:
+                        h[glued] = h[v] * h[w]
+    return sorted((w, h[plain(w)]) for w in words)
+
+
+def ways(spark, words):
+    rows = v.confusability(spark.createDataFrame([(w,) for w in words], "ngram string")).collect()
+    return sorted((r["ngram"], r["variants"]) for r in rows)
+
+
+def test_splits_into_three_words(spark):
+    assert dict(ways(spark, ["an", "on", "anon", "anonan"]))["anonan"] == 3
+    assert dict(ways(spark, ["an", "on", "in", "anonin"]))["anonin"] == 2
+
+
+def test_ways_follow_the_recursion(spark):
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("aoynt") for _ in range(rng.randint(1, 7))) for _ in range(60)} | {"a", "o", "an", "no", "ya", "A.", "a-n", "anan", "noanya"})
+    assert ways(spark, words) == brute_ways(words)

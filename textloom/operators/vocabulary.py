@@ -213,25 +213,47 @@ def both_case_words(counts: DataFrame, vocab: DataFrame, lexicon: DataFrame) ->
 
 
 def confusability(words: DataFrame) -> DataFrame:
-    """ngram, variants: a word itself and its splits into two known words with vowels,
-    each split counted by the product of how many spellings its halves have."""
+    """ngram, variants: the ways in which a word is made of known words with vowels.
+
+    A form's ways are how many spellings it has, and for each cut into a head and a
+    known word the product of their ways, so that splits into three and more words
+    count.  A head is a known word, or is glued from two that are no word themselves:
+    such a prefix of 2 to 9 letters has the ways of its shortest piece (draws by the
+    alphabet) times the spellings of the other.
+
+    Ways go from parts to wholes, a pass for each depth of cuts; each pass is written.
+    """
     plain = F.lower(rr(F.col("ngram"), ("^([EIei])-", "$1."), ("[-'_]", ""), (r"([AOU])\.", "$1")))
-    keyed = words.select("ngram", plain.alias("w"))
-    forms = keyed.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    vowel = "[aeiou.]"
-    cut = (
-        forms.where(F.length("w") > 1)
-        .select("w", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("at"))
-        .select("w", F.expr("left(w, at)").alias("a"), F.expr("substring(w, at + 1)").alias("b"))
-        .where(F.col("a").rlike(vowel) & F.col("b").rlike(vowel))
-    )
-    ways = (
-        cut.join(forms.select(F.col("w").alias("a"), F.col("n").alias("na")), "a")
-        .join(forms.select(F.col("w").alias("b"), F.col("n").alias("nb")), "b")
-        .groupBy("w")
-        .agg(F.sum(F.col("na") * F.col("nb")).alias("ways"))
+    keyed = checkpointed(words.select("ngram", plain.alias("w")))
+    forms = checkpointed(keyed.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    vowel, sounding = "[aeiou.]", "[aeiouy.]"
+
+    def cuts(df: DataFrame, column: str, a: str, b: str) -> DataFrame:
+        every = df.where(F.length(column) > 1).select("*", F.explode(F.sequence(F.lit(1), F.length(column) - 1)).alias("at"))
+        return every.select("*", F.expr(f"left({column}, at)").alias(a), F.expr(f"substring({column}, at + 1)").alias(b)).drop("at")
+
+    def named(column: str, n: str) -> DataFrame:
+        return forms.select(F.col("w").alias(column), F.col("n").alias(n))
+
+    cut = cuts(forms.select("w"), "w", "a", "b").where(F.col("a").rlike(vowel) & F.col("b").rlike(vowel))
+    cut = checkpointed(cut.join(named("b", "nb").select("b"), "b", "left_semi").join(named("a", "na"), "a", "left"))
+    whole = cut.where("na IS NOT NULL").select("w", F.col("a").alias("x"), F.lit(1).cast("long").alias("k"), F.lit(False).alias("twice"), F.col("b").alias("y"))
+    heads = cut.where("na IS NULL AND length(a) <= 9").select("a").distinct()
+    pairs = cuts(heads, "a", "p", "q").where(F.col("p").rlike(sounding) & F.col("q").rlike(sounding)).join(named("p", "np"), "p").join(named("q", "nq"), "q")
+    rank = lambda c, n: F.struct(F.length(c).alias("size"), F.col(c).alias("part"), F.col(n).alias("n"))
+    pairs = pairs.select("a", F.array_sort(F.array(rank("p", "np"), rank("q", "nq"))).alias("o"))
+    glued = pairs.groupBy("a").agg(F.min("o").alias("o")).select(
+        "a", F.col("o")[0]["part"].alias("x"), F.when(F.col("o")[0] == F.col("o")[1], F.lit(1).cast("long")).otherwise(F.col("o")[1]["n"]).alias("k"), (F.col("o")[0] == F.col("o")[1]).alias("twice")
     )
-    return keyed.join(forms, "w").join(ways, "w", "left").select("ngram", (F.col("n") + F.coalesce("ways", F.lit(0))).alias("variants"))
+    todo = checkpointed(whole.unionByName(cut.where("na IS NULL").join(glued, "a").select("w", "x", "k", "twice", F.col("b").alias("y"))))
+    done = checkpointed(forms.join(todo.select("w").distinct(), "w", "left_anti").select("w", F.col("n").alias("ways")))
+    while todo.limit(1).count():  # parts are shorter than wholes, so every pass settles the shortest at least
+        known = todo.join(done.select(F.col("w").alias("x"), F.col("ways").alias("wx")), "x", "left").join(done.select(F.col("w").alias("y"), F.col("ways").alias("wy")), "y", "left")
+        ways = F.col("k") * F.col("wx") * F.when(F.col("twice"), F.col("wx")).otherwise(1) * F.col("wy")
+        settled = checkpointed(known.groupBy("w").agg(F.count_if(ways.isNull()).alias("open"), F.sum(ways).alias("ways")).where("open = 0").join(forms, "w").select("w", (F.col("n") + F.col("ways")).alias("ways")))
+        done = checkpointed(done.unionByName(settled))
+        todo = checkpointed(todo.join(settled.select("w"), "w", "left_anti"))
+    return keyed.join(done, "w").select("ngram", F.col("ways").alias("variants"))
 
 
 # ---- rules that lower the OOV rate ----
