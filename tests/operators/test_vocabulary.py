@@ -116,3 +116,19 @@ def test_ways_follow_the_recursion(spark):
     rng = random.Random(7)
     words = sorted({"".join(rng.choice("aoynt") for _ in range(rng.randint(1, 7))) for _ in range(60)} | {"a", "o", "an", "no", "ya", "A.", "a-n", "anan", "noanya"})
     assert ways(spark, words) == brute_ways(words)
+
+
+def test_loop_goes_on_until_no_rule_is_new(spark, monkeypatch):
+    step = lambda c, *_: c.where("c > 0 AND ngram RLIKE '^x+$' AND length(ngram) > 1").selectExpr("ngram AS src", "substring(ngram, 2) AS dst")
+    monkeypatch.setattr(v, "new_rules", step)
+    counts = spark.createDataFrame([("x" * 24, 3)], COUNTS)
+    rules, after = v.minimise_oov(spark, counts, 1, spark.createDataFrame([], "word string"), bigrams=False)
+    assert [tuple(r) for r in after.collect()] == [("x", 3)]
+    assert {r["dst"] for r in rules.collect()} == {"x"}
+
+
+def test_loop_reports_a_cycle(spark, monkeypatch):
+    swap = lambda c, *_: c.where("ngram IN ('a', 'b')").selectExpr("ngram AS src", "translate(ngram, 'ab', 'ba') AS dst")
+    monkeypatch.setattr(v, "new_rules", swap)
+    with pytest.raises(RuntimeError, match="cycle"):
+        v.minimise_oov(spark, spark.createDataFrame([("a", 3)], COUNTS), 1, spark.createDataFrame([], "word string"), bigrams=False)

@@ -515,6 +515,19 @@ def same_vocabulary(a: DataFrame, b: DataFrame) -> bool:
     return not a.select("rank", "ngram").exceptAll(b.select("rank", "ngram")).limit(1).count() and a.count() == b.count()
 
 
+def _state(counts: DataFrame) -> tuple:
+    """Equal for equal counts, in any order; two 64-bit sums of hashes else."""
+    row = [F.sum(F.xxhash64("ngram", "c", F.lit(k)).cast("decimal(20,0)")).alias(f"h{k}") for k in (1, 2)]
+    return tuple(counts.agg(F.count(F.lit(1)).alias("n"), *row).first())
+
+
+def _unseen(counts: DataFrame, seen: set[tuple]) -> None:
+    state = _state(counts)
+    if state in seen:
+        raise RuntimeError("the rules go round in a cycle: counts are those of an earlier pass")
+    seen.add(state)
+
+
 def minimise_oov(
     spark: SparkSession,
     counts: DataFrame,
@@ -522,21 +535,27 @@ def minimise_oov(
     lexicon: DataFrame,
     protection: Protection = Protection(),
     bigrams: bool = True,
-    max_passes: int = 20,
 ) -> tuple[DataFrame, DataFrame]:
     """Rules (src, dst) and counts after passes over unknown words until none is new,
-    then over bigrams until the vocabulary is stable."""
+    then over bigrams until the vocabulary is stable.
+
+    Counts that come back as they were in an earlier pass would go round for ever;
+    they raise an error.
+    """
     counts = checkpointed(counts)
+    seen = {_state(counts)}
     rules = spark.createDataFrame([], "src string, dst string")
-    for _ in range(max_passes):
+    while True:
         new = checkpointed(without_conflicts(new_rules(counts, vocabulary(counts, size), lexicon, protection)))
         if not new.limit(1).count():
             break
         rules = checkpointed(compose(rules, new))
         counts = checkpointed(move_counts(counts, new))
+        _unseen(counts, seen)
     if bigrams:
+        seen = {_state(counts)}
         words = checkpointed(ranked_vocabulary(counts, size))
-        for _ in range(max_passes):
+        while True:
             new = checkpointed(without_conflicts(recased_bigrams(counts, vocabulary(counts, size))))
             if not new.limit(1).count():
                 break
@@ -545,6 +564,7 @@ def minimise_oov(
             after = checkpointed(ranked_vocabulary(counts, size))
             if same_vocabulary(after, words):
                 break
+            _unseen(counts, seen)
             words = after
     return rules, counts
 
