@@ -93,3 +93,18 @@ def test_odd_rows(spark, odd, empty, documents):
 def test_ties_go_to_the_first_language():
     parser = Parser({"bb": "same text", "aa": "same text"})
     assert parser.identify(pa.array(["same text"]))[0] == ["aa"]
+
+
+def scripts():
+    """Training texts of several scripts, over 62 letters; Greek and Cyrillic words are rare letters' ones."""
+    latin = "".join(chr(c) for c in [*range(97, 123), *range(0xE0, 0xF7), *range(0xF8, 0x100)])
+    return {"aa": (latin + " ") * 40, "el": "αβγδεζηθ ικλμνξοπ ρστυφχψω", "ru": "абвгдежз ийклмноп рстуфхцч шщъыьэюя", "zh": "".join(chr(0x4E00 + 7 * i) for i in range(400))}
+
+
+def test_every_letter_has_its_class(monkeypatch):
+    parser = Parser(scripts())
+    samples = ["ψωαβ βαγ", "щъыь эюя", chr(0x4E00 + 7 * 300) + chr(0x4E00 + 7 * 301), "cdefghij"]
+    langs, bits, _ = parser.identify(pa.array(samples))
+    assert langs == ["el", "ru", "zh", "aa"]
+    monkeypatch.setattr(language_id, "DENSE_BYTES", 0)
+    assert Parser(scripts()).identify(pa.array(samples))[:2] == (langs, bits)

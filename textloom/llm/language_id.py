@@ -20,7 +20,6 @@ language is null.  Repeated rows get equal results, a row each.
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +34,15 @@ from textloom.llm.kit import codepoints, lower, pieces
 TRAIN_CHARS = 60_000
 TRAIN_DOCS = 40
 BLOCK = 512
-CLASSES = 64
+#: Bytes of a language's table up to which it is dense; beyond, only its edges are held.
+DENSE_BYTES = 32 << 20
 
 
 def _letters() -> np.ndarray:
-    """1 for code points of the basic plane that are letters or marks."""
+    """1 for code points that are letters or marks."""
     import unicodedata
 
-    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x10000)], bool)
+    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)], bool)
 
 
 class SuffixAutomaton:
@@ -76,50 +76,75 @@ class SuffixAutomaton:
                     self.link[q] = self.link[cur] = clone
             last = cur
 
-    def parsing_table(self) -> np.ndarray:
-        """State * CLASSES + class -> next state, or its complement where a phrase ends."""
-        n = len(self.next)
-        step = np.full((n, CLASSES), -1, np.int32)
-        for s, edges in enumerate(self.next):
-            if edges:
-                step[s, list(edges)] = list(edges.values())
-        root = step[0].copy()
-        # a phrase that ends restarts at the root; there a lone unknown character stays at the root
-        restart = np.where(root >= 0, root, 0).astype(np.int32)
-        dead = step < 0
-        step[dead] = np.broadcast_to(~restart, step.shape)[dead]
-        return step.reshape(-1)
+    def parsing_table(self, width: int) -> Table:
+        """(State, class) -> next state, or its complement where a phrase ends."""
+        return Table(self.next, width)
+
+
+class Table:
+    """Steps of an automaton; a mismatch already leads through the root.
+
+    A phrase that ends restarts at the root; there a lone unknown character stays at
+    the root.  Small tables are dense; of large alphabets the edges alone are held,
+    sorted by state and class.
+    """
+
+    def __init__(self, edges: list[dict[int, int]], width: int):
+        self.width = width
+        root = np.zeros(width, np.int32)
+        root[list(edges[0])] = list(edges[0].values())
+        self.restart = ~root
+        self.dense = self.keys = None
+        if len(edges) * width * 4 <= DENSE_BYTES:
+            step = np.tile(self.restart, (len(edges), 1))
+            for s, out in enumerate(edges):
+                if out:
+                    step[s, list(out)] = list(out.values())
+            self.dense = step.reshape(-1)
+        else:
+            keys = np.array([s * width + c for s, out in enumerate(edges) for c in out], np.int64)
+            to = np.array([t for out in edges for t in out.values()], np.int32)
+            order = np.argsort(keys)
+            self.keys, self.to = keys[order], to[order]
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense[state * np.int32(self.width) + code]
+        key = state.astype(np.int64) * self.width + code
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], self.restart[code])
 
 
 class Parser:
     """Automata of all languages over one set of character classes.
 
-    Class 0 is every character that the training texts don't hold often enough,
-    class 1 is white space and whatever is no letter.
+    Every letter of the training texts has a class of its own; class 0 is every
+    letter that they don't hold, class 1 is white space and whatever is no letter.
+    An automaton's table is as wide as its own language's alphabet: to it, letters
+    of the other languages are class 0.
     """
 
     def __init__(self, texts: dict[str, str]):
         self.letters = _letters()
         self.languages = sorted(texts)
-        seen: Counter = Counter()
-        chars = {}
-        for lang in self.languages:
-            chars[lang] = np.frombuffer(texts[lang].encode("utf-32-le"), np.uint32)
-            cp, n = np.unique(chars[lang], return_counts=True)
-            for c, k in zip(cp.tolist(), n.tolist()):
-                if c < 0x10000 and self.letters[c]:
-                    seen[c] += k
-        kept = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: CLASSES - 2]]
-        self.classes = np.where(self.letters, 0, 1).astype(np.uint8)
+        chars = {lang: np.frombuffer(texts[lang].encode("utf-32-le"), np.uint32) for lang in self.languages}
+        seen = np.unique(np.concatenate([np.zeros(0, np.uint32), *chars.values()]))
+        kept = seen[self.letters[seen]]
+        self.classes = np.where(self.letters, 0, 1).astype(np.min_scalar_type(len(kept) + 1))
         self.classes[kept] = np.arange(2, 2 + len(kept))
-        self.tables, self.bits = [], []
+        self.tables, self.bits, self.own = [], [], []
         for lang in self.languages:
             codes = self.encode(chars[lang])
-            self.tables.append(SuffixAutomaton(codes.tolist()).parsing_table())
+            alphabet = np.unique(codes[codes > 1])
+            own = np.zeros(len(kept) + 2, np.int32)
+            own[1] = 1
+            own[alphabet] = np.arange(2, 2 + len(alphabet))
+            self.own.append(own)
+            self.tables.append(SuffixAutomaton(own[codes].tolist()).parsing_table(len(alphabet) + 2))
             self.bits.append(math.log2(max(2, len(codes))))
 
     def encode(self, chars: np.ndarray) -> np.ndarray:
-        return np.where(chars < 0x10000, self.classes[np.minimum(chars, 0xFFFF)], 0).astype(np.uint8)
+        return self.classes[chars]
 
     def phrases(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Phrases of each row (rows by languages); ``at`` holds the rows' bounds."""
@@ -136,13 +161,13 @@ class Parser:
         start, length, row = start[order], length[order], row[order]
         alive = np.searchsorted(-length, -np.arange(1, length[0] + 1), "right")  # blocks longer than t
         out = np.empty((n_rows, len(self.languages)))
-        padded = np.append(codes, np.zeros(1, np.uint8))
-        for k, table in enumerate(self.tables):
+        for k, (table, own) in enumerate(zip(self.tables, self.own)):
+            local = own[codes]
             state = np.zeros(len(row), np.int32)
             count = np.zeros(len(row), np.int32)
             for t in range(len(alive)):
                 m = int(alive[t])
-                v = table[(state[:m] << 6) + padded[start[:m] + t]]
+                v = table.step(state[:m], local[start[:m] + t])
                 sign = v >> 31
                 count[:m] -= sign
                 state[:m] = v ^ sign
