@@ -108,3 +108,10 @@ def test_every_letter_has_its_class(monkeypatch):
     assert langs == ["el", "ru", "zh", "aa"]
     monkeypatch.setattr(language_id, "DENSE_BYTES", 0)
     assert Parser(scripts()).identify(pa.array(samples))[:2] == (langs, bits)
+
+
+def test_rows_without_text_and_long_texts_train(spark):
+    rows = [(k, "", "en") for k in range(60)] + [(100, "usable words", "en"), (101, "lang " * 100, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = language_id.training_texts(docs, max_chars=20)
+    assert texts == {"en": "usable words\n", "de": ("lang " * 100)[:20]}

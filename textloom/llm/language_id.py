@@ -213,13 +213,14 @@ def _parser(key: int, texts: dict[str, str]) -> Parser:
 def training_texts(docs: DataFrame, max_chars: int = TRAIN_CHARS, max_docs: int = TRAIN_DOCS) -> dict[str, str]:
     """Labelled text a language: whole documents by order of a seeded hash.
 
-    Ids are ranked on the narrow columns; then only those rows' texts are read.
-    Documents are taken in that order while they fit into ``max_chars``; if none
+    Rows with a text are ranked on the narrow columns; then only those rows' texts are
+    collected, a very long one cut.  Documents are taken in that order while they fit into ``max_chars``; if none
     fits, the first one is cut to it.
     """
     ranked = (
-        need(docs, "doc_id", "lang")
-        .where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+        need(docs, "doc_id", "lang", "text")
+        .where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
+        .select("doc_id", "lang")
         .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(31)), "doc_id")))
         .where(F.col("r") <= max_docs)
         .select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "r")
@@ -228,9 +229,8 @@ def training_texts(docs: DataFrame, max_chars: int = TRAIN_CHARS, max_docs: int
         need(docs, "doc_id", "lang", "text")
         .where(F.col("text").isNotNull() & (F.length("text") > 0))
         .join(F.broadcast(ranked), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("label")))
-        .select("label", "r", "id", "text")
+        .select("label", "r", "id", F.left("text", F.lit(16 * max_chars)).alias("text"))
         .distinct()
-        .where(F.length("text") <= 16 * max_chars)
         .collect()  # at most max_docs a language
     )
     texts: dict[str, str] = {}
