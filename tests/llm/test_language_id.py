@@ -115,3 +115,18 @@ def test_rows_without_text_and_long_texts_train(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     texts = language_id.training_texts(docs, max_chars=20)
     assert texts == {"en": "usable words\n", "de": ("lang " * 100)[:20]}
+
+
+def test_phrases_cross_blocks(monkeypatch):
+    parser = Parser(TEXTS)
+    samples = ["the house " * 300, "x", "", "le chien brun dog zzz 文 " * 90, TEXTS["en"][:40] * 60]
+    chars = [np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in samples]
+    at = np.concatenate(([0], np.cumsum([len(c) for c in chars])))
+    codes = parser.encode(np.concatenate(chars))
+    monkeypatch.setitem(globals(), "BLOCK", 1 << 30)
+    want = [[plain_phrases(parser, lang, s) for lang in parser.languages] for s in samples]
+    for block in (7, 512):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        assert parser.phrases(codes, at, across=True).tolist() == want
+    bits = parser.identify(pa.array(samples[:1]))[1][0]
+    assert math.isclose(bits, want[0][0] * parser.bits[0] / len(samples[0]))

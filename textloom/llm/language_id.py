@@ -7,7 +7,9 @@ times log2 of the training length over the characters estimates the bits a
 character costs in that language; the language with the fewest wins.
 
 To parse thousands of texts in step, a text is cut into blocks of BLOCK
-characters, and no phrase crosses a block; every character of a text is parsed.
+characters, which are first all parsed from the root.  Then each block is parsed
+again from the state in which the block before it ends, up to where both parses are
+in the same state, until no block's first state changes; so phrases cross blocks.
 The automaton is a table (state, character class) -> state in which a mismatch
 already leads through the root and marks the end of a phrase.
 
@@ -146,8 +148,11 @@ class Parser:
     def encode(self, chars: np.ndarray) -> np.ndarray:
         return self.classes[chars]
 
-    def phrases(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Phrases of each row (rows by languages); ``at`` holds the rows' bounds."""
+    def phrases(self, codes: np.ndarray, at: np.ndarray, across: bool = False) -> np.ndarray:
+        """Phrases of each row (rows by languages); ``at`` holds the rows' bounds.
+
+        ``across``: phrases cross blocks; else each block ends one.
+        """
         n_rows = len(at) - 1
         size = np.diff(at)
         blocks = -(-size // BLOCK)
@@ -158,21 +163,54 @@ class Parser:
         start = at[row] + nth * BLOCK
         length = np.minimum(BLOCK, at[row + 1] - start)
         order = np.argsort(-length, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        later = np.flatnonzero(nth > 0)
+        # blocks that follow another of their row, and the ones before them
+        after, before = place[later], place[later - 1]
         start, length, row = start[order], length[order], row[order]
         alive = np.searchsorted(-length, -np.arange(1, length[0] + 1), "right")  # blocks longer than t
+        off = np.concatenate(([0], np.cumsum(alive)))  # step t of block j is kept at off[t] + j
+        shared = np.concatenate([codes[start[:m] + t] for t, m in enumerate(alive.tolist())])
         out = np.empty((n_rows, len(self.languages)))
+        kept = np.empty(len(shared) if across else 0, np.int32)
         for k, (table, own) in enumerate(zip(self.tables, self.own)):
-            local = own[codes]
+            local = own[shared]
             state = np.zeros(len(row), np.int32)
             count = np.zeros(len(row), np.int32)
-            for t in range(len(alive)):
-                m = int(alive[t])
-                v = table.step(state[:m], local[start[:m] + t])
+            for t, m in enumerate(alive.tolist()):
+                v = table.step(state[:m], local[off[t] : off[t] + m])
                 sign = v >> 31
                 count[:m] -= sign
                 state[:m] = v ^ sign
-            # the block's last phrase ends with the block
-            out[:, k] = np.bincount(row, count + 1, n_rows)
+                if across:
+                    kept[off[t] : off[t] + m] = v
+            if not across:
+                # the block's last phrase ends with the block
+                out[:, k] = np.bincount(row, count + 1, n_rows)
+                continue
+            first = np.zeros(len(row), np.int32)
+            while len(j := after[first[after] != state[before]]):
+                first[j] = now = state[before[first[after] != state[before]]]
+                for t in range(len(alive)):
+                    ended = length[j] == t
+                    if ended.any():
+                        state[j[ended]] = now[ended]
+                        j, now = j[~ended], now[~ended]
+                    if not len(j):
+                        break
+                    spot = off[t] + j
+                    v = table.step(now, local[spot])
+                    old = kept[spot]
+                    kept[spot] = v
+                    sign = v >> 31
+                    count[j] += (old >> 31) - sign
+                    now = v ^ sign
+                    differs = now != (old ^ (old >> 31))
+                    j, now = j[differs], now[differs]
+                state[j] = now
+            # a row's last phrase ends with the row
+            out[:, k] = np.bincount(row, count, n_rows) + (size > 0)
         return out
 
     def identify(self, arr: pa.Array) -> tuple[list[str | None], list[float | None], list[float | None]]:
@@ -189,7 +227,7 @@ class Parser:
             letters = np.zeros(len(codes) + 1, np.int64)
             np.cumsum(codes != 1, out=letters[1:])
             has = letters[at[1:]] > letters[at[:-1]]
-            rate = self.phrases(codes, at) * np.array(self.bits) / np.maximum(1, np.diff(at))[:, None]
+            rate = self.phrases(codes, at, across=True) * np.array(self.bits) / np.maximum(1, np.diff(at))[:, None]
             best = rate.argmin(1)
             top = np.sort(rate, 1)
             for k in np.flatnonzero(has):
