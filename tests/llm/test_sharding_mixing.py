@@ -138,3 +138,12 @@ def test_mix_of_nothing(spark, empty):
 def test_mix_clashing_names(spark, odd):
     out = mixing.mix(odd.withColumn("copy", odd.doc_id))
     assert out.columns == [*odd.columns, "copy", "copy_"]
+
+
+def test_query_returns_the_rows_of_written_shards(spark, sf, documents):
+    from textloom.llm import registry
+
+    out = registry.op4_sharding(spark, sf)
+    files = out.inputFiles()
+    assert len(files) == out.select("shard").distinct().count() and not set(files) & set(documents.inputFiles())
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in documents.collect())

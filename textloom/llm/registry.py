@@ -20,7 +20,7 @@ from textloom.llm import (
     token_counts,
 )
 from textloom.llm.common import table
-from textloom.session import spread
+from textloom.session import shared_path, spread
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,9 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"))
+    path = shared_path(spark)
+    sharding.write_shards(table(spark, sf_dir, "documents"), path)
+    return spark.read.parquet(path)
 
 
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
