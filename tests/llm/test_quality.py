@@ -1,13 +1,15 @@
 """Operators 1 and 9: held-out accuracy, brute-force dot products, odd rows."""
 
 import math
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from textloom.llm import quality_classifier, quality_rules
-from textloom.llm.kit import U64, mix
-from textloom.llm.linear import Features, Model, calibrate, fit, rows_of
+from pyspark.sql import functions as F
+from textloom.llm.linear import Features, Model, calibrate, fit, labelled_sample, rows_of
 
 
 @pytest.fixture(scope="module")
@@ -84,11 +86,94 @@ def test_calibration_moves_scores_to_frequencies():
     assert calibrate(s, np.ones(4000)) == (1.0, 0.0)
 
 
-def test_repeats_share_a_bucket():
-    f = Features(bits=18, word_orders=(2,))
-    bucket = int((mix(np.array([2], U64))[0] >> U64(46)))
-    first = [b.tolist() for b, _ in f.of(pa.array(["go go go"]))][0]
-    assert first == [bucket, bucket]
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x ^= x >> 32
+    x = x * 0xD6E8FEB86659FD93 & M64
+    x ^= x >> 29
+    x = x * 0xA0761D6478BD642F & M64
+    return x ^ x >> 32
+
+
+def plain_buckets(text, f):
+    """Buckets of a text by loops over its characters, with no array and no part of the library."""
+    kinds = "(?:[A-Za-z0-9]|[^\\x00-\\x7f])+|[^A-Za-z0-9\\x00-\\x20\\x7f-\U0010ffff]+"
+    tokens = re.findall(kinds, text)
+
+    def token_hash(token):
+        data = token.encode()
+        return plain_mix((sum((b + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, b in enumerate(data)) + len(data)) & M64)
+
+    h = [token_hash(t) for t in tokens]
+    out = []
+    for n in f.word_orders:
+        for i in range(len(h) - n + 1):
+            out.append(plain_mix((n + sum(h[i + k] * pow(0xC2B2AE3D27D4EB4F, 2 * k + 1, 1 << 64) for k in range(n))) & M64))
+    for lag in f.repeats:
+        out += [plain_mix(1000 + lag) for i in range(lag, len(tokens)) if tokens[i] == tokens[i - lag]]
+    for n in f.char_orders:
+        for i in range(len(text) - n + 1):
+            total = 0x51ED270B * n
+            for c in text[i : i + n]:
+                total = (total * 0x9E3779B97F4A7C15 + ord(c) + 7) & M64
+            total ^= total >> 31
+            out.append(total * 0xD6E8FEB86659FD93 & M64)
+    return [x >> (64 - f.bits) for x in out]
+
+
+ODD_TEXTS = ["one two two three!!", "", "go go go go", "Es. Es. Es.", "été — straße ### é", "a", "tab\tand\nline 文字 x\u007fy", "same same but same"]
+
+
+@pytest.mark.parametrize("features", [quality_classifier.FEATURES, quality_rules.FEATURES])
+def test_buckets_match_plain_loops(features):
+    for text in ODD_TEXTS:
+        got = sorted(b for part, _ in features.of(pa.array([text])) for b in part.tolist())
+        assert got == sorted(plain_buckets(text, features)), text
+
+
+def test_probabilities_end_to_end(spark):
+    """From labelled rows to calibrated probabilities, by plain loops."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(30)]
+    rows = []
+    for k in range(60):
+        good = k % 2
+        rows.append((k, " ".join(rng.choice(words[:20] if good else words[10:], 12)), good))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    f = Features(bits=12, word_orders=(1, 2), char_orders=(3,))
+    model = quality_rules.rules_model(docs, labels, features=f)
+    got = {r["doc_id"]: r["probability"] for r in quality_rules.apply_rules(docs, labels, model=model).collect()}
+    order = [r["doc_id"] for r in labelled_sample(docs, labels, "quality", 4000).orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").collect()]
+    value = {}
+    for k, text, _ in rows:
+        counts = Counter(plain_buckets(text, f))
+        value[k] = {b: n / math.sqrt(sum(counts.values())) for b, n in counts.items()}
+    z, n = Counter(), Counter()
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.05, 0.5
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    def score(k):
+        return sum(weight(i) * v for i, v in [*value[k].items(), ("bias", 1.0)])
+
+    held = [k for i, k in enumerate(order) if i % 5 == 4]
+    for _ in range(5):
+        for k in order:
+            if k in held:
+                continue
+            p = 1 / (1 + math.exp(-score(k)))
+            now = {i: weight(i) for i in [*value[k], "bias"]}
+            for i, v in [*value[k].items(), ("bias", 1.0)]:
+                g = (p - rows[k][2]) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * now[i]
+                n[i] += g * g
+    a, b = calibrate(np.array([score(k) for k in held]), np.array([float(rows[k][2]) for k in held]))
+    for k, *_ in rows:
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-(a * score(k) + b))), abs=1e-4)
 
 
 def test_classifier_on_odd_rows(spark, odd, empty, labels, documents):
@@ -111,8 +196,6 @@ def test_without_labels_everything_with_text_passes(spark, documents, labels):
 def test_conflicting_and_null_labels(spark):
     docs = spark.createDataFrame([(1, "good text"), (2, "bad text"), (3, "unclear")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (3, 0), (3, 1), (None, 1), (2, None)], "doc_id long, quality int")
-    from textloom.llm.linear import labelled_sample
-
     got = {r["doc_id"]: r["y"] for r in labelled_sample(docs, labels, "quality", 10).collect()}
     assert got == {1: 1, 2: 0}
 

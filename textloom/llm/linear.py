@@ -24,14 +24,16 @@ from textloom.llm.kit import U64, codepoints, flat, lower, mix, ngrams, pieces,
 class Features:
     """What is hashed: n-grams of tokens (and of characters), into 2**bits buckets.
 
-    Tokens are runs of word bytes or of marks, in their own letter case.  An
-    n-gram that ends in its first token hashes to one bucket an order whatever
-    the token is, which shows loops of repeated words.
+    Tokens are runs of word bytes or of marks, in their own letter case.  Every
+    n-gram has the bucket of its own hash.  Beside them, for each of ``repeats``, a
+    token that equals the one so many tokens before adds one to a bucket of that
+    distance, which shows loops of repeated words.
     """
 
     bits: int = 18
     word_orders: tuple[int, ...] = (1, 2)
     char_orders: tuple[int, ...] = ()
+    repeats: tuple[int, ...] = (1, 2, 3)
 
     def of(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each order: buckets of all occurrences and their rows."""
@@ -42,11 +44,8 @@ class Features:
             h = span_hashes(prefix(buf), s, e)
             for n in self.word_orders:
                 g, at = ngrams(h, row, n)
-                if n > 1 and len(g):
-                    same = h[at] == h[at + n - 1]
-                    g[same] = mix(np.array([n], U64))[0]
                 yield (g >> shift).astype(np.int32), row[at]
-            for lag in (3,):
+            for lag in self.repeats:
                 if len(h) > lag:
                     at = np.flatnonzero((h[:-lag] == h[lag:]) & (row[:-lag] == row[lag:]))
                     g = np.full(len(at), mix(np.array([1000 + lag], U64))[0], U64)
@@ -109,11 +108,11 @@ def fit(
     rows: list[tuple[np.ndarray, np.ndarray]],
     labels: np.ndarray,
     features: Features,
-    alpha: float = 0.15,
+    alpha: float = 0.3,
     beta: float = 1.0,
     l1: float = 0.05,
     l2: float = 0.5,
-    epochs: int = 3,
+    epochs: int = 5,
 ) -> Model:
     """FTRL-proximal: per-coordinate learning rates, and L1 that leaves zeros.
 

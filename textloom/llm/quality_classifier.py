@@ -5,7 +5,8 @@ Defined results.  A null or empty text, or one of white space alone, has no
 features: its probability is the bias's and it is rejected as empty.  Very long
 texts are read whole.  Repeated rows get equal results, a row each.  With no
 usable label every probability is 0.5, which passes.  A row at the threshold
-passes.  Columns other than those named are not read.
+passes.  Columns other than those named are not read.  Labelled rows are sampled
+by a seeded hash of their id, rows of equal hashes by id.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ n-gram: its probability is null and its decision "reject".  Otherwise the
 decision is "keep" at or above the upper threshold, "reject" below the lower
 one, and "review" between.  Long texts are read whole; repeated rows get a row
 each; with no usable label every probability is 0.5, so texts go to review.
+Labelled rows are sampled by a seeded hash of their id, rows of equal hashes by id.
 """
 
 from __future__ import annotations
