@@ -13,10 +13,16 @@ in the same state, until no block's first state changes; so phrases cross blocks
 The automaton is a table (state, character class) -> state in which a mismatch
 already leads through the root and marks the end of a phrase.
 
+Training.  Labelled texts are cut into pieces of at most PIECE_CHARS characters, all
+of them, and TRAIN_PIECES pieces a language are drawn by a seeded hash from all pieces
+of all its texts, so no text is dropped for its length and none counts by its
+beginning alone.  The automaton holds the pieces drawn, each ended by a line feed.
+
 Defined results.  A null text, or one without a letter, has no language: null
 and null bits.  Equal bits go to the language first in the alphabet.  Rows
 without a language label or text don't train; without any training text every
-language is null.  Repeated rows get equal results, a row each.
+language is null.  Repeated rows get equal results, a row each; repeated labelled
+rows train once.  Pieces of equal hashes are drawn in order of doc_id, text and place.
 """
 
 from __future__ import annotations
@@ -32,9 +38,9 @@ from pyspark.sql.window import Window
 from textloom.llm.common import need
 from textloom.llm.kit import codepoints, lower, pieces
 
-#: Training characters a language at most, and labelled rows considered for them.
-TRAIN_CHARS = 60_000
-TRAIN_DOCS = 40
+#: Pieces of labelled text a language trains on at most, and characters of a piece.
+TRAIN_PIECES = 40
+PIECE_CHARS = 1500
 BLOCK = 512
 #: Bytes of a language's table up to which it is dense; beyond, only its edges are held.
 DENSE_BYTES = 32 << 20
@@ -148,11 +154,8 @@ class Parser:
     def encode(self, chars: np.ndarray) -> np.ndarray:
         return self.classes[chars]
 
-    def phrases(self, codes: np.ndarray, at: np.ndarray, across: bool = False) -> np.ndarray:
-        """Phrases of each row (rows by languages); ``at`` holds the rows' bounds.
-
-        ``across``: phrases cross blocks; else each block ends one.
-        """
+    def phrases(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Phrases of each row (rows by languages); ``at`` holds the rows' bounds."""
         n_rows = len(at) - 1
         size = np.diff(at)
         blocks = -(-size // BLOCK)
@@ -173,7 +176,7 @@ class Parser:
         off = np.concatenate(([0], np.cumsum(alive)))  # step t of block j is kept at off[t] + j
         shared = np.concatenate([codes[start[:m] + t] for t, m in enumerate(alive.tolist())])
         out = np.empty((n_rows, len(self.languages)))
-        kept = np.empty(len(shared) if across else 0, np.int32)
+        kept = np.empty(len(shared), np.int32)
         for k, (table, own) in enumerate(zip(self.tables, self.own)):
             local = own[shared]
             state = np.zeros(len(row), np.int32)
@@ -183,12 +186,7 @@ class Parser:
                 sign = v >> 31
                 count[:m] -= sign
                 state[:m] = v ^ sign
-                if across:
-                    kept[off[t] : off[t] + m] = v
-            if not across:
-                # the block's last phrase ends with the block
-                out[:, k] = np.bincount(row, count + 1, n_rows)
-                continue
+                kept[off[t] : off[t] + m] = v
             first = np.zeros(len(row), np.int32)
             while len(j := after[first[after] != state[before]]):
                 first[j] = now = state[before[first[after] != state[before]]]
@@ -227,7 +225,7 @@ class Parser:
             letters = np.zeros(len(codes) + 1, np.int64)
             np.cumsum(codes != 1, out=letters[1:])
             has = letters[at[1:]] > letters[at[:-1]]
-            rate = self.phrases(codes, at, across=True) * np.array(self.bits) / np.maximum(1, np.diff(at))[:, None]
+            rate = self.phrases(codes, at) * np.array(self.bits) / np.maximum(1, np.diff(at))[:, None]
             best = rate.argmin(1)
             top = np.sort(rate, 1)
             for k in np.flatnonzero(has):
@@ -248,36 +246,33 @@ def _parser(key: int, texts: dict[str, str]) -> Parser:
     return _parsers[key]
 
 
-def training_texts(docs: DataFrame, max_chars: int = TRAIN_CHARS, max_docs: int = TRAIN_DOCS) -> dict[str, str]:
-    """Labelled text a language: whole documents by order of a seeded hash.
+def training_texts(docs: DataFrame, pieces_each: int = TRAIN_PIECES, piece_chars: int = PIECE_CHARS) -> dict[str, str]:
+    """Labelled text a language: pieces of its documents in the order of a seeded hash.
 
-    Rows with a text are ranked on the narrow columns; then only those rows' texts are
-    collected, a very long one cut.  Documents are taken in that order while they fit into ``max_chars``; if none
-    fits, the first one is cut to it.
+    Pieces are ranked by narrow columns, and a partition hands on its first ones alone;
+    only the pieces drawn are read and collected, so at most ``pieces_each`` times
+    ``piece_chars`` characters a language reach the driver.
     """
-    ranked = (
-        need(docs, "doc_id", "lang", "text")
-        .where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
-        .select("doc_id", "lang")
-        .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(31)), "doc_id")))
-        .where(F.col("r") <= max_docs)
-        .select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "r")
+    labelled = need(docs, "doc_id", "lang", "text").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
+    places = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / piece_chars).cast("int"))
+    every = labelled.select("doc_id", "lang", F.xxhash64("text").alias("h"), F.explode(places).alias("place"))
+    order = [F.xxhash64("doc_id", "place", F.lit(31)), F.col("doc_id"), F.col("h"), F.col("place")]
+    drawn = (
+        every.distinct()
+        .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+        .where(F.col("r") <= pieces_each)
+        .select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "h", "place", "r")
     )
     rows = (
-        need(docs, "doc_id", "lang", "text")
-        .where(F.col("text").isNotNull() & (F.length("text") > 0))
-        .join(F.broadcast(ranked), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("label")))
-        .select("label", "r", "id", F.left("text", F.lit(16 * max_chars)).alias("text"))
+        labelled.withColumn("hash", F.xxhash64("text"))
+        .join(F.broadcast(drawn), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("label")) & (F.col("hash") == F.col("h")))
+        .select("label", "r", F.col("text").substr(F.col("place") * piece_chars + 1, F.lit(piece_chars)).alias("text"))
         .distinct()
-        .collect()  # at most max_docs a language
+        .collect()
     )
     texts: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r["label"], r["r"], r["id"], r["text"])):
-        text, have = r["text"].lower(), texts.get(r["label"], "")
-        if len(have) + len(text) + 1 <= max_chars:
-            texts[r["label"]] = have + text + "\n"
-    for r in sorted(rows, key=lambda r: (r["label"], r["r"], r["id"], r["text"])):
-        texts.setdefault(r["label"], r["text"].lower()[:max_chars])
+    for r in sorted(rows, key=lambda r: (r["label"], r["r"])):
+        texts[r["label"]] = texts.get(r["label"], "") + r["text"].lower() + "\n"
     return texts
 
 
@@ -285,7 +280,7 @@ def identify(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     """doc_id, language, bits a character, lead in bits, of every row."""
     texts = training_texts(docs) if texts is None else texts
     key = hash(tuple(sorted(texts.items())))
-    shared = docs.sparkSession.sparkContext.broadcast(texts)  # bounded by max_chars a language
+    shared = docs.sparkSession.sparkContext.broadcast(texts)  # TRAIN_PIECES * PIECE_CHARS characters a language at most
 
     @F.arrow_udf("struct<language string, bits double, lead double>")
     def best(arr: pa.Array) -> pa.Array:
