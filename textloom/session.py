@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,13 +22,16 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 def _checkpoint_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names.
 
-    Where that is unset, as in tests in one process, a temporary folder is set.
+    Where that is unset, a temporary folder is set in a session of one process, as in
+    tests; on a cluster, where no other machine could read it, it is an error.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="textloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -40,8 +44,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path in the shared folder."""
-    return f"{_checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    """A new path in the shared folder, with its file system's scheme."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 #: Least bytes of a partition that ``spread`` makes, and bytes of a usual row group.
