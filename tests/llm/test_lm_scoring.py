@@ -10,7 +10,7 @@ import pytest
 from textloom.llm import lm_scoring as L
 
 
-def brute(texts):
+def brute(texts, least):
     docs = [re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", (t or "").lower()) for t in texts]
     count = Counter(tuple(d[i : i + n]) for d in docs for n in (1, 2, 3) for i in range(len(d) - n + 1))
     total = sum(len(d) for d in docs)
@@ -23,15 +23,15 @@ def brute(texts):
                 gram = tuple(d[i - n : i + 1])
                 if n == 0:
                     score += math.log(count[gram] / total) + high * math.log(L.ALPHA)
-                elif count[gram] >= L.MIN_COUNT:
+                elif count[gram] >= least:
                     score += math.log(count[gram] / count[gram[:-1]]) + (high - n) * math.log(L.ALPHA)
                     break
         out.append((len(d), score))
     return out
 
 
-def check(rows, docs):
-    want = brute([d["text"] for d in docs])
+def check(rows, docs, least=L.MIN_COUNT):
+    want = brute([d["text"] for d in docs], least)
     got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["log_score"]) for r in rows))
     want = sorted((d["doc_id"] is None, d["doc_id"] or 0, n, s) for d, (n, s) in zip(docs, want))
     assert len(got) == len(want)
@@ -39,13 +39,32 @@ def check(rows, docs):
         assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], rel=1e-9, abs=1e-6)
 
 
-def test_scores_match_counting(spark, documents):
-    check(L.score(documents).collect(), documents.collect())
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_scores_match_counting(spark, documents, least):
+    check(L.score(documents, min_count=least).collect(), documents.collect(), least)
 
 
-def test_many_parts_and_ranges(spark, documents, monkeypatch):
-    monkeypatch.setattr(L, "input_bytes", lambda df: 20 * L.RANGE_BYTES)
-    check(L.score(documents.repartition(5)).collect(), documents.collect())
+def test_many_blocks_and_ranges(spark, documents, monkeypatch):
+    monkeypatch.setattr(L, "PARTITIONS", 7)
+    check(L.score(documents.repartition(5), block_bytes=20_000, range_grams=500).collect(), documents.collect())
+
+
+def test_no_more_rows_than_ngrams(spark):
+    """Ranges without an n-gram of a block make no row."""
+    import pyarrow as pa
+
+    rows = pa.table({"doc_id": [1], "text": ["a b c d e f"]})
+    batch = pa.RecordBatch.from_pydict({"block": [3], "data": [L._packed(rows)]})
+    got = pa.Table.from_batches(L._count(3, 1 << 30)(iter([batch])))
+    assert got.num_rows == 6 + 5 + 4
+    part = got["part"].to_pylist()
+    assert part == sorted(part) and max(part) < 1 << 30
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a1", "one two one two"), ("b-2", None)], "doc_id string, text string")
+    got = {r["doc_id"]: r["n_words"] for r in L.score(docs).collect()}
+    assert got == {"a1": 4, "b-2": 0}
 
 
 def test_odd_rows(spark, odd, empty):
@@ -56,11 +75,12 @@ def test_odd_rows(spark, odd, empty):
     assert L.score(empty).count() == 0
 
 
-def test_sql(spark, sf, documents):
+@pytest.mark.parametrize("least", [1, 2])
+def test_sql(spark, sf, documents, least):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    want = con.execute(L.LM_SQL).df().sort_values("doc_id")
-    got = L.score(documents).toPandas().sort_values("doc_id")
+    want = con.execute(L.LM_SQL.format(least=least)).df().sort_values("doc_id")
+    got = L.score(documents, min_count=least).toPandas().sort_values("doc_id")
     assert got.n_words.tolist() == want.n_words.tolist()
     assert np.allclose(got.log_score, want.log_score, atol=1e-3)
 

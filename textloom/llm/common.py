@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.session import shared_path
+
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -26,41 +25,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the storage that all executors share.
-
-    The cluster names it in spark.checkpoint.dir.  Only where that is unset, as
-    in tests in one process, is a temporary folder made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            root = current.get()
-        else:
-            root = "file://" + tempfile.mkdtemp(prefix="textloom-")
-            spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/textloom-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame) -> DataFrame:
+    """A new folder in the storage that all executors share, as a URI."""
+    return shared_path(spark)
+
+
+def saved(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
+    df.write.options(**{"compression": compression} if compression else {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def filesystem(uri: str):
-    """Arrow file system and path of a folder named by URI or plain path."""
+    """Arrow file system and path of a folder named by a URI."""
     import pyarrow.fs as pafs
 
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     return pafs.FileSystem.from_uri(uri)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of its file system; a plain one is of fs.defaultFS, as for Spark."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jpath).toString()
+
+
+def type_of(df: DataFrame, name: str) -> str:
+    """DDL type of a column, so that ids keep theirs through steps in Python."""
+    return df.select(F.col(f"`{name}`")).schema[0].dataType.simpleString()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the input doesn't have, whatever its letter case."""
     taken = {c.lower() for c in df.columns}

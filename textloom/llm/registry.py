@@ -89,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_lm_scoring": lm_scoring.LM_SQL, "op10_mixing": mixing.MIX_SQL.format(docs="documents")}
+    return {"op8_lm_scoring": lm_scoring.LM_SQL.format(least=lm_scoring.MIN_COUNT), "op10_mixing": mixing.MIX_SQL.format(docs="documents")}
