@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -76,10 +77,13 @@ def test_groups_match_all_pairs(spark):
             texts.append(" ".join(edited(rng, base, rng.choice([0, 0, 0.01, 0.03, 0.05]) if c else 0)))
             truth.append(g)
     docs = spark.createDataFrame([(i * 10, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    rows = near_dedup.groups(docs).collect()
-    assert sorted(x for r in rows for x in r["member_ids"]) == [i * 10 for i in range(len(texts))]
-    group = {x: r["doc_id"] for r in rows for x in r["member_ids"]}
-    assert all(r["doc_id"] == min(r["member_ids"]) for r in rows)
+    rows = near_dedup.classes(docs).collect()
+    assert sorted(r["doc_id"] for r in rows) == [i * 10 for i in range(len(texts))]
+    group = {r["doc_id"]: r["class_id"] for r in rows}
+    for c in set(group.values()):
+        assert c == min(x for x in group if group[x] == c)
+    size = Counter(group.values())
+    assert all((r["links"] > 0) == (size[r["class_id"]] > 1) for r in rows)
     sets = exact_sets(texts)
     pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if jaccard(sets[i], sets[j]) >= near_dedup.THRESHOLD]
     found = sum(group[i * 10] == group[j * 10] for i, j in pairs)
@@ -89,8 +93,7 @@ def test_groups_match_all_pairs(spark):
 
 
 def test_real_documents(spark, documents):
-    rows = near_dedup.groups(documents).collect()
-    group = {x: r["doc_id"] for r in rows for x in r["member_ids"]}
+    group = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(documents).collect()}
     docs = documents.orderBy("doc_id").collect()
     sets = exact_sets([d["text"] for d in docs])
     ids = [d["doc_id"] for d in docs]
@@ -102,47 +105,113 @@ def test_real_documents(spark, documents):
             assert want[a] == want[b]
 
 
-def test_bucket_edges_join_whatever_is_similar():
-    """All clusters of a bucket, also where a leader misses a pair of two followers."""
-    rng = np.random.default_rng(7)
+def unions(n, pairs):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        root[find(x)] = find(y)
+    return [[find(i) == find(j) for j in range(n)] for i in range(n)]
+
+
+def chained(n, seed):
+    """Sketches of a chain: each differs from the next a little, ends differ a lot."""
+    rng = np.random.default_rng(seed)
     base = rng.integers(0, 1 << 32, near_dedup.K, dtype=np.uint32)
     rows = []
-    for step in range(8):  # a chain: each differs from the next a little, ends differ a lot
-        row = base.copy()
-        row[: step * 20] = rng.integers(0, 1 << 32, step * 20, dtype=np.uint32)
-        base[: step * 20] = row[: step * 20]
-        rows.append(row)
-    sketch = near_dedup.odd_sketches(np.array(rows))
-    for order in itertools.islice(itertools.permutations(range(8)), 0, 40320, 997):
-        order = list(order)
-        a, b = near_dedup.bucket_edges(np.array(order), sketch[order], 0.5)
-        joined = {i: i for i in range(8)}
-
-        def find(x):
-            while joined[x] != x:
-                x = joined[x]
-            return x
-
-        for x, y in zip(a, b):
-            joined[find(x)] = find(y)
-        want = {i: i for i in range(8)}
-
-        def top(x):
-            while want[x] != x:
-                x = want[x]
-            return x
-
-        for i, j in itertools.combinations(range(8), 2):
-            if near_dedup.similarity(sketch[i], sketch[j]) >= 0.5:
-                want[top(i)] = top(j)
-        for i, j in itertools.combinations(range(8), 2):
-            assert (find(i) == find(j)) == (top(i) == top(j))
+    for step in range(n):
+        if step:
+            base = base.copy()
+            at = rng.choice(near_dedup.K, 22, replace=False)
+            base[at] = rng.integers(0, 1 << 32, 22, dtype=np.uint32)
+        rows.append(base)
+    return near_dedup.odd_sketches(np.array(rows))
+
+
+def test_class_links_join_whatever_is_similar():
+    n, most = 12, near_dedup.most_odd(0.5)
+    sketch = chained(n, 7)
+    near = [(i, j) for i, j in itertools.combinations(range(n), 2) if near_dedup.similarity(sketch[i], sketch[j]) >= 0.5]
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        order = rng.permutation(n)
+        group = np.sort(rng.integers(0, 5, n))  # rows come sorted by class
+        same = [(i, j) for i, j in itertools.combinations(range(n), 2) if group[i] == group[j]]
+        node = order.astype(np.int64)
+        found = near_dedup.class_links(node, group, np.zeros(n, bool), sketch[order], most)
+        place = {int(x): k for k, x in enumerate(order)}
+        got = unions(n, same + [(place[a], place[b]) for a, b, *_ in found])
+        assert got == unions(n, same + [(place[i], place[j]) for i, j in near])
+        assert all(group[place[a]] == x and group[place[b]] == y for a, b, x, y in found)
+
+
+def test_most_odd_is_the_threshold():
+    for t in (0.3, 0.5, 0.8, 1.0):
+        most = near_dedup.most_odd(t)
+        bits = np.zeros((2, near_dedup.BITS), np.uint8)
+        for odd in (most, most + 1):
+            bits[1] = np.arange(near_dedup.BITS) < odd
+            a, b = np.packbits(bits, 1, bitorder="little").view(np.uint64)
+            assert (near_dedup.similarity(a, b) >= t) == (odd == most)
+
+
+def test_block_pairs_hold_every_pair_of_two_classes(spark):
+    """Buckets over the limit: every pair of nodes of different classes meets in one row group, and none is large."""
+    rng = random.Random(9)
+    rows = []
+    for band, sizes in {1: [70, 3, 2, 1, 1], 2: [1] * 40, 3: [2, 1], 4: [30, 25, 1], 5: [30, 30]}.items():
+        nodes = [(band, sum(sizes), 1000 * band + 100 * c, c) for c, m in enumerate(sizes) for _ in range(m)]
+        rows += [(b, n, x + i, 1000 * band + 100 * c) for i, (b, n, x, c) in enumerate(nodes)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "band long, n long, node long, root long")
+    units = {}
+    for r in near_dedup.block_pairs(df, 8).collect():
+        units.setdefault((r["band"], r["low"], r["high"]), []).append((r["node"], r["root"], r["block"]))
+    met = Counter()
+    for (band, low, high), nodes in units.items():
+        assert len(nodes) <= 50
+        for (x, cx, bx), (y, cy, by) in itertools.combinations(nodes, 2):
+            if cx != cy and (low == high or bx != by):
+                met[frozenset((x, y))] += 1
+    want = {frozenset((x[2], y[2])) for x, y in itertools.combinations(rows, 2) if x[0] == y[0] and x[3] != y[3]}
+    assert set(met) == want and set(met.values()) == {1}
+
+
+def test_groups_alike_with_buckets_cut_to_blocks(spark, monkeypatch):
+    """Near-copies of few texts, in buckets over the limit, against whole buckets."""
+    rng = random.Random(10)
+    texts = []
+    shared = [f"s{k}" for k in range(60)]
+    for _ in range(6):
+        base = shared + [f"w{rng.randrange(3000)}" for _ in range(30)]
+        texts += [" ".join(edited(rng, base, rng.choice([0.02, 0.05, 0.1]))) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, node, _ = near_dedup.with_node(docs)
+
+    def groups(hot):
+        labels, _ = near_dedup.group_labels(rows, node, hot=hot)
+        return sorted((r["node"], r["root"]) for r in labels.collect())
+
+    assert groups(5) == groups(2048)
 
 
 def test_thousands_of_copies_make_one_group(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "'the same text again and again in every row' AS text")
-    rows = near_dedup.groups(docs).collect()
-    assert len(rows) == 1 and rows[0]["doc_id"] == 0 and len(rows[0]["member_ids"]) == 3000
+    rows = near_dedup.classes(docs).collect()
+    assert len(rows) == 3000 and {r["class_id"] for r in rows} == {0}
+    assert {r["links"] for r in rows if r["doc_id"]} == {1} and [r["links"] for r in rows if not r["doc_id"]] == [2999]
+
+
+def test_ids_of_any_type(spark):
+    text = "one text of several words that occurs twice here"
+    docs = spark.createDataFrame([("b", text), ("a", text), ("c", "another text")], "doc_id string, text string").coalesce(1)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
+    assert got["a"] == got["b"] and got["c"] == "c"
+    assert near_dedup.keep_one(docs).count() == 2
 
 
 def test_components_of_a_long_chain(spark):
@@ -158,7 +227,7 @@ def test_odd_rows(spark, odd, empty):
     assert sum(r["doc_id"] == 1 for r in rows) == 1  # the repeated row
     assert len(rows) == odd.count() - 1  # texts without words stay
     assert near_dedup.keep_one(empty).count() == 0
-    assert near_dedup.groups(empty).count() == 0
+    assert near_dedup.classes(empty).count() == 0
 
 
 def test_dropped_ids_join_alike_with_and_without_broadcast(spark, documents, monkeypatch):

@@ -11,7 +11,7 @@ def test_stages_follow_each_other(spark, sf, documents, labels, benchmark):
     accepted = {r["doc_id"] for r in quality_classifier.classify(docs, labels).where("accepted").collect()}
     assert {r["doc_id"] for r in good.collect()} == accepted < {r["doc_id"] for r in docs.collect()}
     single = corpus_pipeline.near_duplicates(spark, good, sf)
-    assert {r["doc_id"] for r in single.collect()} == {r["doc_id"] for r in near_dedup.groups(good).collect()}
+    assert {r["doc_id"] for r in single.collect()} == {r["class_id"] for r in near_dedup.classes(good).collect()}
     clean = corpus_pipeline.decontaminate(spark, single, sf)
     leaks = {r["doc_id"] for r in decontamination.find_leaks(single, benchmark).collect()}
     assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in single.collect()} - leaks

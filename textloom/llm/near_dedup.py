@@ -6,17 +6,27 @@ all (sample number, minimum) pairs into a parity bitmap of BITS bits, an odd
 sketch, verifies them: the population count p of two sketches' XOR estimates the
 number of differing samples, hence similarity 1 + BITS/(4K) ln(1 - 2p/BITS).
 
-Equal sample vectors are one node from the start, so thousands of exact copies
-make no pair.  In a band's bucket every node is tested against the first; only
-in buckets where one fails are the rest compared as well, cluster by cluster,
-until every pair is either tested or known to be joined.  The groups are the
-connected components of the verified pairs.
+Equal sample vectors are one node from the start, by a partial aggregation, so
+thousands of exact copies make no pair.  Then no band's bucket is ever gathered:
+
+1. Each bucket has a leader, its smallest node, by a partial aggregation.  Every
+   node of the bucket is verified against the leader, in rows of their own: that is
+   linear, whatever the buckets' sizes, and adaptive joins split hot leaders.  The
+   components of these links are the first classes.
+2. Buckets whose nodes are in several classes have their nodes of different classes
+   verified as well.  A bucket of at most HOT nodes is one task's row group; a larger
+   one is cut into blocks of about HOT nodes, classes together, and pairs of blocks
+   are row groups of their own, save pairs within one class.  Classes that a verified
+   link joins become one, and nothing is capped.
+
+The groups are the connected components of the verified links.
 
 Defined results.  Texts without a word (also null and empty ones) are compared
 with nothing: each stays.  Texts of fewer words than SHINGLE have their whole
 word sequence as one shingle.  The document with the smallest id stays in a
 group.  Rows that share an id, or have none, are rows of their own.  Texts are
-read whole, in lower case.  Where ids repeat or miss, the first row stays.
+read whole, in lower case.  Where ids repeat, miss or aren't integers, the first row
+of a group stays.
 """
 
 from __future__ import annotations
@@ -25,10 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import fresh, need, saved, tuned
+from textloom.llm.common import fresh, need, saved, tuned, type_of
 from textloom.llm.kit import U64, lower, mix, ngrams, pieces, row_bounds, words
 
 SHINGLE = 3
@@ -36,6 +46,8 @@ BANDS, ROWS = 40, 4
 K = BANDS * ROWS
 BITS = 512
 THRESHOLD = 0.5
+#: Nodes of a bucket that one row group holds, about.
+HOT = 2048
 #: Ids of dropped rows are broadcast up to this size.
 BROADCAST_BYTES = 32 << 20
 
@@ -118,97 +130,100 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(same[0].view(np.int64)),
                     pa.array(same[1].view(np.int64)),
                     bands,
-                    pa.array([s.tobytes() for s in sketch], pa.binary()),
+                    pa.ListArray.from_arrays(np.arange(0, sketch.size + 1, sketch.shape[1], dtype=np.int32), pa.array(sketch.reshape(-1).view(np.int64))),
                 ],
                 ["node", "s0", "s1", "bands", "sketch"],
             )
 
 
-def bucket_edges(node: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
-    """Edges that join all similar nodes of one bucket, however they are paired.
+def most_odd(threshold: float) -> int:
+    """The most differing bits with which two sketches are similar; -1 if none are."""
+    odd = np.arange(BITS + 1)
+    likely = np.maximum(0.0, 1 + BITS / (4 * K) * np.log(np.maximum(1e-9, 1 - 2 * odd / BITS)))
+    return int(np.flatnonzero(likely >= threshold).max(initial=-1))
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Population count of two sketches' XOR."""
+    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, BITS // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
+
 
-    Each node that no earlier leader took becomes a leader and is tested against
-    all later nodes.  Pairs whose two nodes have different leaders are then
-    tested cluster against cluster, unless an edge already joins the clusters.
+def class_links(node: np.ndarray, group: np.ndarray, high: np.ndarray, sketch: np.ndarray, most: int) -> list[tuple[int, int, int, int]]:
+    """Links (node, node, class, class) that join all similar classes of one row group.
+
+    Where some nodes are of the pair's higher block, only pairs across blocks count:
+    the others are those of another row group.  Classes that a link joined are one.
     """
-    n = len(node)
-    leader = np.full(n, -1)
-    a: list[int] = []
-    b: list[int] = []
-    group: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while group[x] != x:
-            group[x] = group[group[x]]
-            x = group[x]
-        return x
-
-    for i in range(n):
-        if leader[i] >= 0:
-            continue
-        leader[i] = i
-        group[i] = i
-        near = np.flatnonzero(similarity(sketch[i], sketch[i + 1 :]) >= threshold) + i + 1
-        for j in near[leader[near] >= 0]:
-            group[find(int(leader[j]))] = find(i)
-        a.extend([int(node[i])] * len(near))
-        b.extend(node[near].tolist())
-        leader[near[leader[near] < 0]] = i
-    heads = list(group)
-    members = {h: np.flatnonzero(leader == h) for h in heads}
-    for x, h in enumerate(heads):
-        for g in heads[:x]:
-            if len(members[h]) + len(members[g]) == 2 or find(h) == find(g):
-                continue
-            for i in members[h]:
-                hit = np.flatnonzero(similarity(sketch[i], sketch[members[g]]) >= threshold)
-                if len(hit):
-                    a.append(int(node[i]))
-                    b.append(int(node[members[g][hit[0]]]))
-                    group[find(h)] = find(g)
-                    break
-    return a, b
+    now = group.copy()
+    across = bool(high.any() and not high.all())
+    out = []
+    for i in range(len(node) - 1):
+        other = np.flatnonzero(now[i + 1 :] != now[i]) + i + 1
+        if across:
+            other = other[high[other] != high[i]]
+        hit = other[np.bitwise_count(sketch[i] ^ sketch[other]).sum(1) <= most]
+        for j in hit.tolist():
+            if now[j] != now[i]:
+                out.append((int(node[i]), int(node[j]), int(group[i]), int(group[j])))
+                now[now == now[j]] = now[i]
+    return out
 
 
-def _verify(threshold: float):
+def _verify(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(key: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
-            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            size = np.diff(np.append(begin, len(key)))
-            first = np.repeat(begin, size)
-            other = np.flatnonzero(first != np.arange(len(key)))
-            ok = similarity(sketch[first[other]], sketch[other]) >= threshold
-            a, b = [node[first[other[ok]]]], [node[other[ok]]]
-            failed = np.unique(first[other[~ok]])
-            for s in failed:
-                m = size[np.searchsorted(begin, s)]
-                if m > 2:
-                    x, y = bucket_edges(node[s : s + m], sketch[s : s + m], threshold)
-                    a.append(np.array(x, np.int64))
-                    b.append(np.array(y, np.int64))
-            x, y = np.concatenate(a), np.concatenate(b)
-            pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        def links(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            sketch = t["sketch"].combine_chunks().flatten().to_numpy().view(U64).reshape(t.num_rows, -1)
+            found = class_links(t["node"].to_numpy(), t["root"].to_numpy(), t["block"].to_numpy() == t["high"].to_numpy(), sketch, most)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found)], ["a", "b", "class_a", "class_b"])
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch["band"].to_numpy()
-            buf = np.frombuffer(b"".join(batch["sketch"].to_pylist()), U64).reshape(len(key), -1)
-            held.append((key, batch["node"].to_numpy(), buf))
-            if key[0] == key[-1] and held[0][0][0] == key[0]:
-                continue  # one bucket so far
-            key, node, sketch = (np.concatenate(x) for x in zip(*held))
-            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
-            yield edges(key[:cut], node[:cut], sketch[:cut])
-            held = [(key[cut:], node[cut:], sketch[cut:])]
+            key = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("band", "low", "high")], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if held and any(held[0][c][0] != batch[c][lo] for c in ("band", "low", "high")):
+                    yield from links(held)
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
         if held:
-            yield edges(*(np.concatenate(x) for x in zip(*held)))
+            yield from links(held)
 
     return run
 
 
+def block_pairs(members: DataFrame, hot: int) -> DataFrame:
+    """The rows of ``members`` (band, n, node, root) once for each pair of blocks they
+    are tested in, with block and the pair, low and high.
+
+    A bucket of up to ``hot`` nodes is block 0 alone.  In a larger one, a class of more
+    than ``hot`` nodes has blocks of its own, by hash of the node, and smaller classes
+    share blocks, by hash of the class; a pair of blocks of one class is left out.
+    """
+    columns = [F.col(c) for c in members.columns]
+    small = members.where(F.col("n") <= hot).select(*columns, *[F.lit(0).alias(c) for c in ("block", "low", "high")])
+    large = members.where(F.col("n") > hot)
+    sizes = large.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
+    shared = sizes.groupBy("band").agg(
+        F.ceil(F.sum(F.when(F.col("m") <= hot, F.col("m")).otherwise(0)) / hot).cast("int").alias("shared"),
+        # of large classes there are n / hot at most
+        F.array_sort(F.collect_list(F.when(F.col("m") > hot, F.struct("root", F.ceil(F.col("m") / hot).cast("int").alias("own"))))).alias("large"),
+    )
+    placed = (
+        large.join(shared, "band")
+        .withColumn("mine", F.get(F.filter("large", lambda x: x["root"] == F.col("root")), F.lit(0))["own"])
+        .withColumn("before", F.aggregate(F.filter("large", lambda x: x["root"] < F.col("root")), F.col("shared"), lambda n, x: n + x["own"]))
+        .withColumn("total", F.aggregate("large", F.col("shared"), lambda n, x: n + x["own"]))
+    )
+    block = F.when(F.col("mine").isNull(), F.pmod(F.xxhash64("root"), F.greatest(F.col("shared"), F.lit(1)))).otherwise(F.col("before") + F.pmod(F.xxhash64("node"), F.col("mine"))).cast("int")
+    placed = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("total") - 1)))
+    own = F.col("mine").isNotNull() & (F.col("other") >= F.col("before")) & (F.col("other") < F.col("before") + F.col("mine"))
+    return small.unionByName(placed.where(~own).select(*columns, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of each connected component.
 
@@ -230,63 +245,81 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select(F.col("x").alias("node"), "root")
 
 
-def with_node(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The rows with a column that tells them apart: doc_id where it does.
+def with_node(docs: DataFrame) -> tuple[DataFrame, str, bool]:
+    """The rows with a column that tells them apart, its name, and is it doc_id?
 
-    Where ids repeat or miss, rows are numbered and written to the shared folder,
-    so that the numbers stay the same in every later reading.
+    Where ids repeat, miss or aren't integers, rows are numbered and written to the
+    shared folder, so that the numbers stay the same in every later reading.
     """
     name = fresh(docs, "node")
-    n = docs.select(F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
-    if n["rows"] == n["ids"]:
-        return docs.withColumn(name, F.col("doc_id").cast("long")), name
-    return saved(docs.withColumn(name, F.monotonically_increasing_id())), name
+    if type_of(docs, "doc_id") in ("tinyint", "smallint", "int", "bigint"):
+        n = docs.select(F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+        if n["rows"] == n["ids"]:
+            return docs.withColumn(name, F.col("doc_id").cast("long")), name, True
+    return saved(docs.withColumn(name, F.monotonically_increasing_id())), name, False
 
 
-def group_labels(docs: DataFrame, node: str, threshold: float = THRESHOLD) -> DataFrame:
-    """node, root of every row that is in a group of two or more."""
+def group_labels(docs: DataFrame, node: str, threshold: float = THRESHOLD, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """node, root of every row that is in a group of two or more, and the links a, b found."""
     tuned(docs.sparkSession)
-    sketches = saved(
-        docs.select(F.col(f"`{node}`").alias("node"), "text").mapInArrow(_sketch, "node long, s0 long, s1 long, bands array<long>, sketch binary")
-    )
-    same = saved(sketches.groupBy("s0", "s1").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")))
-    firsts = sketches.join(same.select(F.col("rep").alias("node")), "node", "left_semi")
+    most = most_odd(threshold)
+    texts = docs.select(F.col(f"`{node}`").alias("node"), "text")
+    sketches = saved(texts.mapInArrow(_sketch, "node long, s0 long, s1 long, bands array<long>, sketch array<long>"))
+    same = saved(sketches.groupBy("s0", "s1").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    firsts = saved(sketches.select("node", "bands", "sketch").join(same.select(F.col("rep").alias("node")), "node", "left_semi"))
     banded = firsts.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") > 1)
-    candidates = shared.select("band", F.explode("nodes").alias("node"))
-    tested = candidates.join(firsts.select("node", "sketch"), "node").select("band", "node", "sketch")
-    edges = tested.repartition("band").sortWithinPartitions("band", "node").mapInArrow(_verify(threshold), "a long, b long")
-    roots = components(edges)
-    copies = sketches.join(same.where(F.col("n") > 1).select("s0", "s1", "rep"), ["s0", "s1"]).select("node", "rep")
-    every = copies.unionByName(roots.select("node", F.col("node").alias("rep"))).distinct()
-    return saved(
-        every.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        .select("node", F.coalesce("root", "rep").alias("root"))
-        .distinct()
+    leaders = banded.groupBy("band").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = saved(banded.join(leaders, "band").select("band", "n", "lead", "node"))
+    pairs = members.where("node <> lead").select("lead", "node").distinct()
+    one, two = firsts.select("node", "sketch"), firsts.select(F.col("node").alias("lead"), F.col("sketch").alias("lead_sketch"))
+    tested = pairs.join(one, "node").join(two, "lead")
+    stars = saved(tested.where(differing(F.col("sketch"), F.col("lead_sketch")) <= most).select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    roots = components(stars)
+    # a bucket of two has no pair left to test
+    placed = members.where("n > 2").join(roots, "node", "left").select("band", "n", "node", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
+    rest = saved(placed.join(mixed, "band", "left_semi"))
+    units = block_pairs(rest, hot).join(one, "node").select("band", "low", "high", "block", "node", "root", "sketch")
+    more = saved(
+        units.repartition("band", "low", "high")
+        .sortWithinPartitions("band", "low", "high", "root", "node")
+        .mapInArrow(_verify(most), "a long, b long, class_a long, class_b long")
     )
+    merged = components(more.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct())
+    roots = roots.unionByName(merged.select("node", F.col("node").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+    roots = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    copies = sketches.join(same.where("copies > 1").select("s0", "s1", "rep"), ["s0", "s1"]).select("node", "rep")
+    every = copies.unionByName(roots.select("node", F.col("node").alias("rep"))).distinct()
+    labels = saved(every.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("node", F.coalesce("root", "rep").alias("root")).distinct())
+    links = stars.unionByName(more.select("a", "b")).unionByName(copies.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")))
+    return labels, links.distinct()
 
 
-def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each document that stays: doc_id and the ids of its whole group, sorted.
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id and links of every row.
 
-    A document without near-duplicates is a group alone.
+    class_id is the doc_id of the group's row that stays; a document without
+    near-duplicates is a class alone.  links counts the verified links that tie the
+    row to others of its class: at least one where there are others.  Copies are
+    linked to the first of them, and similar texts by the links that were tested.
     """
-    rows, node = with_node(need(docs, "doc_id", "text"))
-    labels = group_labels(rows, node, threshold)
-    return (
-        rows.select("doc_id", F.col(node).alias("node"))
-        .join(labels, "node", "left")
-        .groupBy(F.coalesce("root", "node").alias("root"))
-        .agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_list("doc_id")).alias("member_ids"))
-        .select("doc_id", "member_ids")
-    )
+    rows, node, is_id = with_node(need(docs, "doc_id", "text"))
+    labels, links = group_labels(rows, node, threshold)
+    ids = rows.select("doc_id", F.col(node).alias("node"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    every = ids.join(labels, "node", "left").join(degree, "node", "left")
+    every = every.select("doc_id", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    if is_id:
+        return every.select("doc_id", F.col("root").cast(type_of(docs, "doc_id")).alias("class_id"), "links")
+    names = ids.select(F.col("doc_id").alias("class_id"), F.col("node").alias("root"))
+    return every.join(names, "root").select("doc_id", "class_id", "links")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without the near-duplicates of a row that stays."""
-    rows, node = with_node(docs)
-    labels = group_labels(rows, node, threshold)
+    rows, node, _ = with_node(docs)
+    labels, _ = group_labels(rows, node, threshold)
     gone = labels.where(F.col("node") != F.col("root")).select(F.col("node").alias(node))
-    if 8 * gone.count() <= BROADCAST_BYTES:
-        gone = F.broadcast(gone)  # else the texts are shuffled to meet the ids
+    # beyond that size texts are shuffled to meet the ids, in a hash join that sorts none
+    gone = F.broadcast(gone) if 8 * gone.count() <= BROADCAST_BYTES else gone.hint("shuffle_hash")
     return rows.join(gone, node, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

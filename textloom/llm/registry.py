@@ -32,7 +32,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.groups(documents(spark, sf_dir))
+    return near_dedup.classes(documents(spark, sf_dir))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
