@@ -39,11 +39,20 @@ def world():
     return items, docs
 
 
+def parts_of(t):
+    """Runs of PART_WORDS words; where under a quarter of one would be left, the last words."""
+    w = tokens(t)
+    out = [w[lo : lo + D.PART_WORDS] for lo in range(0, len(w), D.PART_WORDS)]
+    if len(out) > 1 and len(out[-1]) < D.PART_WORDS / 4:
+        out[-1] = w[-D.PART_WORDS :]
+    return out
+
+
 def frequencies(items):
-    df = Counter(w for _, t in items for w in set(tokens(t)))
-    hashed = {int(D._words(w)[0]): n for w, n in df.items()}
-    parts = [min(D.PART_WORDS, len(tokens(t)) - lo) for _, t in items for lo in range(0, len(tokens(t)), D.PART_WORDS)]
-    return hashed, len(parts), sum(parts) / len(parts)
+    """How many parts hold each word, how many parts there are, and their mean length."""
+    parts = [p for _, t in items for p in parts_of(t)]
+    df = Counter(w for p in parts for w in set(p))
+    return {int(D._words(w)[0]): n for w, n in df.items()}, len(parts), sum(map(len, parts)) / len(parts)
 
 
 def exhaustive(index, passage):
@@ -154,6 +163,33 @@ def test_real_documents(spark, documents, benchmark):
                 assert (d["doc_id"], item) in got
 
 
+def test_document_frequencies_are_of_parts(spark, world):
+    items = world[0] + [(61, " ".join(["word"] * 70 + ["other"] * 70))]
+    table = D._word_table(spark.createDataFrame(items, "item_id long, text string").repartition(3)).collect()
+    df, n, mean = frequencies(items)
+    assert {r["word"] & (1 << 64) - 1: r["n"] for r in table if r["kind"] == 0} == df
+    whole = {r["kind"]: r["n"] for r in table if r["kind"]}
+    assert whole[1] == n and whole[2] == pytest.approx(n * mean)
+
+
+def test_postings_in_chunks_give_the_same_leaks(spark, world, monkeypatch):
+    items, docs = world
+    index = next(D.indexes(spark.createDataFrame(items, "item_id long, text string")))
+    want = index.leaks(pa.array(docs))
+    monkeypatch.setattr(D, "POSTINGS", 7)
+    assert want and index.leaks(pa.array(docs)) == want
+
+
+def test_ids_of_any_type(spark, world):
+    items, docs = world
+    one = D.find_leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    two = D.find_leaks(
+        spark.createDataFrame([(f"d{k}", t) for k, t in enumerate(docs)], "doc_id string, text string"),
+        spark.createDataFrame([(f"i{k}", t) for k, t in items], "item_id string, text string"),
+    )
+    assert {(f"d{r[0]}", f"i{r[1]}") for r in one.collect()} == {(r[0], r[1]) for r in two.collect()}
+
+
 def test_split_item():
     assert D.split_item("What is it?\nA thing.") == ("What is it?", "A thing.")
     assert D.split_item("One. Two is here. Three") == ("One. Two is here. ", "Three")

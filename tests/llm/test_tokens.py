@@ -124,3 +124,9 @@ def test_memory_of_words_is_bounded():
         ids, bounds = small.encode_rows(pa.array(texts))
         assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [small.encode(t) if t else [] for t in texts]
         assert small.words.held <= 5 * 50 + len(ids)
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a1", "one two\nthree"), (None, "x"), ("b", None)], "doc_id string, text string")
+    assert {r["doc_id"] for r in token_binary.write_tokens(docs).collect()} == {"a1", "b", None}
+    assert {r["doc_id"] for r in token_counts.count_sections(docs).collect()} == {"a1", None}

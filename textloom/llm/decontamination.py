@@ -20,12 +20,15 @@ question, the rest its answer.  A document leaks an item if the passages found
 for it hold at least QUESTION of the question's word pairs and ANSWER of the
 answer's.
 
-The index is broadcast in shards of at most SHARD_BYTES of item text, one pass
-over the documents a shard, so no broadcast grows with the benchmark.
+Document frequencies and the mean length are of parts, over the whole benchmark.  The
+index is broadcast in shards of about SHARD_BYTES of item text, one pass over the
+documents a shard, so no broadcast grows with the benchmark; a shard looks up the
+frequencies of its own words alone.  Postings are expanded POSTINGS at a time.
 
 Defined results.  Null or empty texts have no passage; null or empty items are
 not indexed.  Texts are read whole in lower case.  Repeated rows give repeated
-results; equal items are found each.  Other columns are not read.
+results; equal items are found each.  Other columns are not read.  Ids may be of any
+type.  A part at the threshold is found.
 """
 
 from __future__ import annotations
@@ -37,8 +40,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from textloom.llm.common import need, tuned
+from textloom.llm.common import need, saved, tuned, type_of
 from textloom.llm.kit import lower, ngrams, pieces, words
 
 PART_WORDS = 64
@@ -46,6 +50,7 @@ BLOCK = 16
 THRESHOLD = 0.6
 QUESTION, ANSWER = 0.6, 0.5
 SHARD_BYTES = 8 << 20
+POSTINGS = 1 << 21
 K1, B = 1.2, 0.75
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
 
@@ -71,13 +76,21 @@ def _pairs(h: np.ndarray) -> set[int]:
     return set(ngrams(h, np.zeros(len(h), np.int64), 2)[0].tolist())
 
 
+def part_bounds(n: int) -> list[tuple[int, int]]:
+    """Parts of an item of n words; a short rest is the item's last PART_WORDS words."""
+    bounds = [(lo, min(n, lo + PART_WORDS)) for lo in range(0, n, PART_WORDS)]
+    if len(bounds) > 1 and n - bounds[-1][0] < PART_WORDS // 4:
+        bounds[-1] = (n - PART_WORDS, n)
+    return bounds
+
+
 class Index:
     """Inverted index of one shard of items."""
 
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[int, int], n_items: int, mean_words: float):
-        self.item: list[int] = []
-        self.question: dict[int, set[int]] = {}
-        self.answer: dict[int, set[int]] = {}
+    def __init__(self, items: list[tuple[object, str]], frequency: dict[int, int], all_parts: int, mean_words: float):
+        self.item: list = []
+        self.question: dict[object, set[int]] = {}
+        self.answer: dict[object, set[int]] = {}
         postings: dict[int, list[tuple[int, float]]] = {}
         for item, text in items:
             h = _words(text)
@@ -85,13 +98,11 @@ class Index:
                 continue
             q, a = (_words(x) for x in split_item(text))
             self.question[item], self.answer[item] = _pairs(q) if len(q) else set(), _pairs(a) if len(a) else set()
-            for lo in range(0, len(h), PART_WORDS):
-                part = h[lo : lo + PART_WORDS]
-                if lo and len(part) < PART_WORDS // 4:
-                    part = h[-PART_WORDS:]
+            for lo, hi in part_bounds(len(h)):
+                part = h[lo:hi]
                 t, tf = np.unique(part, return_counts=True)
                 df = np.array([frequency.get(int(x), 1) for x in t])
-                idf = np.log(1 + (n_items - df + 0.5) / (df + 0.5))
+                idf = np.log(1 + (all_parts - df + 0.5) / (df + 0.5))
                 impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(part) / mean_words))
                 impact /= impact.sum()
                 p = len(self.item)
@@ -219,18 +230,26 @@ class Index:
         pair = np.unique(number * np.int64(len(self.terms)) + tt)
         number, tt = pair // len(self.terms), pair % len(self.terms)
         n = self.bounds[tt + 1] - self.bounds[tt]
-        total = int(n.sum())
-        post = np.repeat(self.bounds[tt] - (np.cumsum(n) - n), n) + np.arange(total)
+        # whole passages at a time, of about POSTINGS postings
+        first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+        chunk = (np.cumsum(n) - n)[first] // POSTINGS
+        cuts = [*first[np.concatenate(([True], chunk[1:] != chunk[:-1]))].tolist(), len(number)]
+        hits = [self._reaching(number[a:b], tt[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:])]
+        hit = np.concatenate(hits)
+        return passages[hit] // width, passages[hit] % width * PART_WORDS
+
+    def _reaching(self, number: np.ndarray, term: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Passages of which some part can reach the threshold by these essential terms."""
+        post = np.repeat(self.bounds[term] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         cell = np.repeat(number, n) * np.int64(self.n_parts) + self.parts[post]
         order = np.argsort(cell, kind="stable")
         cell = cell[order]
         head = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
         got = np.add.reduceat(self.impacts[post][order], head)
         reach = got + self.common[cell[head] % self.n_parts] >= THRESHOLD - 1e-9
-        hit = np.unique(cell[head][reach] // self.n_parts)
-        return passages[hit] // width, passages[hit] % width * PART_WORDS
+        return np.unique(cell[head][reach] // self.n_parts)
 
-    def leaks(self, arr: pa.Array) -> list[tuple[int, int, float, float, float]]:
+    def leaks(self, arr: pa.Array) -> list[tuple[int, object, float, float, float]]:
         """(row, item, score, question overlap, answer overlap) of every verified leak."""
         out = []
         if not self.n_parts:
@@ -238,7 +257,7 @@ class Index:
         for lo, hi, part in pieces(arr):
             h, row = words(lower(part))
             first = np.searchsorted(row, np.arange(hi - lo + 1))
-            held: dict[tuple[int, int], tuple[float, set[int]]] = {}
+            held: dict[tuple[int, object], tuple[float, set[int]]] = {}
             for r, w in zip(*self.candidates(h, row, hi - lo)):
                 passage = h[first[r] + w : min(first[r] + w + 2 * PART_WORDS, first[r + 1])]
                 terms = np.unique(self.lookup(passage))
@@ -257,27 +276,31 @@ class Index:
         return out
 
 
-def _frequencies(items: DataFrame) -> tuple[dict[int, int], int, float]:
-    """Document frequencies, items and mean part length, over the whole benchmark."""
+def _word_table(items: DataFrame) -> DataFrame:
+    """word, n: how many parts hold each word; and rows of kind 1 and 2 with parts and words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, part in pieces(batch["text"]):
+            for lo, hi, part in pieces(batch["text"]):
                 h, row = words(lower(part))
-                key = np.unique(np.stack([row, h.view(np.int64)], 1), axis=0)
-                sizes = np.bincount(row)
-                sizes = sizes[sizes > 0]
-                parts = -(-sizes // PART_WORDS)
+                at = np.searchsorted(row, np.arange(hi - lo + 1))
+                parts = [np.unique(h[at[k] + x : at[k] + y]) for k in range(hi - lo) for x, y in part_bounds(int(at[k + 1] - at[k]))]
+                size = sum(y - x for k in range(hi - lo) for x, y in part_bounds(int(at[k + 1] - at[k])))
+                word, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.append(key[:, 1], [0, 0])), pa.array(np.append(np.ones(len(key), np.int64), [parts.sum(), sizes.sum()])), pa.array([0] * len(key) + [1, 2], pa.int32())],
+                    [pa.array(np.append(word.view(np.int64), [0, 0])), pa.array(np.append(n, [len(parts), size]).astype(np.int64)), pa.array([0] * len(word) + [1, 2], pa.int32())],
                     ["word", "n", "kind"],
                 )
 
-    rows = items.mapInArrow(count, "word long, n long, kind int").groupBy("kind", "word").agg(F.sum("n").alias("n")).collect()
-    frequency = {r["word"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in rows if r["kind"] == 0}
-    n_parts = sum(r["n"] for r in rows if r["kind"] == 1)
-    n_words = sum(r["n"] for r in rows if r["kind"] == 2)
-    return frequency, n_parts, n_words / max(1, n_parts)
+    return items.mapInArrow(count, "word long, n long, kind int").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+
+
+def _own_words(items: DataFrame) -> DataFrame:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(words(lower(batch["text"]))[0]).view(np.int64))], ["word"])
+
+    return items.mapInArrow(each, "word long").distinct()
 
 
 def indexes(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[Index]:
@@ -285,23 +308,29 @@ def indexes(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[In
     items = (
         need(benchmark, "item_id", "text")
         .where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-        .select(F.col("item_id").cast("long").alias("item_id"), "text")
+        .select("item_id", F.col("text").cast("string").alias("text"))
     )
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if not size:
         return
-    frequency, n, mean = _frequencies(items)
+    table = saved(_word_table(items))
+    whole = {r["kind"]: r["n"] for r in table.where("kind > 0").collect()}
+    frequency = table.where("kind = 0").select("word", "n")
     shards = -(-size // shard_bytes)
     for k in range(shards):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).orderBy("item_id", "text").collect()
-        yield Index([(r["item_id"], r["text"]) for r in mine], frequency, n, mean)
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
+        seen = frequency.join(_own_words(mine), "word", "left_semi") if shards > 1 else frequency
+        known = {r["word"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in seen.collect()}  # words of one shard
+        rows = mine.orderBy("item_id", "text").collect()
+        yield Index([(r["item_id"], r["text"]) for r in rows], known, whole[1], whole[2] / max(1, whole[1]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every leak."""
     spark = tuned(docs.sparkSession)
-    rows = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+    rows = need(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text"))
+    schema = f"doc_id {type_of(docs, 'doc_id')}, item_id {type_of(benchmark, 'item_id')}, score double, question_overlap double, answer_overlap double"
+    kind = to_arrow_type(benchmark.select("item_id").schema[0].dataType)
     out = spark.createDataFrame([], schema)
     for index in indexes(benchmark):
         shared = spark.sparkContext.broadcast(index)
@@ -312,7 +341,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if found:
                     row, item, score, q, a = zip(*found)
                     yield pa.RecordBatch.from_arrays(
-                        [batch["doc_id"].take(pa.array(row)), pa.array(item, pa.int64()), pa.array(score), pa.array(q), pa.array(a)],
+                        [batch["doc_id"].take(pa.array(row)), pa.array(item, kind), pa.array(score), pa.array(q), pa.array(a)],
                         ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
                     )
 

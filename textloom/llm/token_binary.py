@@ -14,6 +14,7 @@ by its equal.
 Defined results.  A null or empty text is a document of zero tokens with its
 place in the order.  Texts of any length are encoded whole.  Repeated rows are
 stored again.  An empty table gives an empty index.  Other columns aren't read.
+Ids may be of any type.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.common import filesystem, need, saved, shared_folder, tuned
+from textloom.llm.common import filesystem, need, qualified, saved, shared_folder, tuned, type_of
 from textloom.llm.kit import pieces, text_array
 from textloom.llm.tokenizer import DEFAULT_TOKENIZER, tokenizer
 
@@ -75,9 +76,9 @@ def write_tokens(docs: DataFrame, folder: str | None = None, path: str = DEFAULT
     and bases are added to it there.
     """
     spark = tuned(docs.sparkSession)
-    folder = folder or shared_folder(spark)
-    rows = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    local = saved(rows.mapInArrow(_writer(folder, path), "doc_id long, part int, local_start long, n_tokens long"))
+    folder = qualified(spark, folder) if folder else shared_folder(spark)
+    rows = need(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text"))
+    local = saved(rows.mapInArrow(_writer(folder, path), f"doc_id {type_of(docs, 'doc_id')}, part int, local_start long, n_tokens long"))
     totals = local.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))  # a row a partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(F.col("part").alias("p"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
@@ -88,10 +89,10 @@ def write_tokens(docs: DataFrame, folder: str | None = None, path: str = DEFAULT
 
 
 class TokenFile:
-    """Memory-mapped part in a local or mounted folder."""
+    """Memory-mapped part in a local or mounted folder, named by a path or file: URI."""
 
     def __init__(self, folder: str, part: int, dtype=np.uint16):
-        _, root = filesystem(folder)
+        root = filesystem(folder)[1] if folder.startswith("file:") else folder
         name = f"{root}/part-{part:06d}"
         self.offsets = np.memmap(f"{name}.idx", "<i8", "r")
         self.ids = np.memmap(f"{name}.bin", dtype, "r") if self.offsets[-1] else np.zeros(0, dtype)

@@ -16,7 +16,8 @@ tokens.
 
 Defined results.  A null or empty text has no section and gives no row.  A blank
 line is a section, often of zero tokens where a token spans several line feeds.
-Repeated rows give repeated rows.  Texts of any length are encoded whole.
+Repeated rows give repeated rows.  Texts of any length are encoded whole.  Ids may be
+of any type.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import need, tuned
+from textloom.llm.common import need, tuned, type_of
 from textloom.llm.kit import char_starts, flat, pieces
 from textloom.llm.tokenizer import DEFAULT_TOKENIZER, tokenizer
 
@@ -101,5 +102,5 @@ def count_sections(
                     ["doc_id", "section", "start_char", "end_char", "n_tokens"],
                 )
 
-    rows = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, section int, start_char long, end_char long, n_tokens long")
+    rows = need(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {type_of(docs, 'doc_id')}, section int, start_char long, end_char long, n_tokens long")
