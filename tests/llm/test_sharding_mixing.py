@@ -147,3 +147,29 @@ def test_query_returns_the_rows_of_written_shards(spark, sf, documents):
     files = out.inputFiles()
     assert len(files) == out.select("shard").distinct().count() and not set(files) & set(documents.inputFiles())
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in documents.collect())
+
+
+def test_shards_alike_in_fewer_partitions(spark, documents, monkeypatch):
+    key = ["shard", "position"]
+    want = sharding.shard(documents, bucket_bytes=30_000).toPandas().sort_values(key).doc_id.tolist()
+    monkeypatch.setattr(sharding, "PARTITIONS", 3)
+    out = sharding.shard(documents, bucket_bytes=30_000)
+    assert out.rdd.getNumPartitions() == 3
+    assert out.toPandas().sort_values(key).doc_id.tolist() == want
+
+
+def test_mix_alike_without_broadcast(spark, documents, odd, monkeypatch):
+    want = [collections.Counter(str(tuple(r)) for r in mixing.mix(d).collect()) for d in (documents, odd)]
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", -1)
+    assert [collections.Counter(str(tuple(r)) for r in mixing.mix(d).collect()) for d in (documents, odd)] == want
+
+
+def test_mix_sql_beyond_two_hundred_copies(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "IF(id < 2, 'ab', repeat('abc', 3000)) AS text", "'en' AS lang", "IF(id < 2, 'rare', 'large') AS source", "0L AS n_chars")
+    docs.write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    want = con.execute(mixing.MIX_SQL.format(docs=f"'{tmp_path}/d/*.parquet'")).df()
+    got = mixing.mix(docs).toPandas()
+    key = ["doc_id", "copy"]
+    assert (got.doc_id < 2).sum() > 1000
+    assert got[key].sort_values(key).to_numpy().tolist() == want[key].sort_values(key).to_numpy().tolist()

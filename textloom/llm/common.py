@@ -68,8 +68,3 @@ def fresh(df: DataFrame, name: str) -> str:
 def need(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; clashing extra columns never get in the way."""
     return df.select(*[F.col(f"`{n}`") for n in names])
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's bytes: file sizes for a plain scan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

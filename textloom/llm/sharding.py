@@ -3,7 +3,10 @@
 Pass one scatters the records uniformly into buckets that fit into a task's
 memory, by a seeded hash of their content.  Pass two shuffles each bucket by
 Fisher and Yates' exchanges, drawn from a generator seeded by seed and bucket,
-and hands the bucket on as one partition, which is written as one shard.
+and the bucket is written as one shard.  The scatter has at most PARTITIONS partitions:
+where there are more buckets, a partition holds several, which its sort, on disk if
+need be, sets apart, so that a task holds one bucket at a time and the driver tracks
+a bounded number of shuffle blocks.
 
 The order depends on seed, records and number of buckets alone: a bucket is
 sorted by its records' hashes before the exchanges, so a task that runs again,
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import fresh, tuned
 
 BUCKET_BYTES = 64 << 20
+PARTITIONS = 20_000
 SEED = 2024
 
 
@@ -50,16 +54,17 @@ def _bytes(docs: DataFrame) -> int:
 
 
 def shard(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """All rows and columns, with shard and position in it; a partition is a shard."""
+    """All rows and columns, with shard and position in it; a partition holds whole shards."""
     tuned(docs.sparkSession)
     n = max(1, -(-_bytes(docs) // bucket_bytes))
+    parts = min(n, PARTITIONS)
     shard_col, place = fresh(docs, "shard"), fresh(docs, "position")
     mark, second = fresh(docs, "order_hash"), fresh(docs, "order_hash_2")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     scattered = (
         docs.withColumns({mark: F.xxhash64(F.lit(seed), *columns), second: F.xxhash64(F.lit(seed + 1), *columns)})
         .withColumn(shard_col, F.pmod(F.col(mark), F.lit(n)).cast("int"))
-        .repartitionById(n, F.col(f"`{shard_col}`"))
+        .repartitionById(parts, F.floor(F.col(f"`{shard_col}`").cast("long") * parts / n).cast("int"))
         .sortWithinPartitions(shard_col, mark, second)
         .drop(mark, second)
     )
@@ -95,5 +100,5 @@ def shard(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -
 
 
 def write_shards(docs: DataFrame, path: str, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
-    """One Parquet file a shard, its rows in shuffled order."""
+    """Parquet files of whole shards, one a file up to PARTITIONS shards, rows in shuffled order."""
     shard(docs, seed, bucket_bytes).write.mode("overwrite").parquet(path)
