@@ -37,9 +37,9 @@ def documents(x: str) -> str:
 #: Words and neighbouring words of the documents, marks set apart, with counts.
 SPACED = rr("text", (r'([.,;:?!()"])', r" \1 "))
 COUNTS = rf"""
-spaced AS (SELECT {SPACED} AS text FROM documents),
-uni AS (SELECT w AS ngram, count(*) AS c FROM (SELECT unnest(regexp_split_to_array(text, '[ \n]+')) AS w FROM spaced) WHERE w <> '' GROUP BY w),
+spaced AS MATERIALIZED (SELECT {SPACED} AS text FROM documents),
+uni AS MATERIALIZED (SELECT w AS ngram, count(*) AS c FROM (SELECT unnest(regexp_split_to_array(text, '[ \n]+')) AS w FROM spaced) WHERE w <> '' GROUP BY w),
 line AS (SELECT list_filter(string_split(l, ' '), lambda w: w <> '') AS ws FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM spaced)),
-bi AS (SELECT ws[i] || ' ' || ws[i + 1] AS ngram, count(*) AS c FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM line WHERE len(ws) > 1) GROUP BY 1),
+bi AS MATERIALIZED (SELECT ws[i] || ' ' || ws[i + 1] AS ngram, count(*) AS c FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM line WHERE len(ws) > 1) GROUP BY 1),
 counts AS (SELECT * FROM uni UNION ALL SELECT * FROM bi)
 """

@@ -131,7 +131,7 @@ def printable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _UNI = "WITH " + sql.COUNTS
-_VOCAB = _UNI + f", v AS (SELECT ngram, c FROM uni WHERE c > 0 ORDER BY c DESC, ngram LIMIT {SIZE}), f AS (SELECT u.ngram, u.c, v.ngram IS NOT NULL AS iv FROM uni u LEFT JOIN v ON v.ngram = u.ngram)"
+_VOCAB = _UNI + f", v AS MATERIALIZED (SELECT ngram, c FROM uni WHERE c > 0 ORDER BY c DESC, ngram LIMIT {SIZE}), f AS MATERIALIZED (SELECT ngram, c, ngram IN (SELECT ngram FROM v) AS iv FROM uni)"
 _LEXICON = "lex AS (SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM benchmark) WHERE w <> '')"
 _DASH = sql.rr("ngram", ("-( |$)", r"\1"), ("(^| )-", r"\1"), ("-", " "))
 _APOSTROPHE = sql.rr("ngram", ("'( |$)", r"\1"), ("(^| )'", r"\1"), ("'", " "))
@@ -150,7 +150,7 @@ named AS (SELECT c, iv, unnest([CASE WHEN a THEN 'Acronyms' END, CASE WHEN o AND
 _RULES = """
 cut AS (SELECT ngram AS src, ngram[:3] || ' ' || ngram[4:] AS dst FROM uni WHERE length(ngram) > 6),
 shout AS (SELECT ngram AS src, upper(replace(ngram, 'ß', 'SS')) AS dst FROM uni WHERE length(ngram) <= 3 AND upper(replace(ngram, 'ß', 'SS')) <> ngram),
-rules AS (SELECT * FROM cut UNION ALL SELECT * FROM shout)
+rules AS MATERIALIZED (SELECT * FROM cut UNION ALL SELECT * FROM shout)
 """
 _PLAIN = "lower(" + sql.rr("ngram", ("^([EIei])-", r"\1."), ("[-'_]", ""), (r"([AOU])\.", r"\1")) + ")"
 _SWAPPED = "CASE WHEN regexp_matches({0}[:1], '[A-Z]') THEN lower({0}[:1]) ELSE upper({0}[:1]) END || {0}[2:]"
@@ -167,11 +167,9 @@ QUERIES = {
     "vocab_best_members": Query(
         _of(best_members),
         _UNI
-        + f""", p AS ({_PROJECTED}),
-r AS (SELECT *, row_number() OVER (PARTITION BY kind, projection ORDER BY c DESC, ngram) AS r FROM p),
-a AS (SELECT kind, projection, max(CASE WHEN r = 1 THEN ngram END) AS w1, max(CASE WHEN r = 1 THEN c END) AS c1,
-  max(CASE WHEN r = 2 THEN ngram END) AS w2, max(CASE WHEN r = 2 THEN c END) AS c2 FROM r WHERE r <= 2 GROUP BY 1, 2)
-SELECT ngram, CASE WHEN regexp_matches(ngram, '''(?:[dmst]|ll|ve)$') OR coalesce(c1 = c2 AND lower(w1) = lower(w2), false) THEN ngram ELSE w1 END AS best, p.kind
+        + f""", p AS MATERIALIZED ({_PROJECTED}),
+a AS (SELECT kind, projection, list({{'ngram': ngram, 'c': c}} ORDER BY c DESC, ngram) AS o FROM p GROUP BY 1, 2)
+SELECT ngram, CASE WHEN regexp_matches(ngram, '''(?:[dmst]|ll|ve)$') OR coalesce(o[1].c = o[2].c AND lower(o[1].ngram) = lower(o[2].ngram), false) THEN ngram ELSE o[1].ngram END AS best, p.kind
 FROM p JOIN a ON a.kind = p.kind AND a.projection = p.projection""",
     ),
     "vocab_potentials": Query(
@@ -208,12 +206,22 @@ SELECT round(e, 6) AS entropy, round(i, 6) AS iv_entropy, round(i / e, 6) AS rat
     ),
     "confusability": Query(
         _of(lambda c: vocabulary.confusability(c.select("ngram"))),
-        _UNI
-        + f""", k AS (SELECT ngram, {_PLAIN} AS w FROM uni), n AS (SELECT w, count(*) AS n FROM k GROUP BY w),
-cut AS (SELECT w, w[:i] AS a, w[i + 1:] AS b FROM (SELECT w, unnest(range(1, length(w))) AS i FROM n WHERE length(w) > 1)),
-ways AS (SELECT cut.w, sum(a.n * b.n) AS ways FROM cut JOIN n a ON a.w = cut.a JOIN n b ON b.w = cut.b
-  WHERE regexp_matches(cut.a, '[aeiou.]') AND regexp_matches(cut.b, '[aeiou.]') GROUP BY cut.w)
-SELECT k.ngram, CAST(n.n + coalesce(ways.ways, 0) AS BIGINT) AS variants FROM k JOIN n ON n.w = k.w LEFT JOIN ways ON ways.w = k.w""",
+        _UNI.replace("WITH", "WITH RECURSIVE", 1)
+        + f""", k AS MATERIALIZED (SELECT ngram, {_PLAIN} AS w FROM uni), n AS MATERIALIZED (SELECT w, count(*) AS n FROM k GROUP BY w),
+cut AS MATERIALIZED (SELECT x.*, EXISTS (FROM n WHERE n.w = x.a) AS known FROM (SELECT w, w[:i] AS a, w[i + 1:] AS b FROM (SELECT w, unnest(range(1, length(w))) AS i FROM n WHERE length(w) > 1)) x
+  WHERE regexp_matches(a, '[aeiou.]') AND regexp_matches(b, '[aeiou.]') AND EXISTS (FROM n WHERE n.w = x.b)),
+pq AS (SELECT a, a[:i] AS p, a[i + 1:] AS q FROM (SELECT a, unnest(range(1, length(a))) AS i FROM (SELECT DISTINCT a FROM cut WHERE NOT known AND length(a) BETWEEN 2 AND 9))
+  WHERE regexp_matches(a[:i], '[aeiouy.]') AND regexp_matches(a[i + 1:], '[aeiouy.]')),
+o AS (SELECT a, list_sort([[len_p, p, np], [len_q, q, nq]]) AS o FROM (SELECT a, lpad(CAST(length(p) AS VARCHAR), 3, '0') AS len_p, p, CAST(x.n AS VARCHAR) AS np,
+  lpad(CAST(length(q) AS VARCHAR), 3, '0') AS len_q, q, CAST(y.n AS VARCHAR) AS nq FROM pq JOIN n x ON x.w = p JOIN n y ON y.w = q)),
+glued AS (SELECT a, m[1][2] AS x, m[1] = m[2] AS twice, CASE WHEN m[1] = m[2] THEN 1 ELSE CAST(m[2][3] AS BIGINT) END AS k FROM (SELECT a, min(o) AS m FROM o GROUP BY a)),
+todo AS MATERIALIZED (SELECT w, a AS x, CAST(1 AS BIGINT) AS k, false AS twice, b AS y FROM cut WHERE known
+  UNION ALL SELECT w, x, k, twice, b FROM cut JOIN glued ON glued.a = cut.a WHERE NOT known),
+level(w, ways) USING KEY (w) AS (SELECT w, n FROM n UNION
+  SELECT s.w, s.ways FROM (SELECT t.w, CAST(any_value(n.n) + sum(t.k * x.ways * CASE WHEN t.twice THEN x.ways ELSE 1 END * y.ways) AS BIGINT) AS ways
+    FROM todo t JOIN recurring.level x ON x.w = t.x JOIN recurring.level y ON y.w = t.y JOIN n ON n.w = t.w GROUP BY t.w) s
+  JOIN recurring.level r ON r.w = s.w WHERE r.ways <> s.ways)
+SELECT k.ngram, level.ways AS variants FROM k JOIN level ON level.w = k.w""",
     ),
     "rules_compose": Query(
         _of(compose),
@@ -225,7 +233,7 @@ LEFT JOIN (SELECT src AS s, dst FROM shout) a ON a.s = x.a LEFT JOIN (SELECT src
     ),
     "rules_without_conflicts": Query(
         _of(without_conflicts),
-        _UNI + ", " + _RULES + "SELECT src, dst FROM rules WHERE src NOT IN (SELECT unnest(string_split(dst, ' ')) FROM rules) AND src NOT IN (SELECT dst FROM rules)",
+        _UNI + ", " + _RULES + ", made AS MATERIALIZED (SELECT unnest(string_split(dst, ' ')) AS w FROM rules UNION SELECT dst FROM rules) SELECT src, dst FROM rules ANTI JOIN made ON made.w = rules.src",
     ),
     "rules_move_counts": Query(
         _of(move_counts),
