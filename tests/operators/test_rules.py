@@ -45,7 +45,7 @@ def test_mixed_look_behinds_are_split():
 def test_token_join_equals_engine(spark):
     parsed = rules.parse(["colour => color", "grey => gray"])
     docs = spark.createDataFrame([(1, "the colour  grey"), (2, "colour's grey' x"), (3, "none"), (4, "")], "doc_id long, text string")
-    joined = {r["doc_id"]: r["text"] for r in rules.rewrite_tokens(docs, "doc_id", "text", rules.rules_frame(spark, parsed)).collect()}
+    joined = {r["doc_id"]: r["text"] for r in rules.rewrite_tokens(docs, "text", rules.rules_frame(spark, parsed)).collect()}
     engine = rules.RuleSet(parsed)
     assert joined == {r["doc_id"]: engine.apply(r["text"] + " ")[:-1] for r in docs.collect()}
     applied = {r["doc_id"]: r["text"] for r in rules.apply_rules(docs, "text", engine).collect()}
@@ -95,3 +95,47 @@ def test_nulls_stay_null(spark):
 @pytest.mark.parametrize("word,readable", [("NATO", True), ("BBC", False), ("N.A.T.O.", True), ("UNICEF", True), ("UNESCO", False), ("XYZZY", False), ("AB", False), ("LONGERWORD", False)])
 def test_readable_acronyms(word, readable):
     assert specific.pronounceable(word) is readable
+
+
+@pytest.mark.parametrize("limit", [rules.BROADCAST_BYTES, -1])
+def test_rewritten_tokens_keep_their_rows(spark, monkeypatch, limit):
+    """Repeated keys, null and empty texts, repeated tokens and clashing columns."""
+    monkeypatch.setattr(rules, "BROADCAST_BYTES", limit)
+    table = rules.rules_frame(spark, rules.parse(["the => THE", "the's => THEIRS", "dog => cat", "cat => dog", "a b => c", "x.* => y"]))
+    rows = [(1, "the cat", 0), (1, "a dog", 1), (2, None, 2), (3, "", 3), (1, "the cat", 4), (4, "the's  dog's the' cat'S the the", 5)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, row_number int")
+    got = {r["row_number"]: r["text"] for r in rules.rewrite_tokens(docs, "text", table).collect()}
+    assert got == {0: "THE dog", 1: "a cat", 2: None, 3: "", 4: "THE dog", 5: "THEIRS  cat's THE' dog'S THE THE"}
+    assert rules.rewrite_tokens(docs.limit(0), "text", table).count() == 0
+
+
+def test_what_stands_before_the_mark_stays():
+    r = rules.RuleSet(rules.parse([r"[a-zA-Z]\K\+ =>  plus", r"C\K\+\+ => plus plus"]))
+    assert r.apply("a+ and b+") == "a plus and b plus"
+    assert rules.RuleSet(rules.parse([r"C\K\+\+ => plus plus"])).apply("in C++ and D++") == "in Cplus plus and D++"
+    assert r.apply_whole("a+") == "a plus"
+
+
+def test_a_rule_that_cannot_be_translated_names_its_line():
+    with pytest.raises(ValueError, match="line 3"):
+        rules.parse(["a => b", "# comment", "(unclosed => c"])
+    with pytest.raises(ValueError, match="line 1"):
+        rules.parse([r"(a)\K\1 => c"])
+
+
+def test_ten_thousand_rules_from_a_file(spark, tmp_path):
+    """A file of the size of large rule sets, literal and regular rules mixed, against a plain loop."""
+    from textloom.sources import resources
+
+    lines = ["# rules", ""]
+    lines += [f"word{k} => said{k}" for k in range(8000)]
+    lines += [f"two words{k} => joined{k}" for k in range(1500)]
+    lines += [f"pre{k}(?:x|y) => post{k}" for k in range(500)]
+    (tmp_path / "large.rules").write_text("\n".join(lines))
+    found = resources.read_rules(spark, str(tmp_path / "large.rules"))
+    assert len(found) == 10_000
+    texts = [f"word{k} and two words{k % 1500} or pre{k % 500}x word{k}'s end" for k in range(0, 8000, 400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["text"] for r in rules.apply_rules(docs, "text", rules.RuleSet(found)).collect()}
+    for n, k in enumerate(range(0, 8000, 400)):
+        assert got[n] == f"said{k} and joined{k % 1500} or post{k % 500} said{k}'s end"

@@ -114,3 +114,58 @@ def test_spread_only_where_files_are_few(spark, tmp_path, monkeypatch):
     assert session.spread(scan).count() == 1000
     monkeypatch.setattr(session, "ROW_GROUP_BYTES", 1)
     assert session.spread(scan) is scan  # large
+
+
+FRENCH = {
+    "L'équipe d'analyse de l'annexe travaille.": "l' équipe d' analyse de l' annexe travaille .",
+    "Qu'elle vienne, c'est l'heure : j'ai d'autres soucis aujourd'hui.": "qu' elle vienne , c' est l' heure : j' ai d' autres soucis aujourd'hui .",
+    "Au XXIe siècle, il y a dix ans.": "Au vingt et unième siècle , il y a dix ans .",
+    "Le M.P.E.G.4 et l'Airbus A330 volent.": "le M.P.E.G.4 et l' Airbus A.330 volent .",
+    "Louis XIV et le XVIIIe siècle (fin).": "Louis quatorzième et le dix-huitième siècle fin .",
+    "à la page b de l'annexe A.": "à la page B. de l' annexe A.",
+    "le 3e homme et la 2de fois": "le troisième homme et la seconde fois",
+}
+
+
+def test_french_sentences(spark):
+    from textloom.plans import normalise
+
+    docs = spark.createDataFrame(list(FRENCH.items()), "raw string, want string").selectExpr("raw AS text", "want")
+    for r in normalise.generic(docs, lang="fr").collect():
+        assert r["text"] == r["want"]
+
+
+def test_french_presets(spark):
+    from textloom.plans import normalise
+
+    docs = spark.createDataFrame([("Le M.P.E.G.4 d'aujourd'hui, l'I.R.I.S.A. et le XXIe siècle.",)], "text string")
+    asr = normalise.normalised(docs, "asr", lang="fr").first()["text"]
+    assert asr == "LE M. PEG QUATRE D' AUJOURD'HUI L' IRISA ET LE VINGT ET UNIÈME SIÈCLE"
+    said = normalise.speech_text(docs, lang="fr").first()["text"]
+    assert "d' aujourd'hui" in said and "D." not in said and "vingt et unième siècle" in said
+    grey = spark.createDataFrame([("le program color",)], "text string")
+    assert normalise.normalised(grey, ["SPELLING_BRITISH"], lang="fr").first()["text"] == "le program color"
+
+
+def test_example_pairs(spark):
+    """End-to-end wording of two paragraphs, up to named rule data that isn't built in."""
+    from textloom.plans import normalise
+
+    raw = (
+        "Ces activités concernent en particulier la compression d'images et de vidéos, tant en recherche fondamentale qu'une activité en standardisation.",
+        "L'équipe a fêté en octobre 2005 (le 21/10/05), à 08h40, ses 30 ans et comprend environ 530 personnes, dont environ 400 chercheurs, dont 180 doctorants et 90 ingénieurs.",
+    )
+    want = (
+        "ces activités concernent en particulier la compression d' images et de vidéos , tant en recherche fondamentale qu' une activité en standardisation .",
+        "l' équipe a fêté en <DATE> octobre deux mille cinq </DATE> le <DATE> vingt et un octobre deux mille cinq </DATE> , à <TIME> neuf heures moins vingt </TIME> , ses trente ans et comprend environ cinq cent trente personnes , dont environ quatre cents chercheurs , dont cent quatre-vingts doctorants et quatre-vingt-dix ingénieurs .",
+    )
+    docs = spark.createDataFrame(list(enumerate(raw)), "id int, text string")
+    got = {r["id"]: r["text"] for r in normalise.generic(docs, lang="fr").collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_halves_of_the_day_with_seconds():
+    from textloom.functions import english, french
+
+    assert "in the afternoon" in english.time("3", "45", "20", "pm") and "in the morning" in english.time("3", "45", "20", "am")
+    assert "du matin" in french.time("3", "45", "20", "am")

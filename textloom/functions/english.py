@@ -208,9 +208,9 @@ def time(hour: str, minute: str = "", second: str = "", half: str = "") -> str:
         said = f"quarter to {following}"
     else:
         said = f"{num.cardinal(str(60 - m))} to {following}" if m > 30 else f"{num.cardinal(str(m))} past {name}"
-    if part == "P" and not s:
+    if part == "P":
         said += " at night" if h > 8 else " in the evening" if h > 5 else " in the afternoon"
-    elif part == "A" and not s:
+    elif part == "A":
         said += " in the morning"
     return tag("TIME", said)
 
@@ -336,8 +336,9 @@ def units(
     degree: str = "degree",
     power: dict[str, str] = _POWER,
     power_after: bool = False,
+    ordinals: str = "",
 ) -> str:
-    """``10 m/s`` -> ``10 meters per second``, tagged."""
+    """``10 m/s`` -> ``10 meters per second``, tagged; letters of ``ordinals`` after a number stay."""
     by_symbol = {u.symbol: u for u in table}
     symbols = alternation(u.symbol for u in table)
     sure = alternation(u.symbol for u in table if u.reliable)
@@ -376,7 +377,7 @@ def units(
         lambda m: f"{m[1]} {name(m[1], m[3], m[2] or m[4])}",
         text,
     )
-    text = sub(rf"\b(\d+)([{LO}]){END}", lambda m: m[1] + m[2].upper(), text)
+    text = sub(rf"\b(\d+)(?![{ordinals or ' '}])([{LO}]){END}", lambda m: m[1] + m[2].upper(), text)
     text = sub(rf"\b(\d+)([{LO}]{{4,}}|[A-Z][{LO}]{{3,}})", r"\1 \2", text)
     text = trim_blanks(text)
     words = alternation([n for u in table for n in (u.singular, u.plural)] + ["fluid ounce", "fluid ounces"])
@@ -516,8 +517,14 @@ def numbers(text: str, lexicon: Lexicon) -> str:
     return trim_blanks(text)
 
 
-def end(text: str, spell=num.cardinal, and_word: str = "and", plus: str = "plus", slash: str = "slash", dot: str = "dot") -> str:
-    """Leftovers: stray signs, dots, hyphens, digits and single letters."""
+def end(text: str, spell=num.cardinal, and_word: str = "and", plus: str = "plus", slash: str = "slash", dot: str = "dot", elision: bool = False) -> str:
+    """Leftovers: stray signs, dots, hyphens, digits and single letters.
+
+    Where words are elided, single letters before an apostrophe stay as they are, the
+    word ``y`` too, and parentheses go.
+    """
+    edge = "(?= |\n|\\Z|'[sS])" if elision else END
+    single = "b-xz" if elision else "b-z"
     text = sub(rf"([{LO}]) \+ (?=[{UP}])", rf"\1 {and_word} ", text)
     text = sub(rf"([{UP}]) \+ ?", rf"\1 {plus} ", text).replace("+", " ")
     text = sub(r"^%", "", text).replace("&amp", " & ")
@@ -529,6 +536,7 @@ def end(text: str, spell=num.cardinal, and_word: str = "and", plus: str = "plus"
     text = sub(r"(?:(?<= )|^)\.(?=[^. \n])", "", text)
     text = sub(rf"([a-z]{{2}})\.{END}", r"\1", text)
     text = text.replace(";", ",")
+    text = sub(r"[()]", " ", text) if elision else text
     text = sub(r"[^\w'\"+\-!,:¡¿?.\n&<>/ ()]|(?<!<)/", " ", text)
     text = text.replace(" & ", f" {and_word} ")
     text = sub(r" &+", " ", text)
@@ -547,11 +555,11 @@ def end(text: str, spell=num.cardinal, and_word: str = "and", plus: str = "plus"
     text = sub(rf"{BEGIN}([^\W_]+)[Tt][Vv]{END}", r"\1T.V.", text) if compiled(rf"{BEGIN}[^\W_]+TV{END}").search(text) else text
     text = sub(rf"{BEGIN}(\d+(?:[.,]\d+)*){END}", lambda m: spell(m[1]) or m[1], text)
     text = sub(r"(?<!\.)\.\.(?!\.)", ".", text)
-    text = sub(rf"{BEGIN}([b-z]){END}", lambda m: m[1].upper() + ".", text)
+    text = sub(rf"{BEGIN}([{single}]){edge}", lambda m: m[1].upper() + ".", text)
     text = sub(rf"{BEGIN}([a-z]\.){END}", lambda m: m[1].upper(), text)
-    text = sub(rf"(?:(?<=[ -])|^)([B-HJ-Z]){END}", r"\1.", text)
+    text = sub(rf"(?:(?<=[ -])|^)([B-HJ-Z]){edge}", r"\1.", text)
     text = sub(rf"{BEGIN}(\d+)([a-z]+){END}", lambda m: m[1] + "".join(c.upper() + "." for c in m[2]), text)
-    text = sub(rf"{BEGIN}([A-Z])\.?'(?= |\n|\Z)", r"\1.", text)
+    text = text if elision else sub(rf"{BEGIN}([A-Z])\.?'(?= |\n|\Z)", r"\1.", text)
     text = sub(r" - ", " ", text)
     text = sub(r" -$|^- ", "", text)
     return trim_blanks(text)

@@ -90,9 +90,9 @@ def time(hour: str, minute: str = "", second: str = "", half: str = "") -> str:
         said = following + " moins le quart"
     else:
         said = f"{following} moins {num.cardinal(str(60 - m))}" if m > 30 else f"{name} {num.cardinal(str(m))}"
-    if part == "P" and not s:
+    if part == "P":
         said += " du soir" if h > 6 else " de l'après-midi"
-    elif part == "A" and not s:
+    elif part == "A":
         said += " du matin"
     return tag("TIME", said)
 
@@ -156,7 +156,7 @@ _POWER = {"2": "carrés", "²": "carrés", "3": "cubes", "³": "cubes"}
 
 
 def units(text: str) -> str:
-    text = english.units(text, FRENCH_UNITS, _SPELLED, "par", "degré", _POWER, True)
+    text = english.units(text, FRENCH_UNITS, _SPELLED, "par", "degré", _POWER, True, "eè")
     return text
 
 
@@ -260,4 +260,5 @@ def numbers(text: str, lexicon: Lexicon) -> str:
 
 
 def end(text: str) -> str:
-    return english.end(text, num.cardinal, "et", "plus", "slash", "point")
+    """As in English, but elided words (``l'``, ``d'``, ``qu'``) stay."""
+    return english.end(text, num.cardinal, "et", "plus", "slash", "point", elision=True)

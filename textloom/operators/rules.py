@@ -1,7 +1,7 @@
 """Rewrite rules: ordered ``pattern => rewrite`` lines applied at token edges.
 
 Rules without regular-expression marks and blanks are literal tokens; they can
-run as a join in the JVM (``rewrite_tokens``).  The whole engine (``RuleSet``)
+run as one look-up a token (``rewrite_tokens``).  The whole engine (``RuleSet``)
 applies every kind in file order within one Arrow function; for each text only
 the rules whose first token occurs in it are tried.
 """
@@ -13,11 +13,13 @@ import heapq
 import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.arrow import text_function
 from textloom.functions.patterns import BEGIN, END, compiled, sub
+from textloom.session import checkpointed
 
 _MARKS = re.compile(r"[\\^$.|?*+()\[\]{}]")
 _POSIX = {"[[:alpha:]]": r"[^\W\d_]", "[[:alnum:]]": r"[^\W_]", "[[:digit:]]": r"\d", "[[:space:]]": r"\s"}
@@ -40,7 +42,8 @@ class Rule:
 
 
 def translate(pattern: str) -> str:
-    """A Perl pattern in Python's dialect: POSIX classes, and look-behinds of mixed length split up."""
+    """A Perl pattern in Python's dialect: POSIX classes, look-behinds of mixed length split up, and what
+    stands before ``\\K``, which stays, in the group ``kept``."""
     for perl, ours in _POSIX.items():
         pattern = pattern.replace(perl, ours)
 
@@ -50,13 +53,20 @@ def translate(pattern: str) -> str:
             return "(?:" + "|".join(f"(?<={o})" for o in options) + ")"
         return "".join(f"(?<!{o})" for o in options)
 
-    return re.sub(r"\(\?<([=!])([^()]*\|[^()]*)\)", behind, pattern)
+    pattern = re.sub(r"\(\?<([=!])([^()]*\|[^()]*)\)", behind, pattern)
+    kept, mark, rest = pattern.partition(r"\K")
+    if mark and re.search(r"\\[1-9]|\\K", kept + rest):
+        raise re.error("\\K beside a back-reference or another \\K")
+    return f"(?P<kept>{kept}){rest}" if mark else pattern
 
 
 def parse(lines: Iterable[str], prepare: Callable[[str], str] | None = None, any_case: bool = False) -> list[Rule]:
-    """Rules of a file: comments, empty sides and no-ops are skipped, the first of equal patterns wins."""
+    """Rules of a file: comments, empty sides and no-ops are skipped, the first of equal patterns wins.
+
+    A pattern that can't be translated is an error that names its line.
+    """
     seen: dict[str, str] = {}
-    for line in lines:
+    for number, line in enumerate(lines, 1):
         line = (prepare(line) if prepare else line).rstrip("\r\n")
         if not line or line.lstrip(" ").startswith("#"):
             continue
@@ -67,6 +77,11 @@ def parse(lines: Iterable[str], prepare: Callable[[str], str] | None = None, any
         if any_case:
             forms += [(m[1][:1].upper() + m[1][1:], m[2][:1].upper() + m[2][1:]), (m[1].upper(), m[2].upper())]
         for pattern, rewrite in forms:
+            if pattern not in seen and _MARKS.search(pattern):
+                try:
+                    re.compile(translate(pattern))
+                except re.error as error:
+                    raise ValueError(f"rule in line {number}, {pattern}: {error}") from error
             seen.setdefault(pattern, rewrite)
     return [Rule(k, p, r) for k, (p, r) in enumerate(seen.items())]
 
@@ -111,7 +126,7 @@ class RuleSet:
                 continue
             tried.add(k)
             rewrite = self.rules[k].rewrite
-            after = sub(self._pattern(k), lambda m, r=rewrite: r, text)
+            after = sub(self._pattern(k), lambda m, r=rewrite: (m.groupdict().get("kept") or "") + r, text)
             if after != text:
                 text = after
                 for new in self._found(text) - tried:
@@ -122,8 +137,10 @@ class RuleSet:
     def apply_whole(self, text: str) -> str:
         """Rules in order, each on the whole text or not at all."""
         for k, rule in enumerate(self.rules):
-            if text == rule.pattern if rule.literal else compiled(translate(rule.pattern)).fullmatch(text):
-                text = rule.rewrite
+            if rule.literal:
+                text = rule.rewrite if text == rule.pattern else text
+            elif m := compiled(translate(rule.pattern)).fullmatch(text):
+                text = (m.groupdict().get("kept") or "") + rule.rewrite
         return text
 
 
@@ -142,30 +159,61 @@ def rules_frame(spark, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame([(r.place, r.pattern, r.rewrite, r.kind) for r in rules], "place int, pattern string, rewrite string, kind string")
 
 
-def tokens_of(text: Column) -> Column:
-    return F.split(text, " ", -1)
+#: Literal rules are broadcast up to this many bytes of patterns and rewrites.
+BROADCAST_BYTES = 32 << 20
+_BARE = re.compile("^(.*?)('[sS]?)$", re.S)
 
 
-def rewrite_tokens(df: DataFrame, key: str, column: str, rules: DataFrame) -> DataFrame:
-    """Literal one-token rules as a join: key and the rewritten column.
+def rewrite_tokens(df: DataFrame, column: str, rules: DataFrame) -> DataFrame:
+    """The column rewritten by literal one-token rules, one look-up a token.
 
-    Texts are exploded to tokens, which join the rules, and are put together in
-    order.  Spark broadcasts the rules if they are small, and shuffles by token
-    otherwise.  A genitive ending stays behind the rewritten token.
+    Rules of up to BROADCAST_BYTES are a broadcast dictionary in one Arrow function: no
+    row is shuffled, and a text is never taken apart into rows.  Beyond, numbered rows
+    are written, their distinct tokens meet the rules by a join, and tokens with a rule
+    alone come back to their rows.  A genitive ending stays behind the rewritten token.
+    Of equal patterns the first by place, else by rewrite, wins.  A null text stays null;
+    equal rows stay rows of their own.
     """
-    table = rules.where("kind = 'token'").select(F.col("pattern").alias("token"), "rewrite")
-    words = df.select(key, F.posexplode(tokens_of(F.col(column))).alias("place", "word"))
-    bare = F.regexp_replace("word", r"'[sS]?$", "")
-    full = words.join(table, words["word"] == table["token"], "left").drop("token")
-    short = table.select(F.col("token").alias("stem"), F.col("rewrite").alias("stem_rewrite"))
-    clitic = F.regexp_extract("word", r"('[sS]?)$", 1)
-    both = full.join(short, (bare == F.col("stem")) & (clitic != ""), "left")
-    said = F.coalesce("rewrite", F.concat("stem_rewrite", clitic), "word")
-    return (
-        both.groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("place", said.alias("w")))).alias("all"))
-        .select(key, F.array_join(F.transform("all", lambda x: x["w"]), " ").alias(column))
-    )
+    first = F.struct("place", "rewrite") if "place" in rules.columns else F.struct(F.col("rewrite"))
+    table = rules.where("kind = 'token'").groupBy("pattern").agg(F.min(first)["rewrite"].alias("rewrite"))
+    size = table.agg(F.sum(F.octet_length("pattern") + F.octet_length("rewrite"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        shared = df.sparkSession.sparkContext.broadcast({r["pattern"]: r["rewrite"] for r in table.collect()})
+        return df.withColumn(column, text_function(lambda t: _looked_up(t, shared.value))(F.col(column)))
+    return _rewrite_by_join(df, column, table)
+
+
+def _looked_up(text: str, table: dict[str, str]) -> str:
+    get = table.get
+    out = []
+    for w in text.split(" "):
+        new = get(w)
+        if new is None and "'" in w and (m := _BARE.match(w)) and m[1] in table:
+            new = table[m[1]] + m[2]
+        out.append(w if new is None else new)
+    return " ".join(out)
+
+
+def _rewrite_by_join(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
+    """As ``rewrite_tokens`` with rules of any size: texts stay rows, with the rewrites of their own tokens."""
+    row = "row_number"
+    while row in df.columns:
+        row += "_"
+    rows = checkpointed(df.withColumn(row, F.monotonically_increasing_id()))
+    tokens = F.array_distinct(F.split(F.col(column), " ", -1))
+    words = rows.select(row, F.explode(tokens).alias("word"))
+    forms = words.select("word").distinct()
+    stem, clitic = F.regexp_extract("word", "^(.*?)('[sS]?)$", 1), F.regexp_extract("word", "^(.*?)('[sS]?)$", 2)
+    whole = forms.join(table.select(F.col("pattern").alias("word"), "rewrite"), "word")
+    bare = forms.where(clitic != "").select("word", stem.alias("pattern"), clitic.alias("clitic")).join(table, "pattern").select("word", F.concat("rewrite", "clitic").alias("rewrite"))
+    known = whole.unionByName(bare.join(whole.select("word"), "word", "left_anti"))
+    mine = words.join(known, "word").groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("word", "rewrite"))).alias("known"))
+
+    @F.arrow_udf("string")
+    def look_up(texts: pa.Array, maps: pa.Array) -> pa.Array:
+        return pa.array([t if t is None or not m else " ".join(dict(m).get(w, w) for w in t.split(" ")) for t, m in zip(texts.to_pylist(), maps.to_pylist())], pa.string())
+
+    return rows.join(mine, row, "left").withColumn(column, look_up(F.col(column), F.col("known"))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def rewrite_counts(counts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -213,7 +261,7 @@ vs\.? => versus
 """
 ABBREVIATION_RULES_FR = r"""
 etc\.? => et caetera
-M\.(?= [A-Z]) => Monsieur
+M\.(?= [A-Z][^. ]) => Monsieur
 Mme => Madame
 Mlle => Mademoiselle
 Pr\.? => Professeur

@@ -1,18 +1,19 @@
 """Options of specific normalisation, applied in the order of a configuration.
 
-Options that are expressions run in the JVM; neighbouring ones that need Python
-share one Arrow function.
+Options that are expressions run in the JVM, those that need Python in an Arrow
+function each.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions import numbers_en
+from textloom.functions import numbers_en, numbers_fr
 from textloom.functions.arrow import text_function
 from textloom.functions.patterns import CAPITAL_OR_DIGIT, TAGS, alternation, compiled, fixpoint, sub, trim_blanks
 from textloom.operators import columns, rules
@@ -65,23 +66,41 @@ def pronounceable(word: str) -> bool:
     return 3 <= len(bare) <= 6 and bool(_READABLE.fullmatch(bare))
 
 
-def explode_acronym(word: str) -> str:
+@dataclasses.dataclass(frozen=True)
+class Spoken:
+    """Words of a language in which signs and digits of acronyms are said."""
+
+    say: Callable[[str], str]
+    both: str
+    zero: str
+    point: str
+    times: tuple[str, str, str]  # of four, three and two equal digits
+
+
+SPOKEN = {
+    "en": Spoken(numbers_en.cardinal, "AND", "zero", "point", ("four", "triple", "double")),
+    "fr": Spoken(numbers_fr.cardinal, "ET", "zéro", "point", ("quatre", "trois", "deux")),
+}
+
+
+def explode_acronym(word: str, lang: str = "en") -> str:
     """``P.C.A.`` -> ``P. C. A.``; equal digits as double, triple or four, others in words."""
-    say = numbers_en.cardinal
-    x = word.replace("&", " AND ")
-    for n, name in ((4, "four"), (3, "triple"), (2, "double")):
+    said = SPOKEN[lang]
+    say, both = said.say, said.both
+    x = word.replace("&", f" {both} ")
+    for n, name in zip((4, 3, 2), said.times):
         x = sub(rf"(\d)\1{{{n - 1}}}", lambda m, name=name: f" {name} {m[1]} ", x)
-    x = sub(r"(\d)\.(?=\d)", r"\1 point ", x)
-    x = fixpoint(r"(\d+)0(\d)", lambda m: f"{m[1]} zero {say(m[2])} ", x)
+    x = sub(r"(\d)\.(?=\d)", rf"\1 {said.point} ", x)
+    x = fixpoint(r"(\d+)0(\d)", lambda m: f"{m[1]} {said.zero} {say(m[2])} ", x)
     x = fixpoint(r"(\d+)(\d{2})", lambda m: f"{m[1]} {say(m[2])} ", x)
-    x = sub(r"0(\d)", lambda m: f" zero {say(m[1])} ", x)
+    x = sub(r"0(\d)", lambda m: f" {said.zero} {say(m[1])} ", x)
     x = sub(r"\d\d?", lambda m: f" {say(m[0])} ", x)
-    x = sub(r"ty s$", "ties", x)
+    x = sub(r"ty s$", "ties", x) if lang == "en" else x
     x = sub(r"([A-Za-z]\.)(?! )", r"\1 ", x)
-    x = sub(r"([A-Z])(?![A-Za-z.])(?!ND\b)", r"\1.", x) if not compiled(r"\bAND\b").search(x) else x
-    x = sub(r"(?<![A-Za-z])([A-Z]{2,5})(?![A-Za-z.])", lambda m: m[0] if m[0] == "AND" else " ".join(c + "." for c in m[0]), x)
+    x = sub(rf"([A-Z])(?![A-Za-z.])(?!{both[1:]}\b)", r"\1.", x) if not compiled(rf"\b{both}\b").search(x) else x
+    x = sub(r"(?<![A-Za-z])([A-Z]{2,5})(?![A-Za-z.])", lambda m: m[0] if m[0] == both else " ".join(c + "." for c in m[0]), x)
     x = sub(r"(?:(?<= )|^)([a-z]) ", lambda m: m[1].upper() + ". ", x)
-    x = sub(r" +", " ", sub(r"-+", " ", x)).strip()
+    x = sub(r" +", " ", sub(r"-+", " ", x) if lang == "en" else sub(r"(?<=[A-Z0-9.])-+|-+(?=[A-Z0-9])", " ", x)).strip()
     return sub(r" s$", "s", x)
 
 
@@ -89,32 +108,33 @@ _ACRONYM = rf"(?:(?<= )|^){CAPITAL_OR_DIGIT}[.]?(?:[&-]?{CAPITAL_OR_DIGIT}+[.]?)
 _MIXED = r"(?:(?<= )|^)[a-z]+(?:[-&]?\d[A-Za-z0-9-]*\.?)+(?='s|s|'| |\n|\Z)"
 
 
-def acronyms_exploded(text: str) -> str:
+def acronyms_exploded(text: str, lang: str = "en") -> str:
     def each(m: re.Match) -> str:
         w = m[0]
         dotted = "." in w or any(c.isdigit() for c in w) or "&" in w
-        return explode_acronym(w) if dotted else w
+        return explode_acronym(w, lang) if dotted else w
 
     text = sub(_ACRONYM, each, text)
-    return sub(_MIXED, lambda m: explode_acronym(m[0]), text)
+    return sub(_MIXED, lambda m: explode_acronym(m[0], lang), text)
 
 
-def acronyms_exploded_unless_readable(text: str) -> str:
+def acronyms_exploded_unless_readable(text: str, lang: str = "en") -> str:
     """Letters are peeled off until the rest can be read as a word."""
 
     def peel(m: re.Match) -> str:
-        w, head = m[0], ""
+        w, head = m[1], ""
         while not pronounceable(w):
             first = compiled(r"([A-Z])\.?").match(w)
             if not first:
                 break
             head += first[1] + ". "
             w = w[first.end() :]
-        return (head + w.replace(".", "")).strip()
+        digits = " " + explode_acronym(m[2], lang) if m[2] else ""
+        return (head + w.replace(".", "")).strip() + digits
 
     while True:
-        after = sub(r"(?:(?<= )|^)(?:[A-Z]\.){2,}(?=[ \n]|\Z)", peel, text)
-        after = acronyms_exploded(after)
+        after = sub(r"(?:(?<= )|^)((?:[A-Z]\.){2,})(\d+)?(?=[ \n]|\Z)", peel, text)
+        after = acronyms_exploded(after, lang)
         if after == text:
             return trim_blanks(text)
         text = after
@@ -155,6 +175,20 @@ def _java(words: list[str]) -> str:
     return alternation(words).replace("\\ ", " ")
 
 
+def _python_step(name: str, upper: bool, lang: str, british: rules.RuleSet | None) -> Callable[[str], str] | None:
+    """The text function of an option that is computed in Python; None for one without effect."""
+    if name == "ACRONYMS_EXPLODED":
+        return lambda t: acronyms_exploded(t, lang)
+    if name == "ACRONYMS_EXPLODED_UNLESS_READABLE":
+        return lambda t: acronyms_exploded_unless_readable(t, lang)
+    if lang != "en":  # the table of spellings is of English words
+        return None
+    table = british or rules.swapped(rules.UK_TO_US)
+    if upper:
+        table = rules.RuleSet(rules.parse([f"{r.pattern} => {r.rewrite}" for r in table.rules], any_case=True))
+    return table.apply
+
+
 def specific(
     df: DataFrame,
     column: str,
@@ -162,6 +196,7 @@ def specific(
     vocabulary: list[str] = (),
     british: rules.RuleSet | None = None,
     scripts: dict[str, Callable[[Column], Column]] | None = None,
+    lang: str = "en",
 ) -> DataFrame:
     """The column under all options, in their order.
 
@@ -180,15 +215,8 @@ def specific(
             c = columns.tag_off(c, name[8:])
         elif name == "SAXON_GENITIVES_EXPLODED":
             c = columns.saxon_exploded(c, upper)
-        elif name == "ACRONYMS_EXPLODED":
-            c = text_function(acronyms_exploded)(c)
-        elif name == "ACRONYMS_EXPLODED_UNLESS_READABLE":
-            c = text_function(acronyms_exploded_unless_readable)(c)
-        elif name == "SPELLING_BRITISH":
-            table = british or rules.swapped(rules.UK_TO_US)
-            if upper:
-                table = rules.RuleSet(rules.parse([f"{r.pattern} => {r.rewrite}" for r in table.rules], any_case=True))
-            c = text_function(table.apply)(c)
-        else:
+        elif name.upper().startswith("EXTERNAL_SCRIPT="):
             c = (scripts or {})[name.partition("=")[2]](c)
+        elif step := _python_step(name, upper, lang, british):
+            c = text_function(step)(c)
     return df.withColumn(column, columns.trim_blanks(unprotect(c, list(vocabulary), upper)))

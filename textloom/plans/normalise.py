@@ -179,7 +179,7 @@ def normalised(df: DataFrame, preset: str | list[str], column: str = "text", lan
     """The whole chain with the options of a preset or a list."""
     options = PRESETS[preset] if isinstance(preset, str) else preset
     keep = "PUNCTUATION_ON" in options or "WEAK_PUNCTUATION_OFF" not in options and "BREAK_LINES" in options and "PUNCTUATION_OFF" not in options
-    return specific(generic(df, column, lang, resources, keep), column, options)
+    return specific(generic(df, column, lang, resources, keep), column, options, lang=lang)
 
 
 def speech_text(df: DataFrame, column: str = "text", lang: str = "en", keep_paragraphs: bool = False, keep_punctuation: bool = True) -> DataFrame:

@@ -107,7 +107,7 @@ def literal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = words(spark, sf_dir)
     pairs = vocabulary.vocabulary(c, SIZE).where(F.upper("ngram") != F.col("ngram"))
     table_ = pairs.select(F.col("ngram").alias("pattern"), F.upper("ngram").alias("rewrite"), F.lit("token").alias("kind"))
-    return rules.rewrite_tokens(spaced(spark, sf_dir), "doc_id", "text", table_)
+    return rules.rewrite_tokens(spaced(spark, sf_dir), "text", table_)
 
 
 def new_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
