@@ -95,19 +95,27 @@ def classes(counts: DataFrame) -> DataFrame:
     return one.groupBy("k.kind", "k.projection").agg(F.sort_array(F.collect_list("ngram")).alias("members"), F.sum("c").alias("c"))
 
 
-def best_members(counts: DataFrame, kind: str) -> DataFrame:
-    """ngram, best: the most frequent word of its class; a word whose class's two best
-    draw and differ in case only stays, and so do contractions."""
-    project = {"dash": project_dash, "apostrophe": project_apostrophe, "case": project_case}[kind]
-    one = unigrams(counts).select("ngram", "c", project(F.col("ngram")).alias("p"))
-    by_count = Window.partitionBy("p").orderBy(F.desc("c"), "ngram")
-    top = one.withColumn("r", F.row_number().over(by_count)).where("r <= 2")
-    pick = top.groupBy("p").agg(
+_PROJECTIONS = {"dash": project_dash, "apostrophe": project_apostrophe, "case": project_case}
+
+
+def best_of_classes(counts: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """ngram, best, kind: the most frequent word of its class, for each kind; a word whose
+    class's two best draw and differ in case only stays, and so do contractions."""
+    every = F.array(*[F.struct(F.lit(k).alias("kind"), _PROJECTIONS[k](F.col("ngram")).alias("p")) for k in kinds])
+    one = unigrams(counts).select("ngram", "c", F.explode(every).alias("k")).select("ngram", "c", "k.kind", "k.p")
+    by_count = Window.partitionBy("kind", "p").orderBy(F.desc("c"), "ngram")
+    top = one.withColumn("r", F.row_number().over(by_count)).where("r <= 2")  # a partition hands on two a class
+    pick = top.groupBy("kind", "p").agg(
         F.max(F.when(F.col("r") == 1, F.struct("ngram", "c"))).alias("a"), F.max(F.when(F.col("r") == 2, F.struct("ngram", "c"))).alias("b")
     )
     draw = F.coalesce((F.col("a.c") == F.col("b.c")) & (F.lower("a.ngram") == F.lower("b.ngram")), F.lit(False))
     stays = F.col("ngram").rlike("'(?:[dmst]|ll|ve)$")
-    return one.join(pick, "p").select("ngram", F.when(stays | draw, F.col("ngram")).otherwise(F.col("a.ngram")).alias("best"))
+    return one.join(pick, ["kind", "p"]).select("ngram", F.when(stays | draw, F.col("ngram")).otherwise(F.col("a.ngram")).alias("best"), "kind")
+
+
+def best_members(counts: DataFrame, kind: str) -> DataFrame:
+    """ngram, best of one kind of class."""
+    return best_of_classes(counts, (kind,)).select("ngram", "best")
 
 
 def potentials(counts: DataFrame) -> DataFrame:
@@ -245,13 +253,13 @@ def confusability(words: DataFrame) -> DataFrame:
     glued = pairs.groupBy("a").agg(F.min("o").alias("o")).select(
         "a", F.col("o")[0]["part"].alias("x"), F.when(F.col("o")[0] == F.col("o")[1], F.lit(1).cast("long")).otherwise(F.col("o")[1]["n"]).alias("k"), (F.col("o")[0] == F.col("o")[1]).alias("twice")
     )
-    todo = checkpointed(whole.unionByName(cut.where("na IS NULL").join(glued, "a").select("w", "x", "k", "twice", F.col("b").alias("y"))))
+    todo = checkpointed(whole.unionByName(cut.where("na IS NULL").join(glued, "a").select("w", "x", "k", "twice", F.col("b").alias("y"))).join(forms, "w"))
     done = checkpointed(forms.join(todo.select("w").distinct(), "w", "left_anti").select("w", F.col("n").alias("ways")))
     while todo.limit(1).count():  # parts are shorter than wholes, so every pass settles the shortest at least
         known = todo.join(done.select(F.col("w").alias("x"), F.col("ways").alias("wx")), "x", "left").join(done.select(F.col("w").alias("y"), F.col("ways").alias("wy")), "y", "left")
         ways = F.col("k") * F.col("wx") * F.when(F.col("twice"), F.col("wx")).otherwise(1) * F.col("wy")
-        settled = checkpointed(known.groupBy("w").agg(F.count_if(ways.isNull()).alias("open"), F.sum(ways).alias("ways")).where("open = 0").join(forms, "w").select("w", (F.col("n") + F.col("ways")).alias("ways")))
-        done = checkpointed(done.unionByName(settled))
+        settled = checkpointed(known.groupBy("w").agg(F.count_if(ways.isNull()).alias("open"), F.sum(ways).alias("ways"), F.first("n").alias("n")).where("open = 0").select("w", (F.col("n") + F.col("ways")).alias("ways")))
+        done = done.unionByName(settled)  # a written table a pass
         todo = checkpointed(todo.join(settled.select("w"), "w", "left_anti"))
     return keyed.join(done, "w").select("ngram", F.col("ways").alias("variants"))
 

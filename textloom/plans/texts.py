@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.operators import columns
 from textloom.plans import sql
 from textloom.plans.catalog import Query, table
+from textloom.session import spread
 
 WEAK = r'[,;:"()¡¿]'
 STRONG = r"(?:\.\.\.|[?!_.])"
@@ -17,7 +18,7 @@ MARK = r'(?:\.\.\.|[¡¿,;:"()?!_.])'
 
 
 def _documents(step: Callable[[Column], Column]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", step(F.col("text")).alias("text"))
+    return lambda spark, sf_dir: spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", step(F.col("text")).alias("text"))
 
 
 def _dropped(mark: str) -> str:
@@ -52,7 +53,7 @@ def tag_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a sentence, numbered."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.posexplode(columns.sentences(F.col("text"))).alias("sentence", "text"))
 
 

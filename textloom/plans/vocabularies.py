@@ -11,13 +11,14 @@ from textloom.operators import rules, vocabulary
 from textloom.operators.columns import rr
 from textloom.plans import sql
 from textloom.plans.catalog import Query, table
+from textloom.session import checkpointed, spread
 
 #: Words of the vocabulary: a report of the top, as a recogniser's size bounds it.
 SIZE = 500
 
 
 def spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", rr(F.col("text"), (r'([.,;:?!()"])', " $1 ")).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", rr(F.col("text"), (r'([.,;:?!()"])', " $1 ")).alias("text"))
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +54,7 @@ def classes(c: DataFrame) -> DataFrame:
 
 
 def best_members(c: DataFrame) -> DataFrame:
-    kinds = [vocabulary.best_members(c, k).withColumn("kind", F.lit(k)) for k in ("dash", "apostrophe", "case")]
-    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+    return vocabulary.best_of_classes(checkpointed(c), ("dash", "apostrophe", "case"))
 
 
 def entropy(c: DataFrame, v: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def literal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def new_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = words(spark, sf_dir)
+    c = checkpointed(words(spark, sf_dir))  # counted once, looked up many times
     return vocabulary.new_rules(c, vocabulary.vocabulary(c, SIZE), lexicon(spark, sf_dir))
 
 
