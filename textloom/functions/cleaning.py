@@ -122,7 +122,7 @@ def drop_bad_tags(text: str) -> str:
     """Malformed tags, and tags of unknown kinds."""
     text = sub(r"[<>]{2,}", " ", text)
     known = "|".join(TAGS)
-    text = sub(rf"(?:(?<= )|^)</?(?!(?:{known})>)[^>\s]*>{END}", " ", text)
+    text = sub(rf"(?:(?<= )|^)<(?!/?(?:{known})>)[^>\s]*>{END}", " ", text)
     return sub(rf"(?:(?<= )|^)<[^>\s]+{END}", "", text) if "<" in text else text
 
 

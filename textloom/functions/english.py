@@ -309,7 +309,7 @@ def currencies(text: str, units: tuple[Unit, ...] = ENGLISH_CURRENCIES, spelled:
     sure = alternation(u.symbol for u in units if u.reliable)
     i = re.I
     text = sub(rf"{YEAR_MARK} (\d+) ({symbols})(?=\.?(?:'s| |/|\n|\Z))", r"\1 \2", text, i)
-    text = sub(rf"(?<![\w.])({symbols}) ?(\d+(?:[.,/][\d-]+)*) *([Mbm]?)(?:illion|n)?\.?{AFTER}", r"\2 \3 \1", text)
+    text = sub(rf"(?<![\w.])({symbols}) ?(\d+(?:[.,/][\d-]+)*)(?: *([Mbm])(?:illion|n)?)?\.?{AFTER}", r"\2 \3 \1", text)
     text = sub(rf"{BEGIN}(\d+)\.?- *({symbols}){END}", r"\1 \2", text, i)
 
     def say(m: re.Match) -> str:

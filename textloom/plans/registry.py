@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import chains, numbers, texts, vocabularies
+from textloom.plans import cases, chains, numbers, texts, vocabularies
 from textloom.plans.catalog import Query
 
-CATALOG: dict[str, Query] = {**texts.QUERIES, **vocabularies.QUERIES, **numbers.QUERIES, **chains.QUERIES}
+CATALOG: dict[str, Query] = {**texts.QUERIES, **vocabularies.QUERIES, **numbers.QUERIES, **chains.QUERIES, **cases.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
