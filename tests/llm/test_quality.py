@@ -209,3 +209,10 @@ def test_rules_on_odd_rows(spark, odd, empty, labels, documents):
     assert (out.decision[p >= quality_rules.KEEP_FROM] == "keep").all()
     assert (out.decision[(p >= quality_rules.REJECT_BELOW) & (p < quality_rules.KEEP_FROM)] == "review").all()
     assert quality_rules.apply_rules(empty, labels, model=model).count() == 0
+
+
+def test_repeated_ids_dont_swell_the_sample(spark):
+    docs = spark.range(500).selectExpr("IF(id < 400, 1, id) AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(500).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    rows = labelled_sample(docs, labels, "quality", 50).collect()
+    assert len(rows) == len({r["doc_id"] for r in rows}) <= 50

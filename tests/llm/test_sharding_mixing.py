@@ -88,7 +88,7 @@ def brute_counts(rows, seed):
     out = collections.Counter()
     for r in rows:
         lam = weight[r["source"]] / whole * total / chars[r["source"]] if chars[r["source"]] else 1.0
-        word = "null" if r["doc_id"] is None else str(r["doc_id"])
+        word = "null:" + hashlib.md5((r["text"] or "").encode()).hexdigest() if r["doc_id"] is None else str(r["doc_id"])
         u = int(hashlib.md5(f"{seed}:{word}".encode()).hexdigest()[:13], 16) / 2**52
         k, cdf, p = 0, math.exp(-lam), math.exp(-lam)
         while cdf <= u:
@@ -173,3 +173,18 @@ def test_mix_sql_beyond_two_hundred_copies(spark, tmp_path):
     key = ["doc_id", "copy"]
     assert (got.doc_id < 2).sum() > 1000
     assert got[key].sort_values(key).to_numpy().tolist() == want[key].sort_values(key).to_numpy().tolist()
+
+
+def test_equal_rows_dont_fill_one_bucket(spark):
+    """A third of all rows are equal in all columns."""
+    docs = spark.range(3000).selectExpr("IF(id % 3 = 0, 7, id) AS doc_id", "IF(id % 3 = 0, 'the same text', concat('text ', id)) AS text")
+    out = sharding.shard(docs, bucket_bytes=3000).toPandas()
+    assert sorted(out.doc_id) == sorted(r["doc_id"] for r in docs.collect())
+    sizes = out.groupby("shard").size()
+    assert len(sizes) > 10 and sizes.max() < 2 * sizes.mean()
+
+
+def test_rows_of_one_id_spread_over_partitions(spark):
+    docs = spark.range(4000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('text ', id) AS text", "'a' AS source")
+    sizes = mixing.mix(docs).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert 3700 < sum(sizes) < 4300 and max(sizes) < 1.3 * min(sizes)

@@ -166,7 +166,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
 
     A document labelled more than once counts by its majority, and not at all on
     a draw; null ids, labels or texts don't train.  The choice is a top-k of the
-    label table alone; only the ids chosen meet the texts.
+    label table alone; only the ids chosen meet the texts.  Of rows that share an id the
+    one whose text has the least hash trains, so repeated ids don't swell the sample.
     """
     chosen = (
         need(labels, "doc_id", label)
@@ -183,6 +184,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
         need(docs, "doc_id", "text")
         .where(F.col("text").isNotNull())
         .join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+        .groupBy("doc_id", "y")
+        .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
         .select("doc_id", "text", "y")
     )
 

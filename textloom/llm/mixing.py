@@ -4,7 +4,8 @@ A source's mean repetition rate is its target share of all characters over its
 own share.  Each document's number of copies is a Poisson quantile of that mean
 at a uniform number hashed from seed and doc_id, so it needs no state and comes
 out the same in every run.  Copies are exploded and shuffled globally: a uniform
-hash of seed, doc_id and copy gives the partition by its range and the order in it.
+hash of seed, doc_id, text and copy gives the partition by its range and the order in it,
+so rows without an id, or with one id, spread as well.
 
 The quantile comes from the source's cumulative distribution, listed until the
 uniform's 52 bits can't reach further: no copy is cut off.  Rates and distributions are
@@ -13,8 +14,8 @@ documents are joined to it by source, where adaptive plans split a hot source.
 
 Defined results.  A null source is a source of its own.  Sources missing from
 given weights have weight 0.  With no weights given, a source's weight is the
-square root of its characters, which lifts small sources.  A null id hashes like
-the word null.  Repeated rows get equal numbers of copies.  Null and empty texts
+square root of its characters, which lifts small sources.  A row without an id is known
+by its text.  Repeated rows get equal numbers of copies.  Null and empty texts
 have length 0; a source of only such texts has rate 1.  An empty table gives no
 row.  Ids may be of any type.  Copies of equal hashes keep no defined order.
 """
@@ -44,6 +45,11 @@ def uniform(*parts) -> F.Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(_BITS))
 
 
+def _identity() -> F.Column:
+    """The id, or the text's MD5 where it misses."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))
+
+
 def distribution(rate: float) -> list[float]:
     """P(count <= k) for k = 0, 1, ... while it can be below a 52-bit uniform.
 
@@ -92,11 +98,11 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: s
         table = F.broadcast(table)
     n = F.size(F.filter(F.col(cdf), lambda p: p <= F.col(u)))
     copies = (
-        docs.withColumn(u, uniform(F.lit(seed), "doc_id"))
+        docs.withColumn(u, uniform(F.lit(seed), _identity()))
         .join(table, F.col("source").eqNullSafe(F.col(name)))
         .withColumn(copy, F.explode(F.sequence(F.lit(0), n)))
         .where(F.col(copy) > 0)
-        .withColumn(mark, uniform(F.lit(seed), F.lit("order"), "doc_id", copy))
+        .withColumn(mark, uniform(F.lit(seed), F.lit("order"), _identity(), F.xxhash64("text").cast("string"), copy))
     )
     kept = [*docs.columns, *([copy] if with_copy else [])]
     # the hash is uniform, so equal ranges of it hold equal shares: no sampling pass is needed
@@ -115,9 +121,9 @@ r AS (SELECT source, CASE WHEN chars = 0 OR sum(chars) OVER () = 0 THEN 1.0
         ELSE sqrt(chars) / sum(sqrt(chars)) OVER () * sum(chars) OVER () / chars END AS rate FROM s),
 k AS (SELECT source, rate, unnest(range(0, CAST(rate + 40 * sqrt(rate) + 61 AS BIGINT))) AS k FROM r),
 c AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
-u AS (SELECT *, CAST('0x' || substr(md5('mix-2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM {docs}),
-n AS (SELECT u.doc_id, u.source, u.u, count(*) AS n FROM (SELECT DISTINCT doc_id, source, u FROM u) u
+u AS (SELECT *, CAST('0x' || substr(md5('mix-2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM {docs}),
+n AS (SELECT u.u, u.source, count(*) AS n FROM (SELECT DISTINCT u, source FROM u) u
       JOIN c ON c.source IS NOT DISTINCT FROM u.source AND c.cdf <= u.u GROUP BY ALL)
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(unnest(range(1, n.n + 1)) AS INTEGER) AS copy
-FROM {docs} d JOIN n ON n.doc_id IS NOT DISTINCT FROM d.doc_id AND n.source IS NOT DISTINCT FROM d.source
+FROM u d JOIN n ON n.u = d.u AND n.source IS NOT DISTINCT FROM d.source
 """

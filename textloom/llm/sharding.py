@@ -12,8 +12,11 @@ The order depends on seed, records and number of buckets alone: a bucket is
 sorted by its records' hashes before the exchanges, so a task that runs again,
 elsewhere or after rows came in another order, yields the same shard.
 
-Defined results.  Every row comes out exactly once, nulls and repeats included;
-rows equal in all columns are interchangeable.  An empty table gives no row.  A
+Rows that are equal in all columns have one hash.  Where there are more of them than a
+bucket has rows on average, they are scattered by their place in the input as well, so
+that no bucket holds them all; such rows are interchangeable.
+
+Defined results.  Every row comes out exactly once, nulls and repeats included.  An empty table gives no row.  A
 text longer than a bucket makes a larger bucket.  Columns that are called shard
 or position already keep their names, and ours get an underscore.
 """
@@ -24,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import fresh, tuned
+from textloom.llm.common import fresh, saved, tuned
 
 BUCKET_BYTES = 64 << 20
 PARTITIONS = 20_000
@@ -44,29 +47,38 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
     return np.array(order, np.int64)
 
 
-def _bytes(docs: DataFrame) -> int:
-    """Bytes of all values, as the buckets will hold them."""
+def _sizes(docs: DataFrame, mark: Column) -> DataFrame:
+    """mark, rows, bytes: all rows by hash, a narrow row for each, copies counted before the shuffle."""
     sizes = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) if f.dataType.simpleString() in ("string", "binary") else F.lit(16) for f in docs.schema]
     total = sizes[0].cast("long")
     for s in sizes[1:]:
         total = total + s
-    return docs.agg(F.sum(total)).first()[0] or 0
+    return saved(docs.select(mark.alias("mark"), total.alias("bytes")).groupBy("mark").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes")))
 
 
 def shard(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All rows and columns, with shard and position in it; a partition holds whole shards."""
     tuned(docs.sparkSession)
-    n = max(1, -(-_bytes(docs) // bucket_bytes))
-    parts = min(n, PARTITIONS)
     shard_col, place = fresh(docs, "shard"), fresh(docs, "position")
-    mark, second = fresh(docs, "order_hash"), fresh(docs, "order_hash_2")
+    mark, second, spread = fresh(docs, "order_hash"), fresh(docs, "order_hash_2"), fresh(docs, "order_hash_3")
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    sizes = _sizes(docs, F.xxhash64(F.lit(seed), *columns))
+    total, rows = sizes.agg(F.sum("bytes"), F.sum("rows")).first()
+    n = max(1, -(-(total or 0) // bucket_bytes))
+    parts = min(n, PARTITIONS)
+    marked = docs.withColumns({mark: F.xxhash64(F.lit(seed), *columns), second: F.xxhash64(F.lit(seed + 1), *columns)})
+    # of hashes with more than the mean rows of a bucket there are fewer than buckets
+    heavy = [r["mark"] for r in sizes.where(F.col("rows") > (rows or 0) / n).select("mark").collect()] if n > 1 else []
+    bucket = F.col(mark)
+    if heavy:
+        many = docs.sparkSession.createDataFrame([(h,) for h in heavy], f"`{spread}` long")
+        marked = marked.join(F.broadcast(many), F.col(mark) == F.col(spread), "left")
+        bucket = F.when(F.col(spread).isNull(), F.col(mark)).otherwise(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
     scattered = (
-        docs.withColumns({mark: F.xxhash64(F.lit(seed), *columns), second: F.xxhash64(F.lit(seed + 1), *columns)})
-        .withColumn(shard_col, F.pmod(F.col(mark), F.lit(n)).cast("int"))
+        marked.withColumn(shard_col, F.pmod(bucket, F.lit(n)).cast("int"))
         .repartitionById(parts, F.floor(F.col(f"`{shard_col}`").cast("long") * parts / n).cast("int"))
         .sortWithinPartitions(shard_col, mark, second)
-        .drop(mark, second)
+        .drop(mark, second, spread)
     )
 
     def exchange(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
