@@ -139,3 +139,17 @@ def test_ten_thousand_rules_from_a_file(spark, tmp_path):
     got = {r["doc_id"]: r["text"] for r in rules.apply_rules(docs, "text", rules.RuleSet(found)).collect()}
     for n, k in enumerate(range(0, 8000, 400)):
         assert got[n] == f"said{k} and joined{k % 1500} or post{k % 500} said{k}'s end"
+
+
+def test_named_rule_sets():
+    book = rules.RuleBook()
+    book.load("a", ["x => y", "p => q"])
+    book.load("a", ["y => z", "x => no"])
+    assert [r.place for r in book.sets["a"].rules] == [0, 1, 2]
+    assert book.apply("x p", "a", "none") == "z q"
+    book.load("b", ["z => end"])
+    assert book.apply("x", "a", "b") == "end" and book.apply("x", "b", "a") == "z"
+    book.reset("a")
+    assert book.apply("x z", "a", "b") == "x end"
+    book.reset()
+    assert book.apply("x z", "a", "b") == "x z"

@@ -169,3 +169,39 @@ def test_halves_of_the_day_with_seconds():
 
     assert "in the afternoon" in english.time("3", "45", "20", "pm") and "in the morning" in english.time("3", "45", "20", "am")
     assert "du matin" in french.time("3", "45", "20", "am")
+
+
+def test_mirrored_files(spark, tmp_path):
+    from textloom.sources import resources
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.txt").write_text("one\ntwo")
+    (tmp_path / "in" / "deep" / "b.c.txt").write_text("été")
+    docs = resources.read_documents(spark, str(tmp_path / "in"), "txt")
+    out = resources.write_mirrored(docs, "path", "text", str(tmp_path / "in"), str(tmp_path / "out"), "norm")
+    assert {r["bytes"] for r in out.collect()} == {7, 5}
+    found = {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert found == {"a.norm": "one\ntwo", "deep/b.c.norm": "été"}
+    with pytest.raises(Exception, match="not below"):
+        resources.write_mirrored(docs, "path", "text", str(tmp_path / "elsewhere"), str(tmp_path / "out2"))
+
+
+def test_paragraphs_of_presets(spark):
+    from textloom.operators.specific import specific
+
+    docs = spark.createDataFrame([("a b\n\n\n\nc",), (None,), ("",)], "text string")
+    assert [r["text"] for r in specific(docs, "text", ["HYPHENS_OFF"]).collect()] == ["a b\n\nc", None, ""]
+    assert [r["text"] for r in specific(docs, "text", ["HYPHENS_OFF"], keep_paragraphs=True).collect()] == ["a b\n\n\n\nc", None, ""]
+
+
+def test_tagger_and_name_sets(spark):
+    """An entity tagger and several sets of name rules, in order, as inputs of a chain."""
+    import dataclasses
+
+    from textloom.operators import rules
+    from textloom.plans import normalise
+
+    sets = (rules.RuleSet(rules.parse(["Bill => William"])), rules.RuleSet(rules.parse(["William => Willem"])))
+    tagged = dataclasses.replace(normalise.RESOURCES["en"], names=sets, tagger=lambda t: t.replace("Willem", "<PERSON> Willem </PERSON>"))
+    docs = spark.createDataFrame([("Yesterday Bill left.",)], "text string")
+    assert "<PERSON> Willem </PERSON> left ." in normalise.generic(docs, resources=tagged).first()["text"]

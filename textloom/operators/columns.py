@@ -22,6 +22,11 @@ def trim_blanks(c: Column) -> Column:
     return rr(c, (" +", " "), ("(?dm) $", ""), ("(?dm)^ ", ""))
 
 
+def single_blank_lines(c: Column) -> Column:
+    """Of a run of blank lines one, and none more than one line feed at either end."""
+    return rr(c, (r"\A\n{2,}|\n{2,}\z", "\n"), ("\n{3,}", "\n\n"))
+
+
 def _drop(c: Column, marks: str) -> Column:
     return trim_blanks(rr(c, (rf" {marks}(?= )", " "), (rf"(?dm)^{marks}(?= )", ""), (rf"(?dm) {marks}$", "")))
 

@@ -144,6 +144,31 @@ class RuleSet:
         return text
 
 
+class RuleBook:
+    """Rule sets by name: loading adds to a set behind its rules, and a set can be reset."""
+
+    def __init__(self):
+        self.sets: dict[str, RuleSet] = {}
+
+    def load(self, name: str, lines: Iterable[str], **options) -> RuleSet:
+        have = self.sets[name].rules if name in self.sets else []
+        known = {r.pattern for r in have}
+        new = [r for r in parse(lines, **options) if r.pattern not in known]
+        self.sets[name] = RuleSet([*have, *(dataclasses.replace(r, place=len(have) + k) for k, r in enumerate(new))])
+        return self.sets[name]
+
+    def reset(self, *names: str) -> None:
+        """Empty the named sets, or all."""
+        for name in names or list(self.sets):
+            self.sets.pop(name, None)
+
+    def apply(self, text: str, *names: str) -> str:
+        """The text under the named sets in order; a name without rules changes nothing."""
+        for name in names:
+            text = self.sets[name].apply(text) if name in self.sets else text
+        return text
+
+
 def apply_rules(df: DataFrame, column: str, *sets: RuleSet) -> DataFrame:
     """The column rewritten by each rule set in turn."""
 
@@ -290,4 +315,4 @@ def swapped(text: str) -> RuleSet:
     return RuleSet(parse(lines))
 
 
-__all__ = ["Rule", "RuleSet", "apply_rules", "map_counts", "parse", "rewrite_counts", "rewrite_tokens", "translate"]
+__all__ = ["Rule", "RuleBook", "RuleSet", "apply_rules", "map_counts", "parse", "rewrite_counts", "rewrite_tokens", "translate"]

@@ -197,9 +197,11 @@ def specific(
     british: rules.RuleSet | None = None,
     scripts: dict[str, Callable[[Column], Column]] | None = None,
     lang: str = "en",
+    keep_paragraphs: bool = False,
 ) -> DataFrame:
     """The column under all options, in their order.
 
+    Of a run of blank lines one stays, unless paragraphs are kept as they are.
     External scripts are callables from column to column, given by name: nothing
     is run in a shell.
     """
@@ -219,4 +221,15 @@ def specific(
             c = (scripts or {})[name.partition("=")[2]](c)
         elif step := _python_step(name, upper, lang, british):
             c = text_function(step)(c)
-    return df.withColumn(column, columns.trim_blanks(unprotect(c, list(vocabulary), upper)))
+    c = columns.trim_blanks(unprotect(c, list(vocabulary), upper))
+    return df.withColumn(column, c if keep_paragraphs else columns.single_blank_lines(c))
+
+
+def final(text: str, lang: str = "en", upper: bool = False) -> str:
+    """Numbers that are left in words, and single letters as capitals with a dot; for use after the options."""
+    say, end = SPOKEN[lang].say, r"(?= |\n|\Z|'s? )"
+    text = sub(r"(?:(?<= )|^)\d+(?:\.\d*)?(?= |\n|\Z)", lambda m: say(m[0]) or m[0], text)
+    text = sub(rf"(?:(?<= )|^)([b-z]){end}", lambda m: m[1].upper() + ".", text)
+    text = sub(rf"(?:(?<= )|^)([a-z]\.){end}", lambda m: m[1].upper(), text)
+    text = sub(rf"(?:(?<=[ -])|^)([B-HJ-Z]){end}", r"\1.", text)
+    return text.upper() if upper else text

@@ -15,7 +15,7 @@ from textloom.functions import cleaning, english, french
 from textloom.functions.arrow import chain, text_function
 from textloom.functions.lexicon import ENGLISH, FRENCH
 from textloom.functions.tokens import tokenize
-from textloom.operators import columns, rules
+from textloom.operators import columns, rules, specific
 from textloom.operators.specific import acronyms_exploded, acronyms_exploded_unless_readable
 from textloom.plans import normalise, sql
 from textloom.plans.catalog import Query, table
@@ -51,6 +51,11 @@ def _preset(name: str, lang: str, pairs: Pairs) -> Query:
     return of_frame(lambda df: normalise.normalised(df, name, lang=lang), pairs)
 
 
+BOOK = rules.RuleBook()
+BOOK.load("spelling", ["colour => color"])
+BOOK.load("spelling", ["grey => gray"])
+BOOK.load("abbreviations", [r"etc\. => et cetera"])
+
 _SPEECH_FR: Pairs = [
     ("L'équipe d'analyse du {w} arrive . Elle part à 8h40 .", "l' équipe d' analyse du {w} arrive .\nelle part à neuf heures moins vingt .\n"),
     ("Au XXIe siècle , {w} vit .", "Au vingt et unième siècle , {w} vit .\n"),
@@ -194,5 +199,12 @@ QUERIES = {
     "speech_en_cases": of_frame(normalise.speech_text, [("The {w} costs $5 . It is here .", "the {w} costs five dollars .\nit is here .\n")]),
     "speech_fr_cases": of_frame(lambda df: normalise.speech_text(df, lang="fr"), _SPEECH_FR),
     "speech_paragraphs_cases": of_frame(lambda df: normalise.speech_text(df, keep_paragraphs=True), [("The {w} costs $5 . It is here .", "the {w} costs five dollars . it is here .\n")]),
+    "final_cases": of_text(specific.final, [("{w} has 12 parts", "{w} has twelve parts"), ("plan b. of {w}", "plan B. of {w}"), ("plan c for a {w}", "plan C. for a {w}"), ("{w} B and I", "{w} B. and I")]),
+    "blank_lines_cases": of_frame(
+        lambda df: df.withColumn("text", columns.single_blank_lines(F.col("text"))), [("{w}\n\n\n\nb\nc\n\nd", "{w}\n\nb\nc\n\nd"), ("\n\n{w}\n\n", "\n{w}\n"), ("{w}\nb", "{w}\nb")]
+    ),
+    "named_rules_cases": of_text(
+        lambda t: BOOK.apply(t, "spelling", "unknown", "abbreviations"), [("the colour of {w} etc.", "the color of {w} et cetera"), ("{w} grey", "{w} gray")]
+    ),
     "chained_steps_cases": of_text(chain(english.remove_bugs, english.process_ing, english.process_d), [("goin' & ask'd {w}", "going and asked {w}")]),
 }

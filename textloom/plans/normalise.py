@@ -21,7 +21,8 @@ from textloom.operators.specific import PRESETS, specific
 class Resources:
     """What a chain looks up; every part can be replaced by loaded data.
 
-    ``tagger`` puts tags around named entities; by default it adds none.
+    ``tagger`` puts tags around named entities; by default it adds none.  The sets of
+    ``names`` apply one after the other.
     """
 
     lexicon: Lexicon
@@ -30,7 +31,7 @@ class Resources:
     hesitations: rules.RuleSet = rules.RuleSet([])
     spelling: rules.RuleSet = rules.RuleSet([])
     abbreviations: rules.RuleSet = rules.RuleSet([])
-    names: rules.RuleSet = rules.RuleSet([])
+    names: tuple[rules.RuleSet, ...] = ()
     case: rules.RuleSet = rules.RuleSet([])
     hyphens: rules.RuleSet = rules.RuleSet([])
     apostrophes: rules.RuleSet = rules.RuleSet([])
@@ -75,7 +76,7 @@ def start(lang: str, r: Resources) -> list[Step]:
             french.currencies,
             french.units,
             lambda t: cleaning.telephone(t, pairs=True),
-            r.names.apply,
+            *[s.apply for s in r.names],
             lambda t: cleaning.split_entities(t, r.places),
             trim_blanks,
         ]
@@ -99,7 +100,7 @@ def start(lang: str, r: Resources) -> list[Step]:
         english.currencies,
         english.units,
         cleaning.telephone,
-        r.names.apply,
+        *[s.apply for s in r.names],
         lambda t: cleaning.split_entities(t, r.places),
         trim_blanks,
     ]
@@ -175,11 +176,11 @@ def generic(df: DataFrame, column: str = "text", lang: str = "en", resources: Re
     return _with(df, column, [lambda t: tokenize(t, lang), *start(lang, r), *finish(lang, r, keep_punctuation)])
 
 
-def normalised(df: DataFrame, preset: str | list[str], column: str = "text", lang: str = "en", resources: Resources | None = None) -> DataFrame:
+def normalised(df: DataFrame, preset: str | list[str], column: str = "text", lang: str = "en", resources: Resources | None = None, keep_paragraphs: bool = False) -> DataFrame:
     """The whole chain with the options of a preset or a list."""
     options = PRESETS[preset] if isinstance(preset, str) else preset
     keep = "PUNCTUATION_ON" in options or "WEAK_PUNCTUATION_OFF" not in options and "BREAK_LINES" in options and "PUNCTUATION_OFF" not in options
-    return specific(generic(df, column, lang, resources, keep), column, options, lang=lang)
+    return specific(generic(df, column, lang, resources, keep), column, options, lang=lang, keep_paragraphs=keep_paragraphs)
 
 
 def speech_text(df: DataFrame, column: str = "text", lang: str = "en", keep_paragraphs: bool = False, keep_punctuation: bool = True) -> DataFrame:

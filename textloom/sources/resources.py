@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.lexicon import Lexicon, Unit
 from textloom.operators.rules import Rule, parse
 from textloom.operators.vocabulary import load_counts
+from textloom.session import checkpointed
 
 
 def read_documents(spark: SparkSession, path: str, extension: str | None = None) -> DataFrame:
@@ -89,3 +93,42 @@ def write_texts(df: DataFrame, column: str, path: str, by: str | None = None) ->
 def write_tag_classes(bodies: DataFrame, path: str) -> None:
     """Bodies (tag, body) in a folder a tag."""
     bodies.select("tag", F.col("body").alias("value")).write.mode("overwrite").partitionBy("tag").text(path)
+
+
+def write_mirrored(df: DataFrame, path_column: str, column: str, root: str, target: str, extension: str | None = None) -> DataFrame:
+    """A file for each row, at its path below ``root`` mirrored below ``target``; path and bytes of each.
+
+    ``extension`` takes the place of the path's own.  Files appear under their names when
+    whole, so a task that runs again leaves no part of one.  A null text writes an empty
+    file; a path outside ``root``, or a null one, is an error.
+    """
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    above, below = (jvm.org.apache.hadoop.fs.Path(p) for p in (root, target))
+    above, below = (p.getFileSystem(conf).makeQualified(p).toString().rstrip("/") for p in (above, below))
+    place = above.split(":", 1)[-1].lstrip("/")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        fs, base = pafs.FileSystem.from_uri(below if "://" in below else below.replace("file:", "file://", 1))
+        attempt = TaskContext.get().taskAttemptId()
+        for batch in batches:
+            sizes, names = [], []
+            for path, text in zip(batch["path"].to_pylist(), batch["text"].to_pylist()):
+                own = (path or "").split(":", 1)[-1].lstrip("/")
+                if not own.startswith(place + "/"):
+                    raise ValueError(f"{path} is not below {root}")
+                own = own[len(place) + 1 :]
+                own = own if extension is None else re.sub(r"\.[^./]*$", "", own) + "." + extension.lstrip(".")
+                name = f"{base.rstrip('/')}/{own}"
+                fs.create_dir(name.rpartition("/")[0], recursive=True)
+                data = (text or "").encode()
+                with fs.open_output_stream(f"{name}.{attempt}.part") as out:
+                    out.write(data)
+                fs.move(f"{name}.{attempt}.part", name)
+                names.append(f"{below}/{own}")
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["path", "bytes"])
+
+    rows = df.select(F.col(f"`{path_column}`").alias("path"), F.col(f"`{column}`").alias("text"))
+    return checkpointed(rows.mapInArrow(write, "path string, bytes long"))
