@@ -46,7 +46,7 @@ def _writer(folder: str, path: str):
         total, ends = 0, [np.zeros(1, np.int64)]
         with fs.open_output_stream(f"{temporary}.bin") as out:
             for batch in batches:
-                for lo, hi, some in pieces(batch["text"], 4 << 20):
+                for lo, hi, some in pieces(batch["text"], 1 << 20):
                     ids, bounds = codec.encode_rows(some)
                     out.write(ids.astype(ids.dtype.newbyteorder("<"), copy=False).tobytes())
                     ends.append(total + bounds[1:])

@@ -75,7 +75,7 @@ def count_sections(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = tokenizer(path)
         for batch in batches:
-            for lo, hi, some in pieces(batch["text"], 4 << 20):
+            for lo, hi, some in pieces(batch["text"], 1 << 20):
                 buf, off = flat(some)
                 if not len(buf):
                     continue

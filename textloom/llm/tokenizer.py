@@ -41,6 +41,19 @@ class Words(dict):
         k = self[word] = self.add(word)
         return k
 
+    def learn(self, words: list[str], bytes_of: np.ndarray) -> None:
+        """Number new words that begin with a space, encoded in one go: no token spans two of them."""
+        if not words:
+            return
+        ids = np.array(self.encode("".join(words)), np.int64)
+        ends = np.cumsum([len(w.encode()) for w in words])
+        last = np.searchsorted(np.cumsum(bytes_of[ids]), ends) + 1
+        data, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+        cuts = [0, *(last * width).tolist()]
+        self.update(zip(words, range(len(self.ids), len(self.ids) + len(words))))
+        self.ids += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        self.held += len(ids)
+
 
 class Tokenizer:
     """Words are remembered until there are ``memory`` of them, or five times as many ids."""
@@ -68,21 +81,30 @@ class Tokenizer:
         """Ids of all rows and the rows' bounds among them; a null row has none."""
         if len(self.words.ids) > self.memory or self.words.held > 5 * self.memory:
             self.words = Words(self.encode, self.dtype)
-        number = self.words.__getitem__
-        at: list[int] = []
+        known = self.words
+        parts: list[str] = []
+        whole: list[tuple[int, str]] = []  # texts that are encoded as they are, with their places
         count: list[int] = []
         for text in arr.to_pylist():
             if not text:
                 count.append(0)
-                continue
-            if _UNSAFE.search(text):
-                found = [self.words.add(text)]
+            elif "\0" in text or _UNSAFE.search(text):
+                whole.append((len(parts), text))
+                parts.append("")
+                count.append(1)
             else:
-                first, *rest = text.split(" ")
-                found = [number(first)] if first else []
-                found += map(number, [" " + w for w in rest])
-            at += found
-            count.append(len(found))
+                found = text.replace(" ", "\0 ").split("\0")
+                if not found[0]:
+                    del found[0]
+                parts += found
+                count.append(len(found))
+        distinct = set(parts).difference(known, ("",))
+        known.learn([w for w in distinct if w[0] == " "], self.bytes_of)
+        known[""] = 0  # stands for texts that are encoded whole, numbered below
+        at = list(map(known.__getitem__, parts))  # a text's first word is looked up, or learned, by itself
+        del known[""]
+        for place, text in whole:
+            at[place] = known.add(text)
         used, where = np.unique(np.array(at, np.int32), return_inverse=True)
         lists = self.words.ids
         chosen = [lists[k] for k in used.tolist()]
