@@ -130,3 +130,13 @@ def test_ids_of_any_type(spark):
     docs = spark.createDataFrame([("a1", "one two\nthree"), (None, "x"), ("b", None)], "doc_id string, text string")
     assert {r["doc_id"] for r in token_binary.write_tokens(docs).collect()} == {"a1", "b", None}
     assert {r["doc_id"] for r in token_counts.count_sections(docs).collect()} == {"a1", None}
+
+
+def test_odd_spaces_and_marks_encode_alike():
+    """Learned words against the tokenizer itself, where a word may begin, end or hold anything."""
+    t = Tokenizer(DEFAULT_TOKENIZER)
+    texts = [" leading", "a\0b c", "two  spaces", "ends ", "\n", " ", "a\nb c\n\n d", "été 文字\u3000x y", "tab\t z", None, "", "x" * 5000 + " y", "same same", " \n x", "\r\n a", "\0"]
+    for _ in range(2):
+        ids, bounds = t.encode_rows(pa.array(texts, pa.string()))
+        for k, text in enumerate(texts):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == (t.encode(text) if text else []), text
