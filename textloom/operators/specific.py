@@ -104,8 +104,9 @@ def explode_acronym(word: str, lang: str = "en") -> str:
     return sub(r" s$", "s", x)
 
 
-_ACRONYM = rf"(?:(?<= )|^){CAPITAL_OR_DIGIT}[.]?(?:[&-]?{CAPITAL_OR_DIGIT}+[.]?)+(?='s|s|'| |\n|\Z)"
-_MIXED = r"(?:(?<= )|^)[a-z]+(?:[-&]?\d[A-Za-z0-9-]*\.?)+(?='s|s|'| |\n|\Z)"
+#: Each text can be read in one way only: with several, a long key would be tried in exponentially many.
+_ACRONYM = rf"(?:(?<= )|^){CAPITAL_OR_DIGIT}[.]?(?:[&-]?{CAPITAL_OR_DIGIT}[.]?)+(?='s|s|'| |\n|\Z)"
+_MIXED = r"(?:(?<= )|^)[a-z]+[-&]?\d[A-Za-z0-9-]*(?:(?:\.[-&]?|&)\d[A-Za-z0-9-]*)*\.?(?='s|s|'| |\n|\Z)"
 
 
 def acronyms_exploded(text: str, lang: str = "en") -> str:

@@ -372,9 +372,9 @@ def transform_oov(w: str, x: dict, p: Protection = Protection()) -> str:
         parted = " ".join(sub(rf"((?:{CAPITAL_OR_DIGIT}\.)+)", r" \1 ", w).split())
         if parted != w:
             return parted
-    if free and re.fullmatch(rf"{CAPITAL_OR_DIGIT}[.]?(?:&?[A-Z\d-]+[.]?)+s?'?s?", w):
+    if free and re.fullmatch(rf"{CAPITAL_OR_DIGIT}[.]?(?:&?[A-Z\d-][.]?)+s?'?s?", w):
         new = explode_acronym(w)
-    elif p.uppercase and re.fullmatch(rf"(?:\d|{CAPITAL}[.])(?:[&-]?(?:\d|{CAPITAL}[.])+[.]?)+S?'?S?", w):
+    elif p.uppercase and re.fullmatch(rf"(?:\d|{CAPITAL}[.])(?:[&-]?(?:\d|{CAPITAL}[.])[.]?)+S?'?S?", w):
         new = explode_acronym(w, True)
     else:
         new = w
