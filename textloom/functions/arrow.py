@@ -8,19 +8,35 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Texts that are Python strings at a time; the others of a batch stay in Arrow's buffers.
+SLICE = 64
+
+
+def mapped(texts: pa.Array, step: Callable[[str], str | None]) -> pa.Array:
+    """The texts under a step, SLICE at a time; a text that stood before in the batch isn't computed again."""
+    seen: dict[int, int] = {}
+    done: list[pa.Array] = []
+    for start in range(0, len(texts), SLICE):
+        out: list[str | None] = []
+        for k, t in enumerate(texts.slice(start, SLICE).to_pylist(), start):
+            if t is None:
+                out.append(None)
+                continue
+            first = seen.setdefault(hash(t), k)
+            if first != k and texts[first].as_py() == t:
+                out.append(out[first - start] if first >= start else done[first // SLICE][first % SLICE].as_py())
+            else:
+                out.append(step(t))
+        done.append(pa.array(out, pa.string()))
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
+
 
 def text_function(step: Callable[[str], str | None]) -> Callable[[Column | str], Column]:
     """A column function of a text-to-text step; null stays null."""
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        memory: dict[str, str | None] = {}
-        out = []
-        for t in texts.to_pylist():
-            if t is not None and t not in memory:
-                memory[t] = step(t)
-            out.append(None if t is None else memory[t])
-        return pa.array(out, pa.string())
+        return mapped(texts, step)
 
     return run
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.arrow import text_function
-from textloom.functions.patterns import BEGIN, END, compiled, sub
+from textloom.functions.patterns import BEGIN, END, compiled, pieces, sub
 from textloom.session import checkpointed
 
 _MARKS = re.compile(r"[\\^$.|?*+()\[\]{}]")
@@ -108,15 +108,17 @@ class RuleSet:
         return self.patterns[k]
 
     def _found(self, text: str) -> set[int]:
-        out: set[int] = set()
-        for token in set(re.split(r"[ \n]", text)):
-            out.update(self.by_token.get(token, ()))
-            bare = _CLITIC.sub("", token)
-            if bare != token:
-                out.update(self.by_token.get(bare, ()))
-        return out
+        if not self.by_token:
+            return set()
+        tokens = pieces(text)
+        found = tokens & self.by_token.keys()
+        if "'" in text:
+            found |= {_CLITIC.sub("", t) for t in tokens if "'" in t} & self.by_token.keys()
+        return {k for token in found for k in self.by_token[token]}
 
     def apply(self, text: str) -> str:
+        if not self.rules:
+            return text
         queue = [*self.always, *self._found(text)]
         heapq.heapify(queue)
         tried: set[int] = set()
