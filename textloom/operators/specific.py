@@ -1,7 +1,7 @@
 """Options of specific normalisation, applied in the order of a configuration.
 
-Options that are expressions run in the JVM, those that need Python in an Arrow
-function each.
+Options that need Python, and those before them that are as simple there, share one
+Arrow function; the others are expressions that run in the JVM.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import numbers_en, numbers_fr
-from textloom.functions.arrow import text_function
+from textloom.functions.arrow import chain, text_function
 from textloom.functions.patterns import CAPITAL_OR_DIGIT, TAGS, alternation, compiled, fixpoint, sub, trim_blanks
 from textloom.operators import columns, rules
 
@@ -42,6 +42,12 @@ _COLUMN: dict[str, Callable[[Column], Column]] = {
     "CASE_OFF": columns.case_off,
     "CASE_LOW": columns.case_low,
 }
+_PYTHON = {"ACRONYMS_EXPLODED", "ACRONYMS_EXPLODED_UNLESS_READABLE", "SPELLING_BRITISH"}
+#: Of the others, those that are done in Python where such a one follows without others between.
+_BEFORE: dict[str, Callable[[str], str]] = {
+    "TAGS_OFF": lambda t: trim_blanks(sub(r" ?</?[A-Z]+> ?", " ", t)).replace(" 's", "'s"),
+    "HYPHENS_OFF": lambda t: t.replace("-", " "),
+}
 _ALIAS = {
     "TAG_ON": "TAGS_ON",
     "ACRONYMS_READABLE_JOINT": "ACRONYMS_EXPLODED_UNLESS_READABLE",
@@ -150,8 +156,7 @@ def known(option: str) -> str:
     m = re.fullmatch(r"TAGS?_NO_([A-Z]+)|NO_X_TAG\('?([A-Z]+)'?\)", name)
     if m and (m[1] or m[2]) in TAGS:
         return f"TAGS_NO_{m[1] or m[2]}"
-    python = {"ACRONYMS_EXPLODED", "ACRONYMS_EXPLODED_UNLESS_READABLE", "SPELLING_BRITISH", "SAXON_GENITIVES_EXPLODED"}
-    if name in _NOTHING or name in _COLUMN or name in python:
+    if name in _NOTHING or name in _COLUMN or name in _PYTHON or name == "SAXON_GENITIVES_EXPLODED":
         return name
     raise ValueError(f"unknown option {option}")
 
@@ -209,9 +214,18 @@ def specific(
     names = [known(o) for o in options]
     upper = "CASE_OFF" in names
     c = protect(F.col(column), list(vocabulary), upper)
-    for name in names:
-        if name in _NOTHING:
+    names = [n for n in names if n not in _NOTHING]
+    fused = [n in _PYTHON for n in names]
+    for k in range(len(names) - 2, -1, -1):  # simple ones right before a fused one join it
+        fused[k] |= fused[k + 1] and names[k] in _BEFORE
+    steps: list[Callable[[str], str]] = []
+    for name, inside in zip(names, fused):
+        if inside:
+            step = _BEFORE.get(name) or _python_step(name, upper, lang, british)
+            steps += [step] if step else []
             continue
+        if steps:
+            c, steps = text_function(chain(*steps))(c), []
         if name in _COLUMN:
             c = _COLUMN[name](c)
         elif name.startswith("TAGS_NO_"):
@@ -220,8 +234,8 @@ def specific(
             c = columns.saxon_exploded(c, upper)
         elif name.upper().startswith("EXTERNAL_SCRIPT="):
             c = (scripts or {})[name.partition("=")[2]](c)
-        elif step := _python_step(name, upper, lang, british):
-            c = text_function(step)(c)
+    if steps:
+        c = text_function(chain(*steps))(c)
     c = columns.trim_blanks(unprotect(c, list(vocabulary), upper))
     return df.withColumn(column, c if keep_paragraphs else columns.single_blank_lines(c))
 
