@@ -65,7 +65,7 @@ def letter_ngrams(words: DataFrame, order: int) -> DataFrame:
 def with_unknown_word(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """N-grams with a word out of the vocabulary."""
     words = counts.select("ngram", "c", F.explode(F.array_distinct(F.split("ngram", " "))).alias("w"))
-    unknown = words.join(vocab.select(F.col("ngram").alias("w")), "w", "left_anti")
+    unknown = words.join(F.broadcast(vocab.select(F.col("ngram").alias("w"))), "w", "left_anti")  # its size bounds it
     return unknown.select("ngram", "c").distinct()
 
 
@@ -396,29 +396,41 @@ def transform_oov(w: str, x: dict, p: Protection = Protection()) -> str:
     return w
 
 
+#: Words that no rewriting changes have none of these: a capital, digit, dot, apostrophe, hyphen or odd
+#: blank, one letter only, or consonants only.
+_REWRITABLE = rf"[A-Z\p{{Nd}}.'\-\p{{Z}}\x09-\x0d\x1c-\x1f\x85]|^.?$|^[{_CONSONANTS}]{{2,}}$"
+
+
 def new_rules(counts: DataFrame, vocab: DataFrame, lexicon: DataFrame, p: Protection = Protection()) -> DataFrame:
     """src, dst: rewrites of words out of vocabulary, one pass.
 
-    The lookups of the rewriting are joins; words that are targets of this pass's
-    rules are left for the next.
+    The lookups of the rewriting are joins, each for the words that need it alone: parts
+    beside a hyphen for words with one, classes and parts beside an apostrophe for words
+    with one.  Words that are targets of this pass's rules are left for the next.
     """
     one = unigrams(counts).where("c > 0")
-    oov = out_of_vocabulary(one, vocab)
+    oov = out_of_vocabulary(one, vocab).where(F.col("ngram").rlike(_REWRITABLE))
+    dashed, quoted = F.contains("ngram", F.lit("-")), F.contains("ngram", F.lit("'"))
     a, b = F.regexp_extract("ngram", "^(.*?)-(.*)$", 1), F.regexp_extract("ngram", "^(.*?)-(.*)$", 2)
-    pot = potentials(counts)
-    look = oov.withColumns({"left_key": F.concat(a, F.lit("-")), "right_key": F.concat(F.lit("-"), b), "head": F.lower(a), "tail": b})
-    look = look.join(pot.select(F.col("part").alias("left_key"), F.col("c").alias("left")), "left_key", "left")
-    look = look.join(pot.select(F.col("part").alias("right_key"), F.col("c").alias("right")), "right_key", "left")
+    pot = potentials(counts.where(dashed))  # a part with a hyphen stems from a word with one
+    beside = oov.where(dashed).select("ngram", F.concat(a, F.lit("-")).alias("left_key"), F.concat(F.lit("-"), b).alias("right_key"), F.lower(a).alias("head"), b.alias("tail"))
+    beside = beside.join(pot.select(F.col("part").alias("left_key"), F.col("c").alias("left")), "left_key", "left")
+    beside = beside.join(pot.select(F.col("part").alias("right_key"), F.col("c").alias("right")), "right_key", "left")
     words = lexicon.select("word").distinct()
-    look = look.join(words.select(F.col("word").alias("head"), F.lit(True).alias("has_head")), "head", "left")
-    look = look.join(words.select(F.col("word").alias("tail"), F.lit(True).alias("has_tail")), "tail", "left")
-    look = look.join(best_members(counts, "apostrophe").withColumnRenamed("best", "best_apostrophe"), "ngram", "left")
+    beside = beside.join(words.select(F.col("word").alias("head"), F.lit(True).alias("has_head")), "head", "left")
+    beside = beside.join(words.select(F.col("word").alias("tail"), F.lit(True).alias("has_tail")), "tail", "left")
+    beside = beside.select("ngram", "left", "right", "has_head", "has_tail")
+    inside = oov.where(quoted)
+    mine = inside.select(project_apostrophe(F.col("ngram")).alias("p")).distinct()
+    kin = unigrams(counts).withColumn("p", project_apostrophe(F.col("ngram"))).join(mine, "p", "left_semi").select("ngram", "c")
+    best = best_members(kin, "apostrophe").where(quoted).withColumnRenamed("best", "best_apostrophe")
     la, lb = F.regexp_extract("ngram", "^(.*)'(.*)$", 1), F.regexp_extract("ngram", "^(.*)'(.*)$", 2)
     keys = F.array(la, F.concat(la, F.lit("'")), lb, F.concat(F.lit("'"), lb))
-    parts = oov.where(F.contains("ngram", F.lit("'"))).select("ngram", F.explode(keys).alias("k")).distinct()
-    seen = flagged(counts, vocab).select(F.col("ngram").alias("k"), F.col("c").alias("n"), "iv")
+    parts = inside.select("ngram", F.explode(keys).alias("k")).distinct()
+    near = one.join(parts.select(F.col("k").alias("ngram")).distinct(), "ngram", "left_semi")
+    seen = flagged(near, vocab).select(F.col("ngram").alias("k"), F.col("c").alias("n"), "iv")
     found = parts.join(seen, "k").groupBy("ngram").agg(F.collect_list(F.struct("k", "n", "iv")).alias("parts"))
-    look = look.join(found, "ngram", "left")
+    look = oov.join(beside, "ngram", "left").join(best, "ngram", "left").join(found, "ngram", "left")
 
     @F.pandas_udf("string")
     def rewrite(frame):
@@ -495,27 +507,26 @@ def recased_bigrams(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """src, dst: bigrams with an unknown word whose best re-cased form counts over five times theirs.
 
     The first letter of an unknown word may change its case; words of the
-    vocabulary stay.
+    vocabulary stay.  Forms of a bigram meet by their words with small first letters;
+    as every count is positive, only bigrams that count over five can be such a form,
+    so all bigrams are shuffled once, and the vocabulary, which its size bounds, is broadcast.
     """
     shape = r"^([A-Za-z])([^ \-']+) ([A-Za-z])([^ \-']+)$"
     pairs = counts.where(F.col("ngram").rlike(shape)).select("ngram", "c", F.split("ngram", " ").alias("w"))
-    known = vocab.select("ngram")
-    pairs = pairs.withColumns({"a": F.col("w")[0], "b": F.col("w")[1]})
-    pairs = pairs.join(known.select(F.col("ngram").alias("a"), F.lit(True).alias("ka")), "a", "left")
-    pairs = pairs.join(known.select(F.col("ngram").alias("b"), F.lit(True).alias("kb")), "b", "left")
-    pairs = pairs.where("ka IS NULL OR kb IS NULL")
 
-    def swapped(c: Column) -> Column:
-        first = F.substring(c, 1, 1)
-        return F.concat(F.when(first.rlike("[A-Z]"), F.lower(first)).otherwise(F.upper(first)), c.substr(F.lit(2), F.length(c)))
+    def small(c: Column) -> Column:
+        return F.concat(F.lower(F.substring(c, 1, 1)), c.substr(F.lit(2), F.length(c)))
 
-    forms_a = F.when(F.col("ka").isNull(), F.array("a", swapped(F.col("a")))).otherwise(F.array("a"))
-    forms_b = F.when(F.col("kb").isNull(), F.array("b", swapped(F.col("b")))).otherwise(F.array("b"))
-    every = pairs.select("ngram", "c", F.explode(forms_a).alias("x"), forms_b.alias("ys"))
-    every = every.select("ngram", "c", "x", F.explode("ys").alias("y")).select("ngram", "c", F.concat_ws(" ", "x", "y").alias("dst"))
-    scored = every.join(counts.select(F.col("ngram").alias("dst"), F.col("c").alias("n")), "dst")
-    best = scored.groupBy("ngram", "c").agg(F.max(F.struct("n", "dst")).alias("top"))
-    return best.where("top.n > 5 * c AND top.dst <> ngram").select(F.col("ngram").alias("src"), F.col("top.dst").alias("dst"))
+    pairs = pairs.select("ngram", "c", F.col("w")[0].alias("a"), F.col("w")[1].alias("b"))
+    pairs = pairs.withColumn("key", F.concat_ws(" ", small(F.col("a")), small(F.col("b"))))
+    forms = pairs.where("c > 5").select("key", F.col("ngram").alias("dst"), F.col("c").alias("n"), F.col("a").alias("x"), F.col("b").alias("y"))
+    known = vocab.select("ngram")
+    pairs = pairs.join(F.broadcast(known.select(F.col("ngram").alias("a"), F.lit(True).alias("ka"))), "a", "left")
+    pairs = pairs.join(F.broadcast(known.select(F.col("ngram").alias("b"), F.lit(True).alias("kb"))), "b", "left")
+    pairs = pairs.where("ka IS NULL OR kb IS NULL")
+    better = pairs.join(forms, "key").where("n > 5 * c AND (ka IS NULL OR x = a) AND (kb IS NULL OR y = b)")
+    best = better.groupBy("ngram").agg(F.max(F.struct("n", "dst")).alias("top"))
+    return best.where("top.dst <> ngram").select(F.col("ngram").alias("src"), F.col("top.dst").alias("dst"))
 
 
 def same_vocabulary(a: DataFrame, b: DataFrame) -> bool:
@@ -548,23 +559,31 @@ def minimise_oov(
     then over bigrams until the vocabulary is stable.
 
     Counts that come back as they were in an earlier pass would go round for ever;
-    they raise an error.
+    they raise an error.  The passes over words never look at bigrams, so these stay
+    aside in a table of their own, and n-grams that become several words join them at the end.
     """
-    counts = checkpointed(counts)
+    pairs = checkpointed(counts.where(F.contains("ngram", F.lit(" "))))
+    counts = checkpointed(unigrams(counts))
     seen = {_state(counts)}
     rules = spark.createDataFrame([], "src string, dst string")
+    gained: list[DataFrame] = []
     while True:
-        new = checkpointed(without_conflicts(new_rules(counts, vocabulary(counts, size), lexicon, protection)))
+        vocab = checkpointed(vocabulary(counts, size))
+        new = checkpointed(without_conflicts(new_rules(counts, vocab, lexicon, protection)))
         if not new.limit(1).count():
             break
         rules = checkpointed(compose(rules, new))
-        counts = checkpointed(move_counts(counts, new))
+        moved = checkpointed(move_counts(counts, new))
+        gained.append(moved.where(F.contains("ngram", F.lit(" "))))
+        counts = unigrams(moved)
         _unseen(counts, seen)
+    added = reduce(DataFrame.unionByName, gained, pairs)
+    counts = checkpointed(counts.unionByName(added.groupBy("ngram").agg(F.sum("c").cast("long").alias("c")).where("c > 0") if gained else pairs))
     if bigrams:
         seen = {_state(counts)}
         words = checkpointed(ranked_vocabulary(counts, size))
         while True:
-            new = checkpointed(without_conflicts(recased_bigrams(counts, vocabulary(counts, size))))
+            new = checkpointed(without_conflicts(recased_bigrams(counts, words)))
             if not new.limit(1).count():
                 break
             rules = checkpointed(compose(rules, new))

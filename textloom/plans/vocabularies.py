@@ -31,6 +31,10 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.word_counts(spaced(spark, sf_dir), "text")
 
 
+def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.bigram_counts(spaced(spark, sf_dir), "text")
+
+
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the benchmark in small letters."""
     found = F.explode(F.split(F.lower("text"), "[^a-z]+"))
@@ -93,8 +97,7 @@ def move_counts(c: DataFrame) -> DataFrame:
 
 
 def recased(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = counts(spark, sf_dir)
-    return vocabulary.recased_bigrams(c, vocabulary.vocabulary(c, SIZE))
+    return vocabulary.recased_bigrams(bigrams(spark, sf_dir), vocabulary.vocabulary(words(spark, sf_dir), SIZE))
 
 
 def rewrite_counts(c: DataFrame) -> DataFrame:
@@ -120,9 +123,8 @@ def minimised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules_
 
 
-def with_unknown(c: DataFrame) -> DataFrame:
-    pairs = c.where(F.contains("ngram", F.lit(" ")))
-    return vocabulary.with_unknown_word(pairs, vocabulary.vocabulary(c, SIZE))
+def with_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.with_unknown_word(bigrams(spark, sf_dir), vocabulary.vocabulary(words(spark, sf_dir), SIZE))
 
 
 def printable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,12 +159,12 @@ _SWAPPED = "CASE WHEN regexp_matches({0}[:1], '[A-Z]') THEN lower({0}[:1]) ELSE
 
 QUERIES = {
     "word_counts": Query(words, _UNI + "SELECT ngram, c FROM uni"),
-    "bigram_counts": Query(lambda spark, sf_dir: vocabulary.bigram_counts(spaced(spark, sf_dir), "text"), _UNI + "SELECT ngram, c FROM bi"),
+    "bigram_counts": Query(bigrams, _UNI + "SELECT ngram, c FROM bi"),
     "load_counts": Query(
         _of(lambda c: vocabulary.load_counts(c, 3), counts),
         _UNI + "SELECT ngram, c FROM counts WHERE len(string_split(ngram, ' ')) = 2 OR len(string_split(ngram, ' ')) = 1 AND c >= 3",
     ),
-    "counts_in_bigrams": Query(_of(vocabulary.in_bigrams, counts), _UNI + "SELECT w AS ngram, CAST(sum(c) AS BIGINT) AS c FROM (SELECT unnest(string_split(ngram, ' ')) AS w, c FROM bi) GROUP BY w"),
+    "counts_in_bigrams": Query(_of(vocabulary.in_bigrams, bigrams), _UNI + "SELECT w AS ngram, CAST(sum(c) AS BIGINT) AS c FROM (SELECT unnest(string_split(ngram, ' ')) AS w, c FROM bi) GROUP BY w"),
     "vocab_classes": Query(_of(classes), _UNI + f"SELECT kind, projection, string_agg(ngram, '|' ORDER BY ngram) AS members, CAST(sum(c) AS BIGINT) AS c FROM ({_PROJECTED}) GROUP BY 1, 2"),
     "vocab_best_members": Query(
         _of(best_members),
@@ -278,7 +280,7 @@ SELECT ngram AS src, dst FROM s WHERE r = 1 AND n > 5 * c AND dst <> ngram""",
 (SELECT word, '^' || word || '$' AS f, unnest(range(1, length(word) + 1)) AS i FROM lex)) GROUP BY letters""",
     ),
     "bigrams_with_unknown_word": Query(
-        lambda spark, sf_dir: with_unknown(counts(spark, sf_dir)),
+        with_unknown,
         _VOCAB + "SELECT ngram, c FROM bi WHERE split_part(ngram, ' ', 1) NOT IN (SELECT ngram FROM v) OR split_part(ngram, ' ', 2) NOT IN (SELECT ngram FROM v)",
     ),
     "rules_whole_ngrams": Query(
