@@ -562,7 +562,8 @@ def minimise_oov(
     they raise an error.  The passes over words never look at bigrams, so these stay
     aside in a table of their own, and n-grams that become several words join them at the end.
     """
-    pairs = checkpointed(counts.where(F.contains("ngram", F.lit(" "))))
+    counts = checkpointed(counts)
+    pairs = counts.where(F.contains("ngram", F.lit(" ")))
     counts = checkpointed(unigrams(counts))
     seen = {_state(counts)}
     rules = spark.createDataFrame([], "src string, dst string")
