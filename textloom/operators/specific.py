@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import numbers_en, numbers_fr
 from textloom.functions.arrow import chain, text_function
-from textloom.functions.patterns import CAPITAL_OR_DIGIT, TAGS, alternation, compiled, fixpoint, sub, trim_blanks
+from textloom.functions.patterns import CAPITAL_OR_DIGIT, TAGS, alternation, compiled, sub, trim_blanks
 from textloom.operators import columns, rules
 
 _NOTHING = {
@@ -97,8 +97,19 @@ def explode_acronym(word: str, lang: str = "en") -> str:
     for n, name in zip((4, 3, 2), said.times):
         x = sub(rf"(\d)\1{{{n - 1}}}", lambda m, name=name: f" {name} {m[1]} ", x)
     x = sub(r"(\d)\.(?=\d)", rf"\1 {said.point} ", x)
-    x = fixpoint(r"(\d+)0(\d)", lambda m: f"{m[1]} {said.zero} {say(m[2])} ", x)
-    x = fixpoint(r"(\d+)(\d{2})", lambda m: f"{m[1]} {say(m[2])} ", x)
+
+    def zeros(m: re.Match) -> str:
+        head, out = m[0], []
+        while (k := head.rfind("0", 1, len(head) - 1)) > 0:
+            out.append(f" {said.zero} {say(head[k + 1])} {head[k + 2 :]}")
+            head = head[:k]
+        return head + "".join(reversed(out))
+
+    def pairs(m: re.Match) -> str:
+        head = 2 - len(m[0]) % 2
+        return m[0][:head] + "".join(f" {say(m[0][k : k + 2])} " for k in range(head, len(m[0]), 2))
+
+    x = sub(r"\d{3,}", pairs, sub(r"\d{3,}", zeros, x))
     x = sub(r"0(\d)", lambda m: f" {said.zero} {say(m[1])} ", x)
     x = sub(r"\d\d?", lambda m: f" {say(m[0])} ", x)
     x = sub(r"ty s$", "ties", x) if lang == "en" else x
@@ -130,7 +141,7 @@ def acronyms_exploded_unless_readable(text: str, lang: str = "en") -> str:
 
     def peel(m: re.Match) -> str:
         w, head = m[1], ""
-        while not pronounceable(w):
+        while len(w) > 12 or not pronounceable(w):  # at most six letters, each with a dot
             first = compiled(r"([A-Z])\.?").match(w)
             if not first:
                 break
